@@ -1,0 +1,13 @@
+"""tripwire: security-event detection and analytics as Spark DataFrame plans.
+
+Layout
+  sources/    event tables, rule files, sinks (CSV / JSON / rule export)
+  functions/  Column builders: Python-text parity, field resolution, UDM pieces
+  operators/  normalisation, rule compiler + scans, analytics, alerts
+  plans/      named queries used by ``__spark_entry__`` and the bench
+  streaming/  Structured Streaming versions of the scan, timeline and alerts
+"""
+
+from tripwire.session import build_session, shared_dir  # noqa: F401
+
+__all__ = ["build_session", "shared_dir"]

@@ -1,0 +1,204 @@
+"""Column builders that reproduce Python's ``str()`` / ``float()`` / ``re`` semantics.
+
+Detection rules compare ``str(value).lower()`` and ``float(value)`` the way Python
+prints and parses them. Spark prints doubles, booleans and timestamps differently,
+so every typed column gets a rendering here, built only from built-in functions
+(JVM-side, whole-stage codegen; no Python UDF).
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from typing import Any
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+
+def py_str(v: Any) -> str:
+    """Python's own ``str()`` of a JSON-decoded value (driver side, exact)."""
+    return str(v)
+
+
+# ---------------------------------------------------------------------------
+# value -> Python text
+# ---------------------------------------------------------------------------
+
+def py_float_text(c: Column) -> Column:
+    """``repr(float)`` of a double column.
+
+    Spark prints ``1.0E16`` / ``1.0E-5`` / ``1.2345678E7``; Python prints ``1e+16`` /
+    ``1e-05`` / ``12345678.0``. Both print the same significant digits, so we take
+    Spark's digits and exponent and lay them out the Python way: positional when the
+    decimal exponent is in [-4, 16), scientific otherwise.
+    """
+    s = c.cast("string")
+    neg = s.startswith("-")
+    body = F.regexp_replace(s, "^-", "")
+    mant = F.regexp_extract(body, r"^([0-9.]+)", 1)
+    exp_j = F.coalesce(F.regexp_extract(body, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    int_part = F.split(mant, r"\.").getItem(0)
+    frac_part = F.coalesce(F.split(mant, r"\.").getItem(1), F.lit(""))
+    digits = F.concat(int_part, frac_part)
+    stripped = F.regexp_replace(digits, "^0+", "")
+    lead = F.length(digits) - F.length(stripped)
+    sig = F.regexp_replace(stripped, "0+$", "")          # significant digits
+    p = F.length(int_part) + exp_j - lead                 # value = 0.sig * 10^p
+    n = F.length(sig)
+    x = p - 1                                             # scientific exponent
+    positional = (
+        F.when(p <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), sig))
+        .when(p >= n, F.concat(sig, F.repeat(F.lit("0"), p - n), F.lit(".0")))
+        .otherwise(F.concat(sig.substr(F.lit(1), p), F.lit("."), sig.substr(p + 1, n - p))))
+    rest = sig.substr(F.lit(2), n)
+    scientific = F.concat(
+        sig.substr(F.lit(1), F.lit(1)),
+        F.when(n > 1, F.concat(F.lit("."), rest)).otherwise(F.lit("")),
+        F.lit("e"), F.when(x < 0, F.lit("-")).otherwise(F.lit("+")),
+        F.lpad(F.abs(x).cast("string"), 2, "0"))
+    laid = F.when((x >= -4) & (x < 16), positional).otherwise(scientific)
+    sign = F.when(neg, F.lit("-")).otherwise(F.lit(""))
+    return (F.when(c.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(c), F.lit("nan"))
+            .when(c == F.lit(float("inf")), F.lit("inf"))
+            .when(c == F.lit(float("-inf")), F.lit("-inf"))
+            .when(F.length(sig) == 0, F.concat(sign, F.lit("0.0")))
+            .otherwise(F.concat(sign, laid)))
+
+
+def _frac(c: Column) -> Column:
+    return F.date_format(c, "SSSSSS")
+
+
+def py_datetime_text(c: Column, with_offset: bool = False) -> Column:
+    """``str(datetime)``: ``YYYY-MM-DD HH:MM:SS`` plus ``.ffffff`` only when micros != 0."""
+    base = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+    out = F.concat(base, F.when(_frac(c) != "000000", F.concat(F.lit("."), _frac(c))).otherwise(F.lit("")))
+    if with_offset:
+        out = F.concat(out, F.date_format(c, "xxx"))
+    return out
+
+
+def py_isoformat(c: Column) -> Column:
+    """``datetime.isoformat()``: like ``str()`` but with a ``T`` separator."""
+    base = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.concat(base, F.when(_frac(c) != "000000", F.concat(F.lit("."), _frac(c))).otherwise(F.lit("")))
+
+
+def text_of(c: Column, dtype: T.DataType) -> Column:
+    """Python ``str(value)`` of a column value (null stays null)."""
+    if isinstance(dtype, T.StringType):
+        return c
+    if isinstance(dtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return c.cast("string")
+    if isinstance(dtype, T.BooleanType):
+        return F.when(c, F.lit("True")).when(~c, F.lit("False"))
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return py_float_text(c.cast("double"))
+    if isinstance(dtype, T.TimestampNTZType):
+        return py_datetime_text(c)
+    if isinstance(dtype, T.TimestampType):
+        return py_datetime_text(c, with_offset=True)
+    if isinstance(dtype, T.DateType):
+        return F.date_format(c, "yyyy-MM-dd")
+    if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
+        # documented difference: JSON text, not Python's dict/list repr
+        return F.to_json(c)
+    return c.cast("string")
+
+
+# ---------------------------------------------------------------------------
+# Python float() parity
+# ---------------------------------------------------------------------------
+
+# A string Python's float() accepts (after strip): decimal with optional
+# single underscores between digits and an exponent, or inf/infinity/nan.
+_DEC = r"(?i)^[+-]?(\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?$"
+_SPECIAL = r"(?i)^[+-]?(inf|infinity|nan)$"
+
+
+def py_float_of_string(s: Column) -> Column:
+    t = F.trim(F.regexp_replace(s, r"^\s+|\s+$", ""))
+    neg = t.startswith("-")
+    special = (F.when(F.lower(t).contains("nan"), F.lit(float("nan")))
+               .when(neg, F.lit(float("-inf"))).otherwise(F.lit(float("inf"))))
+    return (F.when(t.rlike(_DEC), F.regexp_replace(t, "_", "").try_cast("double"))
+            .when(t.rlike(_SPECIAL), special))
+
+
+def float_of(c: Column, dtype: T.DataType) -> Column | None:
+    """``float(value)`` as a double column; None when Python would raise TypeError."""
+    if isinstance(dtype, T.StringType):
+        return py_float_of_string(c)
+    if isinstance(dtype, T.BooleanType):
+        return c.cast("double")
+    if isinstance(dtype, T.NumericType):
+        return c.cast("double")
+    return None
+
+
+def python_float(v: Any) -> float | None:
+    """Driver-side ``float(v)``; None when Python raises."""
+    try:
+        return float(v)
+    except (TypeError, ValueError):
+        return None
+
+
+def canonical_float(s: str) -> float | None:
+    """The double whose Python ``str()`` is exactly ``s`` (else None)."""
+    try:
+        d = float(s)
+    except (TypeError, ValueError):
+        return None
+    return d if repr(d) == s else None
+
+
+_INT_TEXT = re.compile(r"-?(0|[1-9][0-9]*)\Z")
+
+
+def canonical_int(s: str) -> int | None:
+    """The int whose Python ``str()`` is exactly ``s`` (else None)."""
+    if _INT_TEXT.match(s) and s != "-0":
+        return int(s)
+    return None
+
+
+def double_equals(c: Column, d: float) -> Column:
+    """``c`` holds exactly the double ``d`` with the same Python text (NaN and -0.0 aware)."""
+    if math.isnan(d):
+        return F.isnan(c)
+    if d == 0.0:
+        zero_text = "-0.0" if math.copysign(1.0, d) < 0 else "0.0"
+        return (c == F.lit(0.0)) & (c.cast("string") == F.lit(zero_text))
+    return c == F.lit(d)
+
+
+# ---------------------------------------------------------------------------
+# Python re -> Java regex
+# ---------------------------------------------------------------------------
+
+_FLAGS = "(?idU)"   # IGNORECASE, UNIX_LINES ('.' stops only at \n), Unicode classes/case
+
+
+def to_java_regex(pattern: str) -> str | None:
+    """Translate a Python ``re`` pattern (searched with IGNORECASE) for ``rlike``.
+
+    Returns None when Python itself rejects the pattern (the rule condition is then
+    False). ``rlike`` is an unanchored find, as ``re.search`` is.
+    """
+    try:
+        compiled = re.compile(pattern, re.IGNORECASE)
+    except re.error:
+        return None
+    p = pattern
+    names = compiled.groupindex
+    if names:
+        for name, num in names.items():
+            p = p.replace(f"(?P={name})", f"(?:\\{num})")
+        p = re.sub(r"\(\?P<[A-Za-z_][A-Za-z0-9_]*>", "(", p)
+    p = p.replace(r"\Z", r"\z")
+    p = re.sub(r"\{,(\d+)\}", r"{0,\1}", p)
+    return _FLAGS + p

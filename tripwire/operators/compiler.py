@@ -1,0 +1,223 @@
+"""Rule compiler: a rule's conditions -> one boolean ``Column`` (built-in expressions only).
+
+Condition law (per field):
+  * a missing / null value fails every operator, ``ne`` included;
+  * a scalar (str, int, float, bool) is case-insensitive equality of Python text;
+  * an object is decided by the first operator present in the order
+    contains, regex, in, eq, ne, gt, lt; others are ignored;
+  * anything else (list, null, object without a known operator) fails.
+A rule matches when it is enabled, has at least one condition and all hold.
+
+Typed columns are compared by folding the literal on the driver (``22`` vs a double
+column can never match since Python prints ``22.0``) so that plain comparisons reach the
+Parquet scan as pushed filters; only string work needs ``lower``.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import reduce
+from typing import Any
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tripwire.functions.fields import resolve
+from tripwire.functions.pytext import (canonical_float, canonical_int, double_equals, float_of, py_str,
+                                       python_float, text_of, to_java_regex)
+from tripwire.operators.rules import Rule, RuleError, as_rules
+from tripwire.schema import OPERATOR_ORDER, REASON_TEMPLATE
+
+FALSE = None  # a condition that can never hold is represented by None
+
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_INT_RANGE = {T.ByteType: 2 ** 7, T.ShortType: 2 ** 15, T.IntegerType: 2 ** 31, T.LongType: 2 ** 63}
+
+
+def _int_fits(dtype: T.DataType, v: int) -> bool:
+    lim = _INT_RANGE[type(dtype)]
+    return -lim <= v < lim
+
+
+def scalar_like(v: Any) -> bool:
+    return isinstance(v, (str, int, float, bool))
+
+
+def first_operator(cond: dict) -> str | None:
+    for op in OPERATOR_ORDER:
+        if op in cond:
+            return op
+    return None
+
+
+# ---------------------------------------------------------------------------
+# per-operator builders; each returns a Column (null where the value is null) or None
+# ---------------------------------------------------------------------------
+
+def equals_text(c: Column, dtype: T.DataType, s: str) -> Column | None:
+    """``str(value).lower() == s`` where ``s`` is already lower-case."""
+    if isinstance(dtype, T.StringType):
+        return F.lower(c) == F.lit(s)
+    if isinstance(dtype, _INTEGRAL):
+        v = canonical_int(s)
+        return (c == F.lit(v)) if v is not None and _int_fits(dtype, v) else None
+    if isinstance(dtype, T.BooleanType):
+        if s == "true":
+            return c
+        if s == "false":
+            return ~c
+        return None
+    if isinstance(dtype, T.DoubleType):
+        d = canonical_float(s)
+        return double_equals(c, d) if d is not None else None
+    return F.lower(text_of(c, dtype)) == F.lit(s)
+
+
+def member_of(c: Column, dtype: T.DataType, members: list[str]) -> Column | None:
+    """``str(value) in members`` (case-sensitive)."""
+    if not members:
+        return None
+    if isinstance(dtype, T.StringType):
+        return c.isin(sorted(set(members)))
+    if isinstance(dtype, _INTEGRAL):
+        vals = sorted({v for v in map(canonical_int, members) if v is not None and _int_fits(dtype, v)})
+        return c.isin(vals) if vals else None
+    if isinstance(dtype, T.BooleanType):
+        vals = sorted({m == "True" for m in members if m in ("True", "False")})
+        return c.isin(vals) if vals else None
+    if isinstance(dtype, T.DoubleType):
+        ds = [d for d in map(canonical_float, members) if d is not None]
+        plain = sorted({d for d in ds if d == d and d != 0.0})
+        parts = [c.isin(plain)] if plain else []
+        parts += [double_equals(c, d) for d in ds if d != d or d == 0.0]
+        return any_of(parts) if parts else None
+    return text_of(c, dtype).isin(sorted(set(members)))
+
+
+def compare_number(c: Column, dtype: T.DataType, operand: Any, op: str) -> Column | None:
+    bound = python_float(operand)
+    if bound is None or bound != bound:
+        return None
+    v = float_of(c, dtype)
+    if v is None:
+        return None
+    test = (v > F.lit(bound)) if op == "gt" else (v < F.lit(bound))
+    if isinstance(dtype, (T.DoubleType, T.FloatType, T.StringType)):
+        test = test & ~F.isnan(v)
+    return test
+
+
+def condition_column(schema: T.StructType, field: str, cond: Any, regex_ok=None) -> Column | None:
+    """Compile one condition. None means the condition can never hold."""
+    hit = resolve(schema, field)
+    if hit is None:
+        return FALSE
+    c, dtype = hit
+    if scalar_like(cond):
+        expr = equals_text(c, dtype, py_str(cond).lower())
+    elif isinstance(cond, dict):
+        op = first_operator(cond)
+        if op is None:
+            return FALSE
+        operand = cond[op]
+        if op == "contains":
+            expr = F.lower(text_of(c, dtype)).contains(F.lit(py_str(operand).lower()))
+        elif op == "regex":
+            if not isinstance(operand, str):
+                raise RuleError(f"regex operand on '{field}' is not a string")
+            jp = to_java_regex(operand)
+            if jp is None or (regex_ok is not None and not regex_ok(jp)):
+                return FALSE
+            expr = text_of(c, dtype).rlike(jp)
+        elif op == "in":
+            if isinstance(operand, (int, float, bool)) or operand is None:
+                raise RuleError(f"'in' operand on '{field}' is not iterable")
+            expr = member_of(c, dtype, [py_str(m) for m in operand])
+        elif op == "eq":
+            expr = equals_text(c, dtype, py_str(operand).lower())
+        elif op == "ne":
+            eq = equals_text(c, dtype, py_str(operand).lower())
+            expr = c.isNotNull() if eq is None else (c.isNotNull() & ~eq)
+        else:
+            expr = compare_number(c, dtype, operand, op)
+    else:
+        return FALSE
+    if expr is None:
+        return FALSE
+    return F.coalesce(expr, F.lit(False))
+
+
+def all_of(cols: list[Column]) -> Column:
+    return _balanced(cols, lambda a, b: a & b)
+
+
+def any_of(cols: list[Column]) -> Column:
+    return _balanced(cols, lambda a, b: a | b)
+
+
+def _balanced(cols: list[Column], op) -> Column:
+    """Balanced expression tree: a left-deep chain of hundreds of ORs breaks the planner."""
+    if not cols:
+        raise ValueError("empty")
+    while len(cols) > 1:
+        nxt = [op(cols[i], cols[i + 1]) for i in range(0, len(cols) - 1, 2)]
+        if len(cols) % 2:
+            nxt.append(cols[-1])
+        cols = nxt
+    return cols[0]
+
+
+@dataclass(frozen=True)
+class CompiledRule:
+    rule: Rule
+    predicate: Column | None            # None: never matches
+    reasons: tuple[str, ...]
+
+
+def reasons_of(rule: Rule) -> tuple[str, ...]:
+    return tuple(REASON_TEMPLATE.format(field=f, condition=c) for f, c in rule.conditions)
+
+
+def compile_rule(schema: T.StructType, rule: Rule, regex_ok=None) -> CompiledRule:
+    if not rule.enabled or not rule.conditions:
+        return CompiledRule(rule, None, ())
+    parts = []
+    for f, cond in rule.conditions:
+        col = condition_column(schema, f, cond, regex_ok)
+        if col is None:
+            return CompiledRule(rule, None, reasons_of(rule))
+        parts.append(col)
+    return CompiledRule(rule, all_of(parts), reasons_of(rule))
+
+
+def compile_rules(schema: T.StructType, rules: Any, regex_ok=None) -> list[CompiledRule]:
+    return [compile_rule(schema, r, regex_ok) for r in as_rules(rules)]
+
+
+def java_regex_checker(spark):
+    """Return a memoised check that Java accepts a translated pattern.
+
+    Python-valid patterns that Java rejects must fail loudly at compile time rather than
+    at run time on an executor; the check runs a one-row constant query per new pattern.
+    """
+    cache: dict[str, bool] = {}
+
+    def ok(pattern: str) -> bool:
+        if pattern not in cache:
+            try:
+                spark.range(1).select(F.lit("").rlike(pattern)).collect()
+                cache[pattern] = True
+            except Exception as e:  # noqa: BLE001 - surfaced as a rule error
+                raise RuleError(f"regex not supported by the JVM engine: {pattern!r}: {e}") from None
+        return cache[pattern]
+
+    return ok
+
+
+def false_column() -> Column:
+    return F.lit(False)
+
+
+def reduce_and(cols):
+    return reduce(lambda a, b: a & b, cols)

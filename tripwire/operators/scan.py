@@ -1,0 +1,182 @@
+"""Rule scans over event tables.
+
+Compiled scan (``scan``): every enabled rule becomes one boolean Column. The events are
+first filtered on the OR of all rule predicates (typed literal comparisons reach the
+Parquet reader as pushed filters), then each surviving row emits one match per rule that
+holds via ``explode(filter(array(CASE WHEN p_i THEN match_i END ...)))``. One pass over
+the data, no join, no shuffle: the plan is a scan, a filter and a Generate.
+
+Test / explain / reports are built the same way: per-rule counts are ``count_if``
+aggregates in one pass (partial aggregation, one tiny final stage) and the first-k
+samples use a ranked window that Spark limits per partition before the shuffle.
+"""
+
+from __future__ import annotations
+
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tripwire.functions.fields import quoted, resolve
+from tripwire.functions.pytext import py_str, text_of
+from tripwire.operators.compiler import (CompiledRule, any_of, compile_rules, condition_column)
+from tripwire.operators.rules import Rule, as_rules
+from tripwire.schema import NOT_AVAILABLE, REASON_TEMPLATE, SEVERITIES, UNKNOWN_SEVERITY
+
+MATCH_FIELDS = ("rule_id", "rule_name", "rule_description", "rule_severity", "reasons")
+
+
+def _s(v: Any) -> str | None:
+    if v is None:
+        return None
+    return v if isinstance(v, str) else py_str(v)
+
+
+def _match_struct(c: CompiledRule) -> Column:
+    r = c.rule
+    return F.struct(
+        F.lit(r.rule_id).alias("rule_id"),
+        F.lit(_s(r.name)).cast("string").alias("rule_name"),
+        F.lit(_s(r.description)).cast("string").alias("rule_description"),
+        F.lit(_s(r.severity)).cast("string").alias("rule_severity"),
+        F.array(*[F.lit(x) for x in c.reasons]).cast("array<string>").alias("reasons"),
+    )
+
+
+def live_rules(events: DataFrame, rules: Any, regex_ok=None) -> list[CompiledRule]:
+    """Compiled rules that can match at least one row of this schema."""
+    return [c for c in compile_rules(events.schema, rules, regex_ok) if c.predicate is not None]
+
+
+def _empty_matches(events: DataFrame) -> DataFrame:
+    return events.filter(F.lit(False)).select(
+        "*", F.lit(None).cast("int").alias("rule_id"), F.lit(None).cast("string").alias("rule_name"),
+        F.lit(None).cast("string").alias("rule_description"), F.lit(None).cast("string").alias("rule_severity"),
+        F.lit(None).cast("array<string>").alias("reasons"))
+
+
+def scan(events: DataFrame, rules: Any, *, prefilter: bool = True, scanned_at: Column | None = None,
+         regex_ok=None) -> DataFrame:
+    """One row per (event, matching enabled rule): event columns + rule columns + reasons."""
+    compiled = live_rules(events, rules, regex_ok)
+    if not compiled:
+        out = _empty_matches(events)
+    else:
+        base = events.filter(any_of([c.predicate for c in compiled])) if prefilter else events
+        hits = F.array(*[F.when(c.predicate, _match_struct(c)) for c in compiled])
+        out = (base.select(*[quoted(n) for n in events.columns],
+                           F.explode(F.filter(hits, lambda m: m.isNotNull())).alias("_m"))
+               .select(*[quoted(n) for n in events.columns], *[F.col("_m." + f).alias(f) for f in MATCH_FIELDS]))
+    if scanned_at is not None:
+        out = out.withColumn("scanned_at", scanned_at)
+    return out
+
+
+def scan_reasons(matches: DataFrame, key: str = "event_id") -> DataFrame:
+    """Matches with one row per reason (reason_index from 0, in condition order)."""
+    return matches.select(quoted(key), "rule_id", "rule_name",
+                          F.posexplode("reasons").alias("reason_index", "reason"))
+
+
+# ---------------------------------------------------------------------------
+# rule test / explain
+# ---------------------------------------------------------------------------
+
+def rule_test_summary(events: DataFrame, rules: Any, regex_ok=None) -> DataFrame:
+    """Per enabled rule: matched events and total events, from one aggregation pass."""
+    rs = [r for r in as_rules(rules) if r.enabled]
+    compiled = compile_rules(events.schema, rs, regex_ok)
+    aggs = [F.count(F.lit(1)).alias("total")]
+    for i, c in enumerate(compiled):
+        aggs.append(F.count_if(c.predicate if c.predicate is not None else F.lit(False)).alias(f"m{i}"))
+    wide = events.agg(*aggs)
+    per_rule = F.array(*[F.struct(F.lit(c.rule.rule_id).alias("rule_id"),
+                                  F.lit(_s(c.rule.name)).cast("string").alias("rule_name"),
+                                  F.col(f"m{i}").alias("matched"))
+                         for i, c in enumerate(compiled)]) if compiled else F.array().cast(
+        "array<struct<rule_id:int,rule_name:string,matched:bigint>>")
+    return (wide.select(F.col("total"), F.explode(per_rule).alias("_r"))
+            .select("_r.rule_id", "_r.rule_name", "_r.matched", "total"))
+
+
+def first_matches(matches: DataFrame, k: int, order: tuple[str, ...] = ("event_id",),
+                  by: str = "rule_id") -> DataFrame:
+    """First ``k`` matches per rule in ``order`` (rank column ``sample_rank`` from 1)."""
+    w = Window.partitionBy(by).orderBy(*[F.col(o) for o in order])
+    return matches.withColumn("sample_rank", F.row_number().over(w)).filter(F.col("sample_rank") <= k)
+
+
+def match_head(matches: DataFrame, k: int = 10, order: tuple[str, ...] = ("event_id", "rule_id")) -> DataFrame:
+    """First ``k`` matches overall (top-k, no full sort)."""
+    return matches.orderBy(*order).limit(k)
+
+
+def rule_explain(events: DataFrame, rule: Any, key: str = "event_id", regex_ok=None) -> DataFrame:
+    """Per event and condition of one rule: field, expected, found value, whether it holds.
+
+    ``found`` is Python's text of the value (``None`` when missing); conditions are
+    evaluated independently, without the AND.
+    """
+    r = rule if isinstance(rule, Rule) else as_rules([rule])[0]
+    rows = []
+    for i, (field, cond) in enumerate(r.conditions):
+        hit = resolve(events.schema, field)
+        found = F.lit("None") if hit is None else F.coalesce(text_of(*hit), F.lit("None"))
+        ok = condition_column(events.schema, field, cond, regex_ok)
+        rows.append(F.struct(F.lit(i).alias("condition_index"), F.lit(field).alias("field"),
+                             F.lit(py_str(cond)).alias("expected"), found.alias("found"),
+                             (ok if ok is not None else F.lit(False)).alias("matched")))
+    if not rows:
+        return events.filter(F.lit(False)).select(
+            quoted(key), F.lit(0).alias("condition_index"), F.lit("").alias("field"),
+            F.lit("").alias("expected"), F.lit("").alias("found"), F.lit(False).alias("matched"))
+    return (events.select(quoted(key), F.explode(F.array(*rows)).alias("_c"))
+            .select(quoted(key), "_c.*"))
+
+
+# ---------------------------------------------------------------------------
+# reports over matches
+# ---------------------------------------------------------------------------
+
+def match_report(matches: DataFrame) -> DataFrame:
+    ev = lambda n: F.coalesce(quoted(n), F.lit(NOT_AVAILABLE)) if n in matches.columns else F.lit(NOT_AVAILABLE)
+    cols = []
+    if "scanned_at" in matches.columns:
+        cols.append(F.col("scanned_at").alias("Timestamp"))
+    return matches.select(
+        *cols,
+        F.coalesce(F.col("rule_name"), F.lit(NOT_AVAILABLE)).alias("Rule"),
+        F.coalesce(F.col("rule_severity"), F.lit(NOT_AVAILABLE)).alias("Severity"),
+        F.coalesce(F.col("rule_description"), F.lit(NOT_AVAILABLE)).alias("Description"),
+        ev("event_action").alias("Event Type"),
+        ev("source_ip").alias("Source IP"),
+    )
+
+
+def match_severity_summary(matches: DataFrame) -> DataFrame:
+    return (matches.groupBy(F.coalesce(F.col("rule_severity"), F.lit(UNKNOWN_SEVERITY)).alias("severity"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def match_severity_buckets(matches: DataFrame) -> DataFrame:
+    """The four fixed buckets (0 when absent), one row, one aggregation pass."""
+    return matches.agg(*[F.count_if(F.col("rule_severity") == F.lit(s)).alias(s) for s in reversed(SEVERITIES)])
+
+
+def rule_stats(rules: Any, matches: DataFrame) -> DataFrame:
+    """Total rules, enabled rules, total matches."""
+    rs = as_rules(rules)
+    return matches.agg(F.lit(len(rs)).alias("total_rules"),
+                       F.lit(sum(1 for r in rs if r.enabled)).alias("enabled_rules"),
+                       F.count(F.lit(1)).alias("total_matches"))
+
+
+def reason_text(field: str, cond: Any) -> str:
+    return REASON_TEMPLATE.format(field=field, condition=cond)
+
+
+__all__ = ["scan", "scan_reasons", "rule_test_summary", "first_matches", "match_head", "rule_explain",
+           "match_report", "match_severity_summary", "match_severity_buckets", "rule_stats", "live_rules",
+           "T"]

@@ -1,0 +1,83 @@
+"""Event sources.
+
+``read_table`` reads one of the given Parquet tables with its declared schema (no
+inference, so Parquet column pruning and filter pushdown apply). ``raw_security_records``
+is the adapter from the driver ``events`` table to raw security records (action,
+severity, own outcome, source IP, port, user); ``security_events`` then runs the ECS
+normalisation, the hour column and (optionally) the nested UDM record.
+All steps are narrow projections: no shuffle anywhere on this path.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripwire.operators.normalize import ecs_normalize, lookup, with_hour
+from tripwire.schema import DRIVER_EVENTS_SCHEMA, ECS_SCHEMA, PORTS, USER_NAMES
+
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
+          "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+def table_path(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name == "events":
+        return spark.read.schema(DRIVER_EVENTS_SCHEMA).parquet(table_path(sf_dir, name))
+    return spark.read.parquet(table_path(sf_dir, name))
+
+
+def read_ecs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Already-normalised ECS events (e.g. written by an ingest job) with a fixed schema."""
+    return spark.read.schema(ECS_SCHEMA).format(fmt).load(path)
+
+
+# ---------------------------------------------------------------------------
+# driver ``events`` -> raw security records
+# ---------------------------------------------------------------------------
+
+# Fixed values of the test projection: driver event_type -> security action.
+EVENT_TYPE_ACTION = {"click": "file_access", "error": "failed_login", "purchase": "process_creation",
+                     "signup": "ssh_login"}
+VIEW_SPLIT = 50                      # view: k < 50 -> nmap_scan, else port_scan
+SEVERITY_BOUNDS = ((35.0, "low"), (115.0, "medium"), (225.0, "high"))   # else critical
+
+
+def _pick(index: Column, values: tuple) -> Column:
+    return lookup(index, dict(enumerate(values)), F.lit(None))
+
+
+def raw_security_records(events: DataFrame) -> DataFrame:
+    k = F.get_json_object(F.col("props"), "$.k").try_cast("int")
+    et = F.col("event_type")
+    action = (F.when(et == "view", F.when(k < VIEW_SPLIT, "nmap_scan").otherwise("port_scan"))
+              .otherwise(lookup(et, EVENT_TYPE_ACTION, et)))
+    v = F.col("value")
+    sev = F.when(v.isNull(), F.lit(None).cast("string"))
+    for bound, name in SEVERITY_BOUNDS:
+        sev = sev.when(v < bound, name)
+    sev = sev.otherwise("critical")
+    return events.select(
+        F.col("event_id"),
+        F.col("ts").alias("timestamp"),
+        action.alias("action"),
+        F.when(F.col("event_id") % 2 == 0, "success").otherwise("failure").alias("outcome"),
+        sev.alias("severity"),
+        F.concat(F.lit("10.0.0."), (F.col("user_id") % 256).cast("string")).alias("source_ip"),
+        _pick(k % len(PORTS), PORTS).alias("destination_port"),
+        _pick(F.col("user_id") % len(USER_NAMES), USER_NAMES).alias("user_name"),
+    )
+
+
+def security_events(spark: SparkSession, sf_dir: str, *, udm: bool = True, hour: bool = True) -> DataFrame:
+    """The flat ECS event table derived from ``events`` (+ ``hour`` and nested ``udm``)."""
+    ecs = ecs_normalize(raw_security_records(read_table(spark, sf_dir, "events")))
+    if hour:
+        ecs = with_hour(ecs)
+    if udm:
+        from tripwire.operators.udm import with_udm
+        ecs = with_udm(ecs)
+    return ecs
