@@ -1,0 +1 @@
+"""More oracle SQL."""

@@ -50,7 +50,7 @@ def _pick(index: Column, values: tuple) -> Column:
     return lookup(index, dict(enumerate(values)), F.lit(None))
 
 
-def raw_security_records(events: DataFrame) -> DataFrame:
+def raw_security_records(events: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     k = F.get_json_object(F.col("props"), "$.k").try_cast("int")
     et = F.col("event_type")
     action = (F.when(et == "view", F.when(k < VIEW_SPLIT, "nmap_scan").otherwise("port_scan"))
@@ -62,6 +62,7 @@ def raw_security_records(events: DataFrame) -> DataFrame:
     sev = sev.otherwise("critical")
     return events.select(
         F.col("event_id"),
+        *[F.col(c) for c in carry],
         F.col("ts").alias("timestamp"),
         action.alias("action"),
         F.when(F.col("event_id") % 2 == 0, "success").otherwise("failure").alias("outcome"),
@@ -72,9 +73,14 @@ def raw_security_records(events: DataFrame) -> DataFrame:
     )
 
 
-def security_events(spark: SparkSession, sf_dir: str, *, udm: bool = True, hour: bool = True) -> DataFrame:
-    """The flat ECS event table derived from ``events`` (+ ``hour`` and nested ``udm``)."""
-    ecs = ecs_normalize(raw_security_records(read_table(spark, sf_dir, "events")))
+def security_events(spark: SparkSession, sf_dir: str, *, udm: bool = True, hour: bool = True,
+                    carry: tuple[str, ...] = ()) -> DataFrame:
+    """The flat ECS event table derived from ``events`` (+ ``hour`` and nested ``udm``).
+
+    ``carry`` passes raw columns (e.g. ``props``) through next to ``event_id``.
+    """
+    ecs = ecs_normalize(raw_security_records(read_table(spark, sf_dir, "events"), carry),
+                        keep=("event_id",) + tuple(carry))
     if hour:
         ecs = with_hour(ecs)
     if udm:
