@@ -1,0 +1,191 @@
+"""Table-driven rule scan: rules as rows, matched by an equi-join on an anchor condition.
+
+When a rule set is large (thousands of rules), one giant compiled expression is slow
+to plan and leaves whole-stage codegen. Here each rule becomes rows of a conditions
+table instead:
+
+* every rule picks one *anchor*: an equality (case-insensitive) or ``in`` (exact)
+  condition; an ``in`` anchor gives one row per distinct member;
+* each event emits one ``(field, mode, value)`` row per distinct anchor field+mode
+  (a handful), then equi-joins the anchor rows on that triple;
+* the rule's other conditions are evaluated on the joined pair by one data-driven
+  expression (``forall`` over the rule's condition array), reading the event's
+  Python-text and float renderings of the referenced fields.
+
+Rules without an equality/``in`` condition go through the compiled scan and are unioned.
+The anchor table is sized by the rule set, not by the data; its row count is checked
+before it is broadcast. Above the limit the join shuffles, and events are salted so a
+hot anchor value (one action holding a third of all events) is spread over ``salt``
+tasks while the rule rows are replicated per salt.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tripwire.functions.fields import quoted, resolve
+from tripwire.functions.pytext import float_of, py_str, python_float, text_of, to_java_regex
+from tripwire.operators.compiler import first_operator, reasons_of, scalar_like
+from tripwire.operators.rules import Rule, RuleError, as_rules
+from tripwire.operators.scan import MATCH_FIELDS, _s, scan
+
+BROADCAST_ANCHOR_ROWS = 200_000
+
+COND_TYPE = T.StructType([
+    T.StructField("fidx", T.IntegerType()),
+    T.StructField("op", T.StringType()),
+    T.StructField("value", T.StringType()),
+    T.StructField("members", T.ArrayType(T.StringType())),
+    T.StructField("bound", T.DoubleType()),
+])
+
+ANCHOR_SCHEMA = T.StructType([
+    T.StructField("a_fidx", T.IntegerType()),
+    T.StructField("a_mode", T.StringType()),
+    T.StructField("a_value", T.StringType()),
+    T.StructField("rule_id", T.IntegerType()),
+    T.StructField("rule_name", T.StringType()),
+    T.StructField("rule_description", T.StringType()),
+    T.StructField("rule_severity", T.StringType()),
+    T.StructField("reasons", T.ArrayType(T.StringType())),
+    T.StructField("rest", T.ArrayType(COND_TYPE)),
+])
+
+
+@dataclass
+class Plan:
+    fields: list[str]                   # referenced fields, by index
+    anchors: list[tuple]                # rows of ANCHOR_SCHEMA
+    unanchored: list[Rule]              # rules with no equality / in condition
+
+
+def _cond_row(fidx: int, cond: Any) -> tuple | None:
+    """One condition as (fidx, op, value, members, bound); None if it can never hold."""
+    if scalar_like(cond):
+        return (fidx, "eq", py_str(cond).lower(), None, None)
+    if not isinstance(cond, dict):
+        return None
+    op = first_operator(cond)
+    if op is None:
+        return None
+    v = cond[op]
+    if op in ("eq", "ne"):
+        return (fidx, op, py_str(v).lower(), None, None)
+    if op == "contains":
+        return (fidx, op, py_str(v).lower(), None, None)
+    if op == "regex":
+        if not isinstance(v, str):
+            raise RuleError("regex operand is not a string")
+        jp = to_java_regex(v)
+        return None if jp is None else (fidx, op, jp, None, None)
+    if op == "in":
+        if isinstance(v, (int, float, bool)) or v is None:
+            raise RuleError("'in' operand is not iterable")
+        members = sorted({py_str(m) for m in v})
+        return (fidx, op, None, members, None) if members else None
+    bound = python_float(v)
+    if bound is None or bound != bound:
+        return None
+    return (fidx, op, None, None, bound)
+
+
+def plan_rules(schema: T.StructType, rules: Any) -> Plan:
+    fields: list[str] = []
+    index: dict[str, int] = {}
+    anchors: list[tuple] = []
+    unanchored: list[Rule] = []
+    for r in as_rules(rules):
+        if not r.enabled or not r.conditions:
+            continue
+        rows, dead = [], False
+        for f, cond in r.conditions:
+            if resolve(schema, f) is None:
+                dead = True
+                break
+            if f not in index:
+                index[f] = len(fields)
+                fields.append(f)
+            row = _cond_row(index[f], cond)
+            if row is None:
+                dead = True
+                break
+            rows.append(row)
+        if dead:
+            continue
+        pick = next((i for i, c in enumerate(rows) if c[1] == "in"), None)
+        if pick is None:
+            pick = next((i for i, c in enumerate(rows) if c[1] == "eq"), None)
+        if pick is None:
+            unanchored.append(r)
+            continue
+        a = rows[pick]
+        rest = [c for i, c in enumerate(rows) if i != pick]
+        meta = (r.rule_id, _s(r.name), _s(r.description), _s(r.severity), list(reasons_of(r)), rest)
+        if a[1] == "in":
+            anchors += [(a[0], "cs", m) + meta for m in a[3]]
+        else:
+            anchors.append((a[0], "ci", a[2]) + meta)
+    return Plan(fields, anchors, unanchored)
+
+
+def _holds(c, texts, nums):
+    t = F.element_at(texts, c["fidx"] + 1)
+    n = F.element_at(nums, c["fidx"] + 1)
+    test = (F.when(c["op"] == "eq", F.lower(t) == c["value"])
+            .when(c["op"] == "ne", F.lower(t) != c["value"])
+            .when(c["op"] == "contains", F.lower(t).contains(c["value"]))
+            .when(c["op"] == "regex", F.rlike(t, c["value"]))
+            .when(c["op"] == "in", F.array_contains(c["members"], t))
+            .when(c["op"] == "gt", (n > c["bound"]) & ~F.isnan(n))
+            .when(c["op"] == "lt", (n < c["bound"]) & ~F.isnan(n))
+            .otherwise(F.lit(False)))
+    return F.coalesce(t.isNotNull() & test, F.lit(False))
+
+
+def scan_table(events: DataFrame, rules: Any, *, spark: SparkSession | None = None,
+               broadcast_limit: int = BROADCAST_ANCHOR_ROWS, salt: int = 16,
+               salt_by: tuple[str, ...] | None = None) -> DataFrame:
+    """Same result as ``scan`` (one row per event x matching rule), planned as a join."""
+    spark = spark or events.sparkSession
+    plan = plan_rules(events.schema, rules)
+    cols = [quoted(n) for n in events.columns]
+    parts = []
+    if plan.anchors:
+        resolved = [resolve(events.schema, f) for f in plan.fields]
+        texts = F.array(*[text_of(c, t).cast("string") for c, t in resolved])
+        nums = F.array(*[(float_of(c, t) if float_of(c, t) is not None else F.lit(None)).cast("double")
+                         for c, t in resolved])
+        keys = sorted({(a[0], a[1]) for a in plan.anchors})
+        tx = F.col("_texts")
+        key_rows = F.array(*[F.struct(F.lit(fi).alias("a_fidx"), F.lit(mode).alias("a_mode"),
+                                      (F.lower(F.element_at(tx, fi + 1)) if mode == "ci"
+                                       else F.element_at(tx, fi + 1)).alias("a_value"))
+                             for fi, mode in keys])
+        ev = (events.select(*cols, texts.alias("_texts"), nums.alias("_nums"))
+              .select(*cols, "_texts", "_nums", F.inline(key_rows))
+              .filter(F.col("a_value").isNotNull()))
+        anchors = spark.createDataFrame(plan.anchors, ANCHOR_SCHEMA)
+        join_keys = ["a_fidx", "a_mode", "a_value"]
+        if len(plan.anchors) <= broadcast_limit:
+            joined = ev.join(F.broadcast(anchors), join_keys)
+        else:
+            # deterministic salt (a retried task must land rows in the same place)
+            salt_key = [quoted(k) for k in (salt_by or events.columns[:1])]
+            ev = ev.withColumn("_salt", F.pmod(F.xxhash64(*salt_key), F.lit(salt)).cast("int"))
+            anchors = anchors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+            joined = ev.join(anchors, join_keys + ["_salt"])
+        hit = joined.filter(F.forall("rest", lambda c: _holds(c, F.col("_texts"), F.col("_nums"))))
+        parts.append(hit.select(*cols, *[F.col(f) for f in MATCH_FIELDS]))
+    if plan.unanchored:
+        parts.append(scan(events, plan.unanchored).select(*cols, *[F.col(f) for f in MATCH_FIELDS]))
+    if not parts:
+        return scan(events, [])
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

@@ -1 +1,8 @@
-"""More oracle SQL."""
+"""Oracle SQL for the table-driven scan, sinks and streaming queries."""
+
+from __future__ import annotations
+
+from tripwire.plans.oracle import SQL
+
+SQL["rule_scan_table"] = SQL["rule_scan"]
+SQL["rule_scan_table_salted"] = SQL["rule_scan"]

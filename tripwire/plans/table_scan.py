@@ -1 +1,20 @@
-"""Registered later."""
+"""Registered queries for the table-driven scan."""
+
+from __future__ import annotations
+
+from tripwire.operators.table_scan import scan_table
+from tripwire.plans import catalog as C
+from tripwire.plans.queries import events, query
+
+
+@query("rule_scan_table")
+def q_rule_scan_table(spark, sf):
+    return scan_table(events(spark, sf), C.flagship_rules()).select(
+        "event_id", "rule_id", "rule_name", "rule_severity", "rule_description", "event_action", "source_ip")
+
+
+@query("rule_scan_table_salted")
+def q_rule_scan_table_salted(spark, sf):
+    # the shuffle-join path (anchor table above the broadcast limit), salted against hot values
+    return scan_table(events(spark, sf), C.flagship_rules(), broadcast_limit=0, salt=4).select(
+        "event_id", "rule_id", "rule_name", "rule_severity", "rule_description", "event_action", "source_ip")
