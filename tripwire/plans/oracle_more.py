@@ -6,3 +6,24 @@ from tripwire.plans.oracle import SQL
 
 SQL["rule_scan_table"] = SQL["rule_scan"]
 SQL["rule_scan_table_salted"] = SQL["rule_scan"]
+
+from tripwire.plans.oracle import _MF, ECS, MATCHES, UDM_FLAT  # noqa: E402
+
+SQL["export_events_csv"] = (f"{ECS} SELECT event_id, \"timestamp\", event_severity, event_action, event_outcome, "
+                            f"destination_port, user_name, message FROM ecs WHERE {_MF}")
+SQL["export_udm_json"] = f"{ECS} SELECT {UDM_FLAT} FROM ecs"
+SQL["export_matches_csv"] = SQL["match_report"]
+SQL["export_matches_json"] = (MATCHES + "SELECT event_id, rule_name, rule_severity, rule_description, event_action, "
+                              "source_ip, CAST(CASE rule_id WHEN 0 THEN 3 WHEN 2 THEN 1 ELSE 2 END AS INTEGER) "
+                              "AS n_reasons FROM m")
+SQL["stream_rule_scan"] = SQL["rule_scan"]
+SQL["stream_timeline"] = SQL["timeline"]
+SQL["stream_alerts"] = f"""{ECS},
+alerts AS (SELECT * FROM (VALUES ('Hourly Nmap', 'nmap_scan', 3), ('Hourly Failed Logins', 'failed_login', 4))
+           AS t(name, event_type, threshold)),
+counts AS (SELECT date_trunc('hour', "timestamp") AS window_start, event_action, count(*) AS n FROM ecs
+           WHERE event_action IN ('nmap_scan', 'failed_login') GROUP BY 1, 2)
+SELECT c.window_start, a.name, a.event_type, CAST(a.threshold AS INTEGER) AS threshold, c.n,
+       c.n >= a.threshold AS triggered
+FROM counts c JOIN alerts a ON c.event_action = a.event_type
+"""

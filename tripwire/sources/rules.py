@@ -1,0 +1,171 @@
+"""Rule files as data: load, validate, merge and export with Spark.
+
+A rule file holds one JSON object or an array of them. Loading reads every matching
+file under a folder (recursively, ``.git`` folders skipped) with the whole-text reader,
+splits arrays into one row per rule and keeps each rule's raw JSON text, so condition
+order and JSON types survive for the compiler. Files that are not valid JSON and
+entries that are not objects become rows of a rejects table instead of aborting the load.
+
+Validation runs as column expressions on the rules table (JSON types via VARIANT), so a
+repository of many thousands of rule files is checked in parallel.
+"""
+
+from __future__ import annotations
+
+import json
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tripwire.operators.rules import VALIDATION_MESSAGES, Rule, RuleError
+from tripwire.schema import SEVERITIES
+
+RULE_FILE_GLOB = "*.{yaral,json}"
+COMPILE_RULE_LIMIT = 50_000
+
+
+def read_rule_files(spark: SparkSession, path: str, glob: str = RULE_FILE_GLOB) -> DataFrame:
+    """(path, content) per rule file; recursive; files inside ``.git`` folders skipped."""
+    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
+          .option("pathGlobFilter", glob).text(path)
+          .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
+    return df.filter(~F.col("path").contains("/.git/"))
+
+
+def rule_texts_frame(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
+    """(path, content) rows from in-memory texts (uploads, tests)."""
+    return spark.createDataFrame(texts, "path string, content string")
+
+
+def _entries(files: DataFrame) -> DataFrame:
+    body = F.trim(F.col("content"))
+    as_array = F.from_json(body, "array<string>")
+    ok_json = F.try_parse_json(body).isNotNull()
+    entries = F.when(body.startswith("["), as_array).when(ok_json, F.array(body))
+    return files.select("path", ok_json.alias("_ok"), entries.alias("_e"))
+
+
+def load_rules(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rules, rejects). rules: one row per rule entry, raw JSON kept in ``rule_json``."""
+    e = _entries(files)
+    rejects_file = e.filter(~F.col("_ok") | F.col("_e").isNull()).select(
+        "path", F.lit(None).cast("int").alias("entry_index"), F.lit("JSON decode error").alias("error"))
+    exploded = (e.filter(F.col("_e").isNotNull())
+                .select("path", F.posexplode("_e").alias("entry_index", "rule_json")))
+    v = F.try_parse_json("rule_json")
+    kind = F.schema_of_variant(v)
+    is_obj = kind.startswith("OBJECT")
+    conds_kind = F.schema_of_variant(F.try_variant_get(v, "$.conditions", "variant"))
+    cond_ok = conds_kind.isNull() | conds_kind.startswith("OBJECT")
+    rejects_entry = exploded.filter(~is_obj | ~cond_ok).select(
+        "path", "entry_index",
+        F.when(~is_obj, F.lit("rule entry is not an object")).otherwise(F.lit("'conditions' is not an object"))
+        .alias("error"))
+    rules = exploded.filter(is_obj & cond_ok).select(
+        "path", "entry_index", "rule_json",
+        F.coalesce(F.get_json_object("rule_json", "$.name"), F.lit("Unnamed Rule")).alias("name"),
+        F.coalesce(F.get_json_object("rule_json", "$.severity"), F.lit("medium")).alias("severity"),
+        F.coalesce(F.get_json_object("rule_json", "$.description"), F.lit("")).alias("description"),
+        truthy(F.try_variant_get(v, "$.enabled", "variant"), default=True).alias("enabled"),
+        F.coalesce(F.get_json_object("rule_json", "$.conditions"), F.lit("{}")).alias("conditions_json"),
+    )
+    return rules, rejects_file.unionByName(rejects_entry)
+
+
+def truthy(x: Column, default: bool) -> Column:
+    """Python truthiness of a JSON value held as VARIANT (SQL null = key absent)."""
+    t = F.schema_of_variant(x)
+    return (F.when(x.isNull(), F.lit(default))
+            .when(F.is_variant_null(x), F.lit(False))
+            .when(t == "BOOLEAN", F.try_variant_get(x, "$", "boolean"))
+            .when(t == "STRING", F.length(F.try_variant_get(x, "$", "string")) > 0)
+            .when(t.startswith("ARRAY"), t != "ARRAY<VOID>")
+            .when(t.startswith("OBJECT"), t != "OBJECT<>")
+            .otherwise(F.coalesce(F.try_variant_get(x, "$", "double") != 0, F.lit(True))))
+
+
+def validate_rules(rules: DataFrame) -> DataFrame:
+    """Adds ``errors`` (array of messages, in check order) and ``valid`` to each rule row."""
+    v = F.try_parse_json("rule_json")
+    name = F.try_variant_get(v, "$.name", "variant")
+    conds = F.try_variant_get(v, "$.conditions", "variant")
+    sev = F.try_variant_get(v, "$.severity", "variant")
+    sev_ok = ((F.schema_of_variant(sev) == "STRING")
+              & F.try_variant_get(sev, "$", "string").isin(list(SEVERITIES)))
+    keys = F.json_object_keys(F.get_json_object("rule_json", "$.conditions"))
+    checks = F.array(
+        F.when(~truthy(name, default=False), F.lit(VALIDATION_MESSAGES["name"])),
+        F.when(~truthy(conds, default=False), F.lit(VALIDATION_MESSAGES["conditions"])),
+        F.when(sev.isNotNull() & ~F.coalesce(sev_ok, F.lit(False)), F.lit(VALIDATION_MESSAGES["severity"])),
+        F.when(F.coalesce(F.array_contains(keys, ""), F.lit(False)), F.lit(VALIDATION_MESSAGES["field"])),
+    )
+    errors = F.filter(checks, lambda m: m.isNotNull())
+    return rules.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
+
+
+def merge_rules(existing: DataFrame, incoming: DataFrame, order: tuple[str, ...] = ("path", "entry_index"),
+                ) -> DataFrame:
+    """Append incoming rules whose name is not already present (first of each name wins)."""
+    w = Window.partitionBy("name").orderBy(*order)
+    first = incoming.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    fresh = first.join(existing.select("name").distinct(), "name", "left_anti")
+    return existing.unionByName(fresh, allowMissingColumns=True)
+
+
+def rule_set_stats(rules: DataFrame) -> DataFrame:
+    return rules.agg(F.count(F.lit(1)).alias("total_rules"), F.count_if("enabled").alias("enabled_rules"))
+
+
+def export_rules(rules: DataFrame) -> DataFrame:
+    """One JSON text per rule with the seven rule keys (raw condition / metadata JSON kept)."""
+    def raw(path: str, default: str) -> Column:
+        return F.coalesce(F.get_json_object("rule_json", path), F.lit(default))
+
+    def text(c: Column) -> Column:
+        return F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+
+    v = F.try_parse_json("rule_json")
+    enabled_raw = F.coalesce(F.try_variant_get(v, "$.enabled", "variant").cast("string"), F.lit("true"))
+    line = F.concat(
+        F.lit('{"name": '), text(F.col("name")),
+        F.lit(', "description": '), text(F.col("description")),
+        F.lit(', "severity": '), text(F.col("severity")),
+        F.lit(', "enabled": '), enabled_raw,
+        F.lit(', "conditions": '), raw("$.conditions", "{}"),
+        F.lit(', "metadata": '), raw("$.metadata", "{}"),
+        F.lit(', "created_at": '), text(F.coalesce(F.get_json_object("rule_json", "$.created_at"),
+                                                   F.date_format(F.current_timestamp(),
+                                                                 "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))),
+        F.lit("}"))
+    return rules.select(line.alias("value"))
+
+
+def write_rules(rules: DataFrame, path: str, mode: str = "overwrite") -> str:
+    export_rules(rules).write.mode(mode).text(path)
+    return path
+
+
+def collect_rules(rules: DataFrame, limit: int = COMPILE_RULE_LIMIT) -> list[Rule]:
+    """Bring a (bounded) rule set to the driver for compilation. Order: path, entry."""
+    n = rules.count()
+    if n > limit:
+        raise RuleError(f"{n} rules exceed the compile limit {limit}; use the table-driven scan")
+    rows = rules.orderBy("path", "entry_index").select("rule_json").collect()
+    return [Rule.from_dict(json.loads(r.rule_json), i) for i, r in enumerate(rows)]
+
+
+def rules_frame(spark: SparkSession, rules: list[dict[str, Any]], path: str = "<memory>") -> DataFrame:
+    """A rules table from in-memory dicts (same columns as ``load_rules``)."""
+    texts = [(path, json.dumps(rules))]
+    return load_rules(rule_texts_frame(spark, texts))[0]
+
+
+def export_rules_text(rules: list[Rule]) -> str:
+    """Driver-side export of an in-memory rule list: an indented JSON array."""
+    return json.dumps([r.to_dict() for r in rules], indent=2)
+
+
+__all__ = ["read_rule_files", "load_rules", "validate_rules", "merge_rules", "rule_set_stats", "export_rules",
+           "write_rules", "collect_rules", "rules_frame", "export_rules_text", "T"]

@@ -27,11 +27,20 @@ def flat_for_csv(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
+# microsecond timestamps (Spark's CSV default keeps only milliseconds)
+CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+               "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    flat_for_csv(df).write.mode(mode).option("header", True).csv(path)
+    flat_for_csv(df).write.mode(mode).options(**CSV_OPTIONS).csv(path)
     return path
 
 
+def read_csv(spark, path: str, schema) -> DataFrame:
+    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+
+
 def write_events_csv(events: DataFrame, path: str, mode: str = "overwrite") -> str:
     """Filtered events as CSV with a header, in table order (no sort: the export is unsorted)."""
     return write_csv(events, path, mode)

@@ -1,0 +1,94 @@
+"""Structured Streaming versions of the scan, the timeline and the threshold alerts.
+
+The event source is the same projection chain as in batch (ECS normalisation, hour,
+UDM) applied to a streaming read, so every stateless operator is shared.
+
+* ``stream_scan``: the compiled rule scan is stateless -> append mode to any file sink.
+* ``stream_timeline`` / ``stream_alert_counts``: event-time tumbling windows with a
+  watermark. ``append`` emits a window once the watermark passes its end (late rows
+  beyond the watermark are dropped, state is purged); ``complete`` re-emits the whole
+  (small: windows x severities) table every trigger.
+* Sinks write through ``foreachBatch`` to Parquet so no result passes through the driver;
+  checkpoints (offsets + state store) live under the shared checkpoint folder, so a
+  restarted query resumes exactly where it stopped.
+"""
+
+from __future__ import annotations
+
+from typing import Any
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tripwire.operators.normalize import ecs_normalize, with_hour
+from tripwire.operators.scan import scan
+from tripwire.operators.udm import with_udm
+from tripwire.schema import DRIVER_EVENTS_SCHEMA
+from tripwire.session import shared_dir
+from tripwire.sources.events import raw_security_records
+
+
+def read_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None,
+                      udm: bool = True) -> DataFrame:
+    """Streaming ECS events from the ``events`` Parquet file(s) of a folder."""
+    reader = (spark.readStream.schema(DRIVER_EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet"))
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    raw = reader.parquet(sf_dir)
+    ev = with_hour(ecs_normalize(raw_security_records(raw)))
+    return with_udm(ev) if udm else ev
+
+
+def event_time(events: DataFrame, ts: str = "timestamp") -> DataFrame:
+    """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ); session time zone pins the cast."""
+    return events.withColumn("_event_time", F.col(ts).cast("timestamp"))
+
+
+def stream_scan(events: DataFrame, rules: Any) -> DataFrame:
+    return scan(events, rules)
+
+
+def stream_timeline(events: DataFrame, watermark: str = "1 hour", window: str = "1 hour") -> DataFrame:
+    ev = event_time(events).withWatermark("_event_time", watermark)
+    return (ev.filter(F.col("event_severity").isNotNull())
+            .groupBy(F.window("_event_time", window).alias("w"), F.col("event_severity").alias("severity"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("w.start").cast("timestamp_ntz").alias("hour_start"), "severity", "n"))
+
+
+def stream_alert_counts(events: DataFrame, actions: list[str], watermark: str = "1 hour",
+                        window: str = "1 hour") -> DataFrame:
+    ev = event_time(events).withWatermark("_event_time", watermark)
+    return (ev.filter(F.col("event_action").isin(sorted(set(actions))))
+            .groupBy(F.window("_event_time", window).alias("w"), F.col("event_action"))
+            .agg(F.count(F.lit(1)).alias("n"))
+            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_action", "n"))
+
+
+def alert_windows(counts: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Per (window, alert rule): events of the watched action and whether it fired."""
+    j = counts.join(F.broadcast(alerts), counts["event_action"] == alerts["event_type"])
+    return j.select("window_start", "name", "event_type", "threshold", "n",
+                    (F.col("n") >= F.col("threshold")).alias("triggered"))
+
+
+def run_to_parquet(stream: DataFrame, name: str, mode: str = "append", transform=None,
+                   path: str | None = None, checkpoint: str | None = None) -> str:
+    """Run a streaming query over all available input (``availableNow``) into Parquet.
+
+    ``append`` writes each micro-batch's new rows; ``complete`` overwrites the table with
+    the full result of every trigger. ``transform`` (batch DataFrame -> DataFrame) runs
+    inside each micro-batch, e.g. a join with a static alert table.
+    """
+    spark = stream.sparkSession
+    out = path or shared_dir(spark, f"stream-{name}")
+    ckpt = checkpoint or shared_dir(spark, f"stream-{name}-ckpt")
+
+    def sink(batch: DataFrame, _epoch: int) -> None:
+        df = transform(batch) if transform else batch
+        df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+
+    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
+         .foreachBatch(sink).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return out
