@@ -57,7 +57,7 @@ def py_float_text(c: Column) -> Column:
         sig.substr(F.lit(1), F.lit(1)),
         F.when(n > 1, F.concat(F.lit("."), rest)).otherwise(F.lit("")),
         F.lit("e"), F.when(x < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.lpad(F.abs(x).cast("string"), 2, "0"))
+        F.when(F.abs(x) < 10, F.concat(F.lit("0"), F.abs(x).cast("string"))).otherwise(F.abs(x).cast("string")))
     laid = F.when((x >= -4) & (x < 16), positional).otherwise(scientific)
     sign = F.when(neg, F.lit("-")).otherwise(F.lit(""))
     return (F.when(c.isNull(), F.lit(None).cast("string"))

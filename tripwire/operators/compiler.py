@@ -145,7 +145,14 @@ def condition_column(schema: T.StructType, field: str, cond: Any, regex_ok=None)
         return FALSE
     if expr is None:
         return FALSE
-    return F.coalesce(expr, F.lit(False))
+    # Left nullable on purpose: filters, CASE WHEN and count_if treat null as false, and a
+    # bare comparison (no coalesce around it) is what Parquet filter pushdown recognises.
+    return expr
+
+
+def strict(c: Column | None) -> Column:
+    """A non-null boolean (for display); None (never holds) -> false."""
+    return F.lit(False) if c is None else F.coalesce(c, F.lit(False))
 
 
 def all_of(cols: list[Column]) -> Column:

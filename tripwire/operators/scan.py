@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from tripwire.functions.fields import quoted, resolve
 from tripwire.functions.pytext import py_str, text_of
-from tripwire.operators.compiler import (CompiledRule, any_of, compile_rules, condition_column)
+from tripwire.operators.compiler import (CompiledRule, any_of, compile_rules, condition_column, strict)
 from tripwire.operators.rules import Rule, as_rules
 from tripwire.schema import NOT_AVAILABLE, REASON_TEMPLATE, SEVERITIES, UNKNOWN_SEVERITY
 
@@ -127,7 +127,7 @@ def rule_explain(events: DataFrame, rule: Any, key: str = "event_id", regex_ok=N
         ok = condition_column(events.schema, field, cond, regex_ok)
         rows.append(F.struct(F.lit(i).alias("condition_index"), F.lit(field).alias("field"),
                              F.lit(py_str(cond)).alias("expected"), found.alias("found"),
-                             (ok if ok is not None else F.lit(False)).alias("matched")))
+                             strict(ok).alias("matched")))
     if not rows:
         return events.filter(F.lit(False)).select(
             quoted(key), F.lit(0).alias("condition_index"), F.lit("").alias("field"),
