@@ -41,14 +41,14 @@ def test_compiled_equals_table_equals_brute(spark):
     assert len(brute) > 0
 
 
-def test_prefilter_off_same(spark):
+def test_prefilter_on_off_same(spark):
     ev = security_events(spark, SF_SMALL, udm=False)
-    rules = generated_rules(25, seed=3)
-    assert _pairs(SC.scan(ev, rules)) == _pairs(SC.scan(ev, rules, prefilter=False))
+    rules = generated_rules(60, seed=3)
+    assert _pairs(SC.scan(ev, rules, prefilter=True)) == _pairs(SC.scan(ev, rules, prefilter=False))
 
 
 def test_scan_plan_has_no_exchange_or_python(spark):
-    ev = security_events(spark, SF_SMALL)
+    ev = security_events(spark, SF_SMALL, spread=False)
     plan = SC.scan(ev, sample_rules()).select("event_id", "rule_name")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
     assert "Python" not in plan
@@ -56,7 +56,7 @@ def test_scan_plan_has_no_exchange_or_python(spark):
 
 
 def test_scan_prunes_columns(spark):
-    ev = security_events(spark, SF_SMALL)
+    ev = security_events(spark, SF_SMALL, spread=False)
     rules = [{"name": "crit", "conditions": {"event.severity": "critical"}}]
     plan = SC.scan(ev, rules).select("event_id", "rule_name")._jdf.queryExecution().executedPlan().toString()
     assert "props" not in plan.split("ReadSchema")[-1].split("\n")[0]
@@ -64,7 +64,7 @@ def test_scan_prunes_columns(spark):
 
 def test_typed_filter_pushed_to_parquet(spark):
     from tripwire.sources.events import read_table
-    li = read_table(spark, SF_SMALL, "lineitem")
+    li = read_table(spark, SF_SMALL, "lineitem")          # spread: the filter still reaches the scan
     plan = SC.scan(li, [{"name": "q", "conditions": {"l_quantity": {"gt": 45}}}])._jdf.queryExecution() \
         .executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)]" in plan

@@ -34,15 +34,21 @@ def _s(v: Any) -> str | None:
     return v if isinstance(v, str) else py_str(v)
 
 
+def sql_str(v: str | None) -> str:
+    """A Spark SQL string literal (default escape processing) or NULL."""
+    if v is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def _match_struct(c: CompiledRule) -> Column:
+    """The rule's constant match record, built as one SQL expression (one JVM call)."""
     r = c.rule
-    return F.struct(
-        F.lit(r.rule_id).alias("rule_id"),
-        F.lit(_s(r.name)).cast("string").alias("rule_name"),
-        F.lit(_s(r.description)).cast("string").alias("rule_description"),
-        F.lit(_s(r.severity)).cast("string").alias("rule_severity"),
-        F.array(*[F.lit(x) for x in c.reasons]).cast("array<string>").alias("reasons"),
-    )
+    reasons = ", ".join(sql_str(x) for x in c.reasons)
+    return F.expr(
+        f"named_struct('rule_id', {int(r.rule_id)}, 'rule_name', {sql_str(_s(r.name))}, "
+        f"'rule_description', {sql_str(_s(r.description))}, 'rule_severity', {sql_str(_s(r.severity))}, "
+        f"'reasons', CAST(array({reasons}) AS ARRAY<STRING>))")
 
 
 def live_rules(events: DataFrame, rules: Any, regex_ok=None) -> list[CompiledRule]:
@@ -57,10 +63,22 @@ def _empty_matches(events: DataFrame) -> DataFrame:
         F.lit(None).cast("array<string>").alias("reasons"))
 
 
-def scan(events: DataFrame, rules: Any, *, prefilter: bool = True, scanned_at: Column | None = None,
+PREFILTER_MAX_RULES = 32
+
+
+def scan(events: DataFrame, rules: Any, *, prefilter: bool | None = None, scanned_at: Column | None = None,
          regex_ok=None) -> DataFrame:
-    """One row per (event, matching enabled rule): event columns + rule columns + reasons."""
+    """One row per (event, matching enabled rule): event columns + rule columns + reasons.
+
+    ``prefilter`` (default: on for up to 32 live rules) filters on the OR of all rule
+    predicates first, so typed comparisons reach the Parquet reader as pushed filters.
+    With many rules nearly every row passes anyway and the OR doubles the evaluation
+    work (and overflows generated-code size), so it is skipped: rows whose hit array is
+    empty simply produce nothing in the explode.
+    """
     compiled = live_rules(events, rules, regex_ok)
+    if prefilter is None:
+        prefilter = len(compiled) <= PREFILTER_MAX_RULES
     if not compiled:
         out = _empty_matches(events)
     else:

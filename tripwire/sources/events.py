@@ -24,10 +24,22 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer partitions than task slots (one small file,
+    one row group) so CPU-heavy rule evaluation uses every core. A large input (many
+    files / row groups) already has more partitions than slots: untouched, no shuffle."""
+    if df.isStreaming:
+        return df
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
     if name == "events":
-        return spark.read.schema(DRIVER_EVENTS_SCHEMA).parquet(table_path(sf_dir, name))
-    return spark.read.parquet(table_path(sf_dir, name))
+        df = spark.read.schema(DRIVER_EVENTS_SCHEMA).parquet(table_path(sf_dir, name))
+    else:
+        df = spark.read.parquet(table_path(sf_dir, name))
+    return spread_small_input(df) if spread else df
 
 
 def read_ecs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -74,12 +86,12 @@ def raw_security_records(events: DataFrame, carry: tuple[str, ...] = ()) -> Data
 
 
 def security_events(spark: SparkSession, sf_dir: str, *, udm: bool = True, hour: bool = True,
-                    carry: tuple[str, ...] = ()) -> DataFrame:
+                    carry: tuple[str, ...] = (), spread: bool = True) -> DataFrame:
     """The flat ECS event table derived from ``events`` (+ ``hour`` and nested ``udm``).
 
     ``carry`` passes raw columns (e.g. ``props``) through next to ``event_id``.
     """
-    ecs = ecs_normalize(raw_security_records(read_table(spark, sf_dir, "events"), carry),
+    ecs = ecs_normalize(raw_security_records(read_table(spark, sf_dir, "events", spread), carry),
                         keep=("event_id",) + tuple(carry))
     if hour:
         ecs = with_hour(ecs)
