@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripwire.functions.sqltext import sql_ident, sql_str
 from tripwire.schema import ecs_column
 
 
@@ -55,3 +56,33 @@ def resolve(schema: T.StructType, field: str) -> tuple[Column, T.DataType] | Non
         else:
             return None
     return col, dtype
+
+
+def resolve_sql(schema: T.StructType, field: str) -> tuple[str, T.DataType] | None:
+    """Same lookup as ``resolve``, as SQL text (for one-call ``F.expr`` predicates)."""
+    hit = _top(schema, field)
+    if hit is not None:
+        return sql_ident(hit.name), hit.dataType
+    alias = ecs_column(field)
+    if alias != field:
+        hit = _top(schema, alias)
+        if hit is not None:
+            return sql_ident(hit.name), hit.dataType
+    parts = field.split(".")
+    if len(parts) < 2:
+        return None
+    root = _top(schema, parts[0])
+    if root is None:
+        return None
+    ref, dtype = sql_ident(root.name), root.dataType
+    for key in parts[1:]:
+        if isinstance(dtype, T.StructType):
+            sub = _top(dtype, key)
+            if sub is None:
+                return None
+            ref, dtype = f"{ref}.{sql_ident(sub.name)}", sub.dataType
+        elif isinstance(dtype, T.MapType) and isinstance(dtype.keyType, T.StringType):
+            ref, dtype = f"try_element_at({ref}, {sql_str(key)})", dtype.valueType
+        else:
+            return None
+    return ref, dtype

@@ -1,0 +1,29 @@
+"""SQL-text helpers: literals and identifiers for expressions passed to ``F.expr``.
+
+Building a large rule set through the Column API costs one JVM round trip per node;
+rendering each rule as one SQL expression costs one. The text is parsed by Spark's own
+SQL parser, so the resulting plan is identical.
+"""
+
+from __future__ import annotations
+
+import math
+
+
+def sql_str(v: str | None) -> str:
+    """A Spark SQL string literal (default escape processing) or NULL."""
+    if v is None:
+        return "CAST(NULL AS STRING)"
+    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_ident(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def sql_double(d: float) -> str:
+    if math.isnan(d):
+        return "CAST('NaN' AS DOUBLE)"
+    if math.isinf(d):
+        return "CAST('Infinity' AS DOUBLE)" if d > 0 else "CAST('-Infinity' AS DOUBLE)"
+    return f"CAST('{repr(d)}' AS DOUBLE)"

@@ -15,7 +15,6 @@ Parquet scan as pushed filters; only string work needs ``lower``.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
@@ -23,9 +22,10 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.functions.fields import resolve
-from tripwire.functions.pytext import (canonical_float, canonical_int, double_equals, float_of, py_str,
-                                       python_float, text_of, to_java_regex)
+from tripwire.functions.fields import resolve, resolve_sql
+from tripwire.functions.pytext import (_DEC, _SPECIAL, canonical_float, canonical_int, double_equals, float_of,
+                                       py_str, python_float, text_of, to_java_regex)
+from tripwire.functions.sqltext import sql_double, sql_str
 from tripwire.operators.rules import Rule, RuleError, as_rules
 from tripwire.schema import OPERATOR_ORDER, REASON_TEMPLATE
 
@@ -108,8 +108,150 @@ def compare_number(c: Column, dtype: T.DataType, operand: Any, op: str) -> Colum
     return test
 
 
+# ---------------------------------------------------------------------------
+# SQL-text builders (one JVM call per rule); None = "no SQL form, use the Column builder"
+# ---------------------------------------------------------------------------
+
+_NEVER = "__never__"
+
+
+def _double_eq_sql(r: str, d: float) -> str:
+    if d != d:
+        return f"isnan({r})"
+    if d == 0.0:
+        zero_text = "-0.0" if str(d).startswith("-") else "0.0"
+        return f"({r} = 0.0D AND CAST({r} AS STRING) = '{zero_text}')"
+    return f"{r} = {sql_double(d)}"
+
+
+def _eq_sql(r: str, dtype: T.DataType, s: str) -> str | None:
+    if isinstance(dtype, T.StringType):
+        return f"lower({r}) = {sql_str(s)}"
+    if isinstance(dtype, _INTEGRAL):
+        v = canonical_int(s)
+        return f"{r} = {v}" if v is not None and _int_fits(dtype, v) else _NEVER
+    if isinstance(dtype, T.BooleanType):
+        return r if s == "true" else f"NOT {r}" if s == "false" else _NEVER
+    if isinstance(dtype, T.DoubleType):
+        d = canonical_float(s)
+        return _double_eq_sql(r, d) if d is not None else _NEVER
+    return None
+
+
+def _in_sql(r: str, dtype: T.DataType, members: list[str]) -> str | None:
+    if not members:
+        return _NEVER
+    if isinstance(dtype, T.StringType):
+        return f"{r} IN ({', '.join(sql_str(m) for m in sorted(set(members)))})"
+    if isinstance(dtype, _INTEGRAL):
+        vals = sorted({v for v in map(canonical_int, members) if v is not None and _int_fits(dtype, v)})
+        return f"{r} IN ({', '.join(map(str, vals))})" if vals else _NEVER
+    if isinstance(dtype, T.BooleanType):
+        vals = sorted({m == "True" for m in members if m in ("True", "False")})
+        return f"{r} IN ({', '.join(str(v).lower() for v in vals)})" if vals else _NEVER
+    if isinstance(dtype, T.DoubleType):
+        ds = [d for d in map(canonical_float, members) if d is not None]
+        if not ds:
+            return _NEVER
+        return "(" + " OR ".join(_double_eq_sql(r, d) for d in ds) + ")"
+    return None
+
+
+def _float_sql(r: str, dtype: T.DataType) -> str | None:
+    if isinstance(dtype, T.StringType):
+        t = f"trim(regexp_replace({r}, {sql_str(r'^\s+|\s+$')}, ''))"
+        return (f"(CASE WHEN {t} RLIKE {sql_str(_DEC)} THEN try_cast(replace({t}, '_', '') AS DOUBLE) "
+                f"WHEN {t} RLIKE {sql_str(_SPECIAL)} THEN (CASE WHEN lower({t}) LIKE '%nan%' "
+                f"THEN CAST('NaN' AS DOUBLE) WHEN {t} LIKE '-%' THEN CAST('-Infinity' AS DOUBLE) "
+                f"ELSE CAST('Infinity' AS DOUBLE) END) END)")
+    if isinstance(dtype, (T.BooleanType, T.NumericType)):
+        return f"CAST({r} AS DOUBLE)"
+    return _NEVER
+
+
+def _condition_sql(r: str, dtype: T.DataType, cond: Any, regex_ok) -> str | None:
+    if scalar_like(cond):
+        return _eq_sql(r, dtype, py_str(cond).lower())
+    if not isinstance(cond, dict):
+        return _NEVER
+    op = first_operator(cond)
+    if op is None:
+        return _NEVER
+    operand = cond[op]
+    if op == "contains":
+        if not isinstance(dtype, T.StringType):
+            return None
+        return f"contains(lower({r}), {sql_str(py_str(operand).lower())})"
+    if op == "regex":
+        if not isinstance(operand, str):
+            raise RuleError("regex operand is not a string")
+        jp = to_java_regex(operand)
+        if jp is None or (regex_ok is not None and not regex_ok(jp)):
+            return _NEVER
+        return f"{r} RLIKE {sql_str(jp)}" if isinstance(dtype, T.StringType) else None
+    if op == "in":
+        if isinstance(operand, (int, float, bool)) or operand is None:
+            raise RuleError("'in' operand is not iterable")
+        return _in_sql(r, dtype, [py_str(m) for m in operand])
+    if op in ("eq", "ne"):
+        eq = _eq_sql(r, dtype, py_str(operand).lower())
+        if eq is None or op == "eq":
+            return eq
+        return f"{r} IS NOT NULL" if eq == _NEVER else f"({r} IS NOT NULL AND NOT ({eq}))"
+    bound = python_float(operand)
+    if bound is None or bound != bound:
+        return _NEVER
+    v = _float_sql(r, dtype)
+    if v == _NEVER:
+        return _NEVER
+    cmp = ">" if op == "gt" else "<"
+    test = f"{v} {cmp} {sql_double(bound)}"
+    if isinstance(dtype, (T.DoubleType, T.FloatType, T.StringType)):
+        test = f"({test} AND NOT isnan({v}))"
+    return test
+
+
+class Pred:
+    """A compiled condition / rule predicate: SQL text when available, else a Column."""
+
+    __slots__ = ("sql", "_col")
+
+    def __init__(self, sql: str | None = None, col: Column | None = None):
+        self.sql, self._col = sql, col
+
+    @property
+    def column(self) -> Column:
+        if self._col is None:
+            self._col = F.expr(self.sql)
+        return self._col
+
+
+def condition_pred(schema: T.StructType, field: str, cond: Any, regex_ok=None) -> Pred | None:
+    """Compile one condition; None means it can never hold."""
+    hit = resolve_sql(schema, field)
+    if hit is None:
+        return None
+    text = _condition_sql(hit[0], hit[1], cond, regex_ok)
+    if text == _NEVER:
+        return None
+    if text is not None:
+        return Pred(sql=text)
+    col = _condition_column(schema, field, cond, regex_ok)
+    return None if col is None else Pred(col=col)
+
+
 def condition_column(schema: T.StructType, field: str, cond: Any, regex_ok=None) -> Column | None:
-    """Compile one condition. None means the condition can never hold."""
+    """Compile one condition to a (nullable) boolean Column; None means it never holds.
+
+    Left nullable on purpose: filters, CASE WHEN and count_if treat null as false, and a
+    bare comparison (no coalesce around it) is what Parquet filter pushdown recognises.
+    """
+    p = condition_pred(schema, field, cond, regex_ok)
+    return None if p is None else p.column
+
+
+def _condition_column(schema: T.StructType, field: str, cond: Any, regex_ok=None) -> Column | None:
+    """Column-builder form, used for the typed cases that have no SQL-text form."""
     hit = resolve(schema, field)
     if hit is None:
         return FALSE
@@ -124,15 +266,11 @@ def condition_column(schema: T.StructType, field: str, cond: Any, regex_ok=None)
         if op == "contains":
             expr = F.lower(text_of(c, dtype)).contains(F.lit(py_str(operand).lower()))
         elif op == "regex":
-            if not isinstance(operand, str):
-                raise RuleError(f"regex operand on '{field}' is not a string")
             jp = to_java_regex(operand)
             if jp is None or (regex_ok is not None and not regex_ok(jp)):
                 return FALSE
             expr = text_of(c, dtype).rlike(jp)
         elif op == "in":
-            if isinstance(operand, (int, float, bool)) or operand is None:
-                raise RuleError(f"'in' operand on '{field}' is not iterable")
             expr = member_of(c, dtype, [py_str(m) for m in operand])
         elif op == "eq":
             expr = equals_text(c, dtype, py_str(operand).lower())
@@ -143,10 +281,6 @@ def condition_column(schema: T.StructType, field: str, cond: Any, regex_ok=None)
             expr = compare_number(c, dtype, operand, op)
     else:
         return FALSE
-    if expr is None:
-        return FALSE
-    # Left nullable on purpose: filters, CASE WHEN and count_if treat null as false, and a
-    # bare comparison (no coalesce around it) is what Parquet filter pushdown recognises.
     return expr
 
 
@@ -175,11 +309,28 @@ def _balanced(cols: list[Column], op) -> Column:
     return cols[0]
 
 
-@dataclass(frozen=True)
 class CompiledRule:
-    rule: Rule
-    predicate: Column | None            # None: never matches
-    reasons: tuple[str, ...]
+    """A rule plus its predicate (SQL text when every condition has one) and reasons."""
+
+    def __init__(self, rule: Rule, parts: list[Pred] | None, reasons: tuple[str, ...]):
+        self.rule, self.reasons = rule, reasons
+        self.predicate_sql: str | None = None
+        self._col: Column | None = None
+        self.live = parts is not None
+        if parts is not None:
+            if all(p.sql is not None for p in parts):
+                self.predicate_sql = " AND ".join(f"({p.sql})" for p in parts)
+            else:
+                self._col = all_of([p.column for p in parts])
+
+    @property
+    def predicate(self) -> Column | None:
+        """Boolean Column (nullable), or None when the rule can never match."""
+        if not self.live:
+            return None
+        if self._col is None:
+            self._col = F.expr(self.predicate_sql)
+        return self._col
 
 
 def reasons_of(rule: Rule) -> tuple[str, ...]:
@@ -191,11 +342,11 @@ def compile_rule(schema: T.StructType, rule: Rule, regex_ok=None) -> CompiledRul
         return CompiledRule(rule, None, ())
     parts = []
     for f, cond in rule.conditions:
-        col = condition_column(schema, f, cond, regex_ok)
-        if col is None:
+        p = condition_pred(schema, f, cond, regex_ok)
+        if p is None:
             return CompiledRule(rule, None, reasons_of(rule))
-        parts.append(col)
-    return CompiledRule(rule, all_of(parts), reasons_of(rule))
+        parts.append(p)
+    return CompiledRule(rule, parts, reasons_of(rule))
 
 
 def compile_rules(schema: T.StructType, rules: Any, regex_ok=None) -> list[CompiledRule]:

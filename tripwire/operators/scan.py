@@ -1,10 +1,11 @@
 """Rule scans over event tables.
 
-Compiled scan (``scan``): every enabled rule becomes one boolean Column. The events are
-first filtered on the OR of all rule predicates (typed literal comparisons reach the
-Parquet reader as pushed filters), then each surviving row emits one match per rule that
-holds via ``explode(filter(array(CASE WHEN p_i THEN match_i END ...)))``. One pass over
-the data, no join, no shuffle: the plan is a scan, a filter and a Generate.
+Compiled scan (``scan``): every enabled rule becomes one boolean SQL expression. For small
+rule sets the events are first filtered on the OR of all rule predicates (typed literal
+comparisons reach the Parquet reader as pushed filters); then each row emits the ids of
+the rules that hold via ``explode(filter(array(CASE WHEN p_i THEN i END ...)))`` and the
+rule's name / severity / reasons come from a broadcast lookup of the rule table (sized
+by the rule count). One pass over the data; the events are never shuffled.
 
 Test / explain / reports are built the same way: per-rule counts are ``count_if``
 aggregates in one pass (partial aggregation, one tiny final stage) and the first-k
@@ -21,6 +22,7 @@ from pyspark.sql import types as T
 
 from tripwire.functions.fields import quoted, resolve
 from tripwire.functions.pytext import py_str, text_of
+from tripwire.functions.sqltext import sql_str
 from tripwire.operators.compiler import (CompiledRule, any_of, compile_rules, condition_column, strict)
 from tripwire.operators.rules import Rule, as_rules
 from tripwire.schema import NOT_AVAILABLE, REASON_TEMPLATE, SEVERITIES, UNKNOWN_SEVERITY
@@ -34,21 +36,29 @@ def _s(v: Any) -> str | None:
     return v if isinstance(v, str) else py_str(v)
 
 
-def sql_str(v: str | None) -> str:
-    """A Spark SQL string literal (default escape processing) or NULL."""
-    if v is None:
-        return "CAST(NULL AS STRING)"
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+RULE_META_SCHEMA = ("rule_id int, rule_name string, rule_description string, rule_severity string, "
+                    "reasons array<string>")
+BROADCAST_RULES = 100_000
+
+
+def rule_table(spark, compiled: list[CompiledRule]) -> DataFrame:
+    """One row per live rule: id, name, description, severity, reasons (rule-sized, not data-sized)."""
+    rows = [(int(c.rule.rule_id), _s(c.rule.name), _s(c.rule.description), _s(c.rule.severity), list(c.reasons))
+            for c in compiled]
+    return spark.createDataFrame(rows, RULE_META_SCHEMA)
+
+
+def _hit(c: CompiledRule) -> Column:
+    """CASE WHEN <rule holds> THEN <rule id> END: one JVM call for an all-SQL rule."""
+    if c.predicate_sql is not None:
+        return F.expr(f"CASE WHEN {c.predicate_sql} THEN {int(c.rule.rule_id)} END")
+    return F.when(c.predicate, F.lit(int(c.rule.rule_id)))
 
 
-def _match_struct(c: CompiledRule) -> Column:
-    """The rule's constant match record, built as one SQL expression (one JVM call)."""
-    r = c.rule
-    reasons = ", ".join(sql_str(x) for x in c.reasons)
-    return F.expr(
-        f"named_struct('rule_id', {int(r.rule_id)}, 'rule_name', {sql_str(_s(r.name))}, "
-        f"'rule_description', {sql_str(_s(r.description))}, 'rule_severity', {sql_str(_s(r.severity))}, "
-        f"'reasons', CAST(array({reasons}) AS ARRAY<STRING>))")
+def _any_rule(compiled: list[CompiledRule]) -> Column:
+    if all(c.predicate_sql is not None for c in compiled):
+        return F.expr(" OR ".join(f"({c.predicate_sql})" for c in compiled))
+    return any_of([c.predicate for c in compiled])
 
 
 def live_rules(events: DataFrame, rules: Any, regex_ok=None) -> list[CompiledRule]:
@@ -82,11 +92,16 @@ def scan(events: DataFrame, rules: Any, *, prefilter: bool | None = None, scanne
     if not compiled:
         out = _empty_matches(events)
     else:
-        base = events.filter(any_of([c.predicate for c in compiled])) if prefilter else events
-        hits = F.array(*[F.when(c.predicate, _match_struct(c)) for c in compiled])
-        out = (base.select(*[quoted(n) for n in events.columns],
-                           F.explode(F.filter(hits, lambda m: m.isNotNull())).alias("_m"))
-               .select(*[quoted(n) for n in events.columns], *[F.col("_m." + f).alias(f) for f in MATCH_FIELDS]))
+        base = events.filter(_any_rule(compiled)) if prefilter else events
+        hits = F.array(*[_hit(c) for c in compiled])
+        ids = base.select(*[quoted(n) for n in events.columns],
+                          F.explode(F.filter(hits, lambda m: m.isNotNull())).alias("_rule_id"))
+        meta = rule_table(events.sparkSession, compiled).withColumnRenamed("rule_id", "_rule_id")
+        # the rule table is bounded by the rule count (checked), never by the data
+        meta = F.broadcast(meta) if len(compiled) <= BROADCAST_RULES else meta
+        out = (ids.join(meta, "_rule_id")
+               .select(*[quoted(n) for n in events.columns], F.col("_rule_id").alias("rule_id"),
+                       *[F.col(f) for f in MATCH_FIELDS if f != "rule_id"]))
     if scanned_at is not None:
         out = out.withColumn("scanned_at", scanned_at)
     return out
@@ -108,7 +123,10 @@ def rule_test_summary(events: DataFrame, rules: Any, regex_ok=None) -> DataFrame
     compiled = compile_rules(events.schema, rs, regex_ok)
     aggs = [F.count(F.lit(1)).alias("total")]
     for i, c in enumerate(compiled):
-        aggs.append(F.count_if(c.predicate if c.predicate is not None else F.lit(False)).alias(f"m{i}"))
+        if c.predicate_sql is not None:
+            aggs.append(F.expr(f"count_if({c.predicate_sql}) AS m{i}"))
+        else:
+            aggs.append(F.count_if(c.predicate if c.predicate is not None else F.lit(False)).alias(f"m{i}"))
     wide = events.agg(*aggs)
     per_rule = F.array(*[F.struct(F.lit(c.rule.rule_id).alias("rule_id"),
                                   F.lit(_s(c.rule.name)).cast("string").alias("rule_name"),

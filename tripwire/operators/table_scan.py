@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.functions.fields import quoted, resolve
+from tripwire.functions.fields import quoted, resolve, resolve_sql
 from tripwire.functions.pytext import float_of, py_str, python_float, text_of, to_java_regex
 from tripwire.operators.compiler import first_operator, reasons_of, scalar_like
 from tripwire.operators.rules import Rule, RuleError, as_rules
@@ -104,7 +104,7 @@ def plan_rules(schema: T.StructType, rules: Any) -> Plan:
             continue
         rows, dead = [], False
         for f, cond in r.conditions:
-            if resolve(schema, f) is None:
+            if resolve_sql(schema, f) is None:
                 dead = True
                 break
             if f not in index:
