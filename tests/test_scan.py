@@ -66,7 +66,8 @@ def test_scan_prunes_columns(spark):
 def test_typed_filter_pushed_to_parquet(spark):
     from tripwire.sources.events import read_table
     li = read_table(spark, SF_SMALL, "lineitem")          # spread: the filter still reaches the scan
-    plan = SC.scan(li, [{"name": "q", "conditions": {"l_quantity": {"gt": 45}}}])._jdf.queryExecution() \
+    plan = SC.scan(li, [{"name": "q", "conditions": {"l_quantity": {"gt": 45}}}], prefilter=True)._jdf \
+        .queryExecution() \
         .executedPlan().toString()
     assert "PushedFilters: [IsNotNull(l_quantity), GreaterThan(l_quantity,45.0)]" in plan
 

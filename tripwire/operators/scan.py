@@ -76,19 +76,19 @@ def _empty_matches(events: DataFrame) -> DataFrame:
 PREFILTER_MAX_RULES = 32
 
 
-def scan(events: DataFrame, rules: Any, *, prefilter: bool | None = None, scanned_at: Column | None = None,
+def scan(events: DataFrame, rules: Any, *, prefilter: bool = False, scanned_at: Column | None = None,
          regex_ok=None) -> DataFrame:
     """One row per (event, matching enabled rule): event columns + rule columns + reasons.
 
-    ``prefilter`` (default: on for up to 32 live rules) filters on the OR of all rule
-    predicates first, so typed comparisons reach the Parquet reader as pushed filters.
-    With many rules nearly every row passes anyway and the OR doubles the evaluation
-    work (and overflows generated-code size), so it is skipped: rows whose hit array is
-    empty simply produce nothing in the explode.
+    ``prefilter=True`` first filters on the OR of all rule predicates. Use it when the
+    rules test *stored* columns of a Parquet table: typed comparisons then reach the
+    reader as pushed filters (row groups skipped by min/max statistics). On derived
+    columns (e.g. the ECS projection) Catalyst would push the OR below the projection and
+    inline every derived expression, so it only costs; rows whose hit array is empty
+    already produce nothing in the explode. Ignored above 32 live rules.
     """
     compiled = live_rules(events, rules, regex_ok)
-    if prefilter is None:
-        prefilter = len(compiled) <= PREFILTER_MAX_RULES
+    prefilter = prefilter and len(compiled) <= PREFILTER_MAX_RULES
     if not compiled:
         out = _empty_matches(events)
     else:
