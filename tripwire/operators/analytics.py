@@ -34,8 +34,12 @@ def overview(events: DataFrame, *, approx: bool = False) -> DataFrame:
 
 
 def hour_bucket(ts: Column) -> Column:
-    """Start of the 1-hour bucket, same type as the (timestamp_ntz) input."""
-    return F.date_trunc("hour", ts).cast("timestamp_ntz")
+    """Start of the 1-hour bucket of a TIMESTAMP_NTZ, as TIMESTAMP_NTZ.
+
+    Built from the wall-clock fields, so it does not depend on the session time zone
+    (``date_trunc`` on NTZ returns a zoned TIMESTAMP and can shift across DST changes).
+    """
+    return F.make_timestamp_ntz(F.year(ts), F.month(ts), F.dayofmonth(ts), F.hour(ts), F.lit(0), F.lit(0))
 
 
 def timeline(events: DataFrame, ts: str = "timestamp") -> DataFrame:

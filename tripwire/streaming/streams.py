@@ -40,7 +40,9 @@ def read_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: i
 
 
 def event_time(events: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ); session time zone pins the cast."""
+    """Watermarks need TIMESTAMP (not TIMESTAMP_NTZ). The NTZ wall clock is read as UTC:
+    ``run_to_parquet`` starts every query with the session time zone pinned to UTC (the
+    running query keeps its own copy of the session settings)."""
     return events.withColumn("_event_time", F.col(ts).cast("timestamp"))
 
 
@@ -88,7 +90,12 @@ def run_to_parquet(stream: DataFrame, name: str, mode: str = "append", transform
         df = transform(batch) if transform else batch
         df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
 
-    q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-         .foreachBatch(sink).trigger(availableNow=True).start())
+    previous = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    try:
+        q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
+             .foreachBatch(sink).trigger(availableNow=True).start())
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", previous)
     q.awaitTermination()
     return out
