@@ -18,7 +18,7 @@ def _write(path, text):
 
 def test_load_folder(spark, tmp_path):
     root = str(tmp_path)
-    _write(f"{root}/a.yaral", json.dumps(SAMPLE_RULES))
+    _write(f"{root}/a.yaral", json.dumps(SAMPLE_RULES, indent=2))          # multi-line file
     _write(f"{root}/sub/deeper/b.yaral", json.dumps({"name": "one", "conditions": {"x": 1}}))
     _write(f"{root}/sub/c.json", json.dumps([{"name": "two", "conditions": {"y": {"gt": 1}}}, 5]))
     _write(f"{root}/bad.yaral", "{not json")

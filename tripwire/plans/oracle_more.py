@@ -27,3 +27,10 @@ SELECT c.window_start, a.name, a.event_type, CAST(a.threshold AS INTEGER) AS thr
        c.n >= a.threshold AS triggered
 FROM counts c JOIN alerts a ON c.event_action = a.event_type
 """
+
+from tripwire.plans.oracle import FLAGSHIP, PRIVILEGED, _matches  # noqa: E402
+
+_SIX = f"{ECS}, m AS ({_matches(FLAGSHIP + [PRIVILEGED + ([],)], 'event_id')})\n"
+SQL["rules_from_files"] = _SIX + "SELECT event_id, rule_name, rule_severity FROM m"
+SQL["rules_merge"] = _SIX + "SELECT event_id, rule_name, rule_severity FROM m"
+SQL["rules_export_roundtrip"] = MATCHES + "SELECT event_id, rule_name, rule_severity FROM m"

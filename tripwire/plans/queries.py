@@ -283,5 +283,5 @@ def q_alerts_triggered(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from tripwire.plans import roundtrip, streams, table_scan  # noqa: F401  (register)
+    from tripwire.plans import roundtrip, rule_files, streams, table_scan  # noqa: F401  (register)
     return dict(QUERIES)

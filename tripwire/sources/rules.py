@@ -28,8 +28,9 @@ COMPILE_RULE_LIMIT = 50_000
 
 def read_rule_files(spark: SparkSession, path: str, glob: str = RULE_FILE_GLOB) -> DataFrame:
     """(path, content) per rule file; recursive; files inside ``.git`` folders skipped."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-          .option("pathGlobFilter", glob).text(path)
+    # ``text()`` has its own ``wholetext=False`` default that would override an option()
+    df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+          .text(path, wholetext=True)
           .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
     return df.filter(~F.col("path").contains("/.git/"))
 
