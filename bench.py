@@ -15,21 +15,21 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from tripwire.operators import alerts as AL  # noqa: E402
-from tripwire.operators import analytics as AN  # noqa: E402
-from tripwire.operators import scan as SC  # noqa: E402
-from tripwire.operators.table_scan import scan_table  # noqa: E402
-from tripwire.plans import catalog as C  # noqa: E402
-from tripwire.plans.bench_rules import generated_rules  # noqa: E402
-from tripwire.plans.queries import QUERIES, events, queries  # noqa: E402
-from tripwire.session import build_session  # noqa: E402
+from vigilark.operators import alerts as AL  # noqa: E402
+from vigilark.operators import analytics as AN  # noqa: E402
+from vigilark.operators import scan as SC  # noqa: E402
+from vigilark.operators.table_scan import scan_table  # noqa: E402
+from vigilark.plans import catalog as C  # noqa: E402
+from vigilark.plans.bench_rules import generated_rules  # noqa: E402
+from vigilark.plans.queries import QUERIES, events, queries  # noqa: E402
+from vigilark.session import build_session  # noqa: E402
 
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     repeat = int(os.environ.get("BENCH_REPEAT", "3"))
-    spark = build_session(cpus, app="tripwire-bench", shuffle_partitions=max(cpus, 8))
+    spark = build_session(cpus, app="vigilark-bench", shuffle_partitions=max(cpus, 8))
     queries()  # register everything
 
     def ev(**kw):

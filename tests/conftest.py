@@ -12,10 +12,10 @@ SF_MID = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from tripwire.session import build_session
-    s = build_session("*", app="tripwire-tests", shuffle_partitions=8)
+    from vigilark.session import build_session
+    s = build_session("*", app="vigilark-tests", shuffle_partitions=8)
     if not s.conf.get("spark.checkpoint.dir", None):
-        d = tempfile.mkdtemp(prefix="tripwire-test-ckpt-", dir="/tmp")
+        d = tempfile.mkdtemp(prefix="vigilark-test-ckpt-", dir="/tmp")
         s.conf.set("spark.checkpoint.dir", d)
         s.sparkContext.setCheckpointDir(d)
     yield s

@@ -9,9 +9,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.functions.pytext import py_float_of_string, py_float_text, py_isoformat, text_of, to_java_regex
-from tripwire.operators.compiler import compile_rule, condition_column, strict
-from tripwire.operators.rules import Rule, RuleError, as_rules
+from vigilark.functions.pytext import py_float_of_string, py_float_text, py_isoformat, text_of, to_java_regex
+from vigilark.operators.compiler import compile_rule, condition_column, strict
+from vigilark.operators.rules import Rule, RuleError, as_rules
 
 
 def one(spark, dtype, value, field="f", cond=None):
@@ -101,7 +101,7 @@ def test_rule_and_enabled(spark):
 
 def test_reasons_use_python_repr():
     r = as_rules([{"name": "n", "conditions": {"a.b": {"in": ["x", 1, True]}, "c": 2.5}}])[0]
-    from tripwire.operators.compiler import reasons_of
+    from vigilark.operators.compiler import reasons_of
     assert reasons_of(r) == ("Matched condition on field 'a.b': {'in': ['x', 1, True]}",
                              "Matched condition on field 'c': 2.5")
 

@@ -11,7 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as E  # noqa: E402
 from conftest import SF_SMALL  # noqa: E402
 from oracle_check import digest  # noqa: E402
-from tripwire.sources.events import TABLES  # noqa: E402
+from vigilark.sources.events import TABLES  # noqa: E402
 
 NAMES = sorted(E.queries())
 SQL = E.oracle_sql()

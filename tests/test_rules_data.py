@@ -5,8 +5,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from tripwire.operators.rules import SAMPLE_RULES, as_rules, validate_rule
-from tripwire.sources.rules import (collect_rules, export_rules, export_rules_text, load_rules, merge_rules,
+from vigilark.operators.rules import SAMPLE_RULES, as_rules, validate_rule
+from vigilark.sources.rules import (collect_rules, export_rules, export_rules_text, load_rules, merge_rules,
                                     read_rule_files, rule_set_stats, rule_texts_frame, rules_frame, validate_rules)
 
 

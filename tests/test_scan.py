@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from brute import rule_matches
 from conftest import SF_SMALL
-from tripwire.operators import scan as SC
-from tripwire.operators.rules import sample_rules
-from tripwire.operators.table_scan import scan_table
-from tripwire.plans.bench_rules import generated_rules
-from tripwire.schema import ECS_FIELDS, ecs_column
-from tripwire.sources.events import security_events
+from vigilark.operators import scan as SC
+from vigilark.operators.rules import sample_rules
+from vigilark.operators.table_scan import scan_table
+from vigilark.plans.bench_rules import generated_rules
+from vigilark.schema import ECS_FIELDS, ecs_column
+from vigilark.sources.events import security_events
 
 
 def _dotted(row):
@@ -64,7 +64,7 @@ def test_scan_prunes_columns(spark):
 
 
 def test_typed_filter_pushed_to_parquet(spark):
-    from tripwire.sources.events import read_table
+    from vigilark.sources.events import read_table
     li = read_table(spark, SF_SMALL, "lineitem")          # spread: the filter still reaches the scan
     plan = SC.scan(li, [{"name": "q", "conditions": {"l_quantity": {"gt": 45}}}], prefilter=True)._jdf \
         .queryExecution() \

@@ -1,4 +1,4 @@
-"""tripwire: security-event detection and analytics as Spark DataFrame plans.
+"""vigilark: security-event detection and analytics as Spark DataFrame plans.
 
 Layout
   sources/    event tables, rule files, sinks (CSV / JSON / rule export)
@@ -8,6 +8,6 @@ Layout
   streaming/  Structured Streaming versions of the scan, timeline and alerts
 """
 
-from tripwire.session import build_session, shared_dir  # noqa: F401
+from vigilark.session import build_session, shared_dir  # noqa: F401
 
 __all__ = ["build_session", "shared_dir"]

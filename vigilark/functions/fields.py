@@ -14,8 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.functions.sqltext import sql_ident, sql_str
-from tripwire.schema import ecs_column
+from vigilark.functions.sqltext import sql_ident, sql_str
+from vigilark.schema import ecs_column
 
 
 def quoted(name: str) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tripwire.functions.pytext import py_datetime_text, py_isoformat
-from tripwire.schema import (UDM_AUTH_LOGIN, UDM_AUTH_OTHER, UDM_DEFAULT_OUTCOME, UDM_DEFAULT_SEVERITY,
+from vigilark.functions.pytext import py_datetime_text, py_isoformat
+from vigilark.schema import (UDM_AUTH_LOGIN, UDM_AUTH_OTHER, UDM_DEFAULT_OUTCOME, UDM_DEFAULT_SEVERITY,
                              UDM_EVENT_TYPE, UDM_GENERIC_EVENT, UDM_SEVERITY, UDM_SEVERITY_OTHER)
 
 

@@ -18,7 +18,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.schema import ALERT_SCHEMA, SEVERITIES
+from vigilark.schema import ALERT_SCHEMA, SEVERITIES
 
 BROADCAST_ALERT_LIMIT = 100_000
 

@@ -15,7 +15,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.functions.fields import quoted
+from vigilark.functions.fields import quoted
 
 
 def overview(events: DataFrame, *, approx: bool = False) -> DataFrame:

@@ -22,12 +22,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.functions.fields import resolve, resolve_sql
-from tripwire.functions.pytext import (_DEC, _SPECIAL, canonical_float, canonical_int, double_equals, float_of,
+from vigilark.functions.fields import resolve, resolve_sql
+from vigilark.functions.pytext import (_DEC, _SPECIAL, canonical_float, canonical_int, double_equals, float_of,
                                        py_str, python_float, text_of, to_java_regex)
-from tripwire.functions.sqltext import sql_double, sql_str
-from tripwire.operators.rules import Rule, RuleError, as_rules
-from tripwire.schema import OPERATOR_ORDER, REASON_TEMPLATE
+from vigilark.functions.sqltext import sql_double, sql_str
+from vigilark.operators.rules import Rule, RuleError, as_rules
+from vigilark.schema import OPERATOR_ORDER, REASON_TEMPLATE
 
 FALSE = None  # a condition that can never hold is represented by None
 

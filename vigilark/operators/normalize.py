@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.functions.pytext import py_isoformat
-from tripwire.schema import (ACTION_LOOKUP, AGENT_TYPE, AGENT_VERSION, DEFAULT_ACTION_META, DESTINATION_IP,
+from vigilark.functions.pytext import py_isoformat
+from vigilark.schema import (ACTION_LOOKUP, AGENT_TYPE, AGENT_VERSION, DEFAULT_ACTION_META, DESTINATION_IP,
                              EVENT_DATASET, EVENT_MODULE, HOST_NAME)
 
 

@@ -20,12 +20,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.functions.fields import quoted, resolve
-from tripwire.functions.pytext import py_str, text_of
-from tripwire.functions.sqltext import sql_str
-from tripwire.operators.compiler import (CompiledRule, any_of, compile_rules, condition_column, strict)
-from tripwire.operators.rules import Rule, as_rules
-from tripwire.schema import NOT_AVAILABLE, REASON_TEMPLATE, SEVERITIES, UNKNOWN_SEVERITY
+from vigilark.functions.fields import quoted, resolve
+from vigilark.functions.pytext import py_str, text_of
+from vigilark.functions.sqltext import sql_str
+from vigilark.operators.compiler import (CompiledRule, any_of, compile_rules, condition_column, strict)
+from vigilark.operators.rules import Rule, as_rules
+from vigilark.schema import NOT_AVAILABLE, REASON_TEMPLATE, SEVERITIES, UNKNOWN_SEVERITY
 
 MATCH_FIELDS = ("rule_id", "rule_name", "rule_description", "rule_severity", "reasons")
 

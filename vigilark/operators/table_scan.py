@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.functions.fields import quoted, resolve, resolve_sql
-from tripwire.functions.pytext import float_of, py_str, python_float, text_of, to_java_regex
-from tripwire.operators.compiler import first_operator, reasons_of, scalar_like
-from tripwire.operators.rules import Rule, RuleError, as_rules
-from tripwire.operators.scan import MATCH_FIELDS, _s, scan
+from vigilark.functions.fields import quoted, resolve, resolve_sql
+from vigilark.functions.pytext import float_of, py_str, python_float, text_of, to_java_regex
+from vigilark.operators.compiler import first_operator, reasons_of, scalar_like
+from vigilark.operators.rules import Rule, RuleError, as_rules
+from vigilark.operators.scan import MATCH_FIELDS, _s, scan
 
 BROADCAST_ANCHOR_ROWS = 200_000
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripwire.functions.fields import quoted
-from tripwire.functions.udm import udm_record
-from tripwire.schema import PRODUCT_NAME, VENDOR_NAME
+from vigilark.functions.fields import quoted
+from vigilark.functions.udm import udm_record
+from vigilark.schema import PRODUCT_NAME, VENDOR_NAME
 
 
 def _c(df: DataFrame, name: str, dtype: str = "string") -> Column:

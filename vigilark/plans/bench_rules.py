@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import random
 
-from tripwire.schema import ACTION_LOOKUP, PORTS, SEVERITIES, USER_NAMES
+from vigilark.schema import ACTION_LOOKUP, PORTS, SEVERITIES, USER_NAMES
 
 ACTIONS = tuple(ACTION_LOOKUP)
 OUTCOMES = ("success", "failure")

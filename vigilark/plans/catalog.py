@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from tripwire.operators.rules import PRIVILEGED_PROCESS_RULE, sample_rules
+from vigilark.operators.rules import PRIVILEGED_PROCESS_RULE, sample_rules
 
 
 def flagship_rules() -> list[dict]:

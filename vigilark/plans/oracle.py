@@ -35,8 +35,8 @@ WITH raw AS (
       ELSE (CASE WHEN event_id % 2 = 0 THEN 'success' ELSE 'failure' END) END AS event_outcome,
     CASE WHEN value IS NULL THEN NULL WHEN value < 35 THEN 'low' WHEN value < 115 THEN 'medium'
       WHEN value < 225 THEN 'high' ELSE 'critical' END AS event_severity,
-    'tripwire.events' AS event_dataset,
-    'tripwire' AS event_module,
+    'vigilark.events' AS event_dataset,
+    'vigilark' AS event_module,
     '10.0.0.' || CAST(user_id % 256 AS VARCHAR) AS source_ip,
     '10.0.0.' || CAST(user_id % 256 AS VARCHAR) AS source_address,
     '192.168.1.50' AS destination_ip,
@@ -46,8 +46,8 @@ WITH raw AS (
     CASE user_id % 4 WHEN 0 THEN 'admin' WHEN 1 THEN 'user1' WHEN 2 THEN 'root'
       WHEN 3 THEN 'service_account' END AS user_name,
     'Security event detected: ' || action AS message,
-    'tripwire-host' AS host_name,
-    'tripwire-agent' AS agent_type,
+    'vigilark-host' AS host_name,
+    'vigilark-agent' AS agent_type,
     '1.0.0' AS agent_version,
     CAST(hour(ts) AS INTEGER) AS hour,
     k AS props_k
@@ -73,8 +73,8 @@ SESSION = f"coalesce(source_ip, '') || '_' || coalesce(destination_ip, '') || '_
 UDM_FLAT = f"""
   at_timestamp AS udm_event_timestamp,
   {UDM_TYPE} AS udm_event_type,
-  'Tripwire Security Analytics' AS udm_product_name,
-  'Tripwire' AS udm_vendor_name,
+  'Vigilark Security Analytics' AS udm_product_name,
+  'Vigilark' AS udm_vendor_name,
   coalesce(event_action, '') AS udm_product_event_type,
   {UDM_SEV} AS udm_severity,
   coalesce(source_ip, '') AS udm_principal_ip,
@@ -291,5 +291,5 @@ SQL["alerts_triggered"] = (ALERT_STATUS + "SELECT count(*) AS total_rules, "
 
 
 def oracle_sql() -> dict[str, str]:
-    from tripwire.plans import oracle_more  # noqa: F401  (registers the remaining entries)
+    from vigilark.plans import oracle_more  # noqa: F401  (registers the remaining entries)
     return dict(SQL)

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from tripwire.plans.oracle import SQL
+from vigilark.plans.oracle import SQL
 
 SQL["rule_scan_table"] = SQL["rule_scan"]
 SQL["rule_scan_table_salted"] = SQL["rule_scan"]
 
-from tripwire.plans.oracle import _MF, ECS, MATCHES, UDM_FLAT  # noqa: E402
+from vigilark.plans.oracle import _MF, ECS, MATCHES, UDM_FLAT  # noqa: E402
 
 SQL["export_events_csv"] = (f"{ECS} SELECT event_id, \"timestamp\", event_severity, event_action, event_outcome, "
                             f"destination_port, user_name, message FROM ecs WHERE {_MF}")
@@ -28,7 +28,7 @@ SELECT c.window_start, a.name, a.event_type, CAST(a.threshold AS INTEGER) AS thr
 FROM counts c JOIN alerts a ON c.event_action = a.event_type
 """
 
-from tripwire.plans.oracle import FLAGSHIP, PRIVILEGED, _matches  # noqa: E402
+from vigilark.plans.oracle import FLAGSHIP, PRIVILEGED, _matches  # noqa: E402
 
 _SIX = f"{ECS}, m AS ({_matches(FLAGSHIP + [PRIVILEGED + ([],)], 'event_id')})\n"
 SQL["rules_from_files"] = _SIX + "SELECT event_id, rule_name, rule_severity FROM m"

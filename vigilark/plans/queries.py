@@ -1,7 +1,7 @@
 """Named queries: each takes (spark, sf_dir) and returns a lazy DataFrame.
 
 They are the operator inventory exercised end to end on the given tables; the matching
-DuckDB SQL for each lives in ``tripwire.plans.oracle``.
+DuckDB SQL for each lives in ``vigilark.plans.oracle``.
 """
 
 from __future__ import annotations
@@ -11,13 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.operators import alerts as AL
-from tripwire.operators import analytics as AN
-from tripwire.operators import scan as SC
-from tripwire.operators import udm as U
-from tripwire.operators.compiler import java_regex_checker
-from tripwire.plans import catalog as C
-from tripwire.sources.events import read_table, security_events
+from vigilark.operators import alerts as AL
+from vigilark.operators import analytics as AN
+from vigilark.operators import scan as SC
+from vigilark.operators import udm as U
+from vigilark.operators.compiler import java_regex_checker
+from vigilark.plans import catalog as C
+from vigilark.sources.events import read_table, security_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -283,5 +283,5 @@ def q_alerts_triggered(spark, sf):
 
 
 def queries() -> dict[str, Query]:
-    from tripwire.plans import roundtrip, rule_files, streams, table_scan  # noqa: F401  (register)
+    from vigilark.plans import roundtrip, rule_files, streams, table_scan  # noqa: F401  (register)
     return dict(QUERIES)

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.operators import analytics as AN
-from tripwire.operators import scan as SC
-from tripwire.operators.udm import udm_flat
-from tripwire.plans import catalog as C
-from tripwire.plans.queries import events, flagship_matches, query
-from tripwire.schema import ECS_SCHEMA, UDM_SCHEMA
-from tripwire.session import shared_dir
-from tripwire.sources import sinks
+from vigilark.operators import analytics as AN
+from vigilark.operators import scan as SC
+from vigilark.operators.udm import udm_flat
+from vigilark.plans import catalog as C
+from vigilark.plans.queries import events, flagship_matches, query
+from vigilark.schema import ECS_SCHEMA, UDM_SCHEMA
+from vigilark.session import shared_dir
+from vigilark.sources import sinks
 
 CSV_EVENT_SCHEMA = T.StructType(list(ECS_SCHEMA.fields) + [T.StructField("hour", T.IntegerType())])
 REPORT_SCHEMA = T.StructType([T.StructField(n, T.StringType())

@@ -12,11 +12,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.operators import scan as SC
-from tripwire.operators.rules import PRIVILEGED_PROCESS_RULE, sample_rules
-from tripwire.plans.queries import events, query
-from tripwire.session import shared_dir
-from tripwire.sources.rules import (collect_rules, load_rules, merge_rules, read_rule_files, rules_frame,
+from vigilark.operators import scan as SC
+from vigilark.operators.rules import PRIVILEGED_PROCESS_RULE, sample_rules
+from vigilark.plans.queries import events, query
+from vigilark.session import shared_dir
+from vigilark.sources.rules import (collect_rules, load_rules, merge_rules, read_rule_files, rules_frame,
                                     validate_rules, write_rules)
 
 PART_GLOB = "part-*"

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tripwire.operators.alerts import alerts_frame
-from tripwire.plans import catalog as C
-from tripwire.plans.queries import query
-from tripwire.streaming import streams as S
+from vigilark.operators.alerts import alerts_frame
+from vigilark.plans import catalog as C
+from vigilark.plans.queries import query
+from vigilark.streaming import streams as S
 
 
 @query("stream_rule_scan")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tripwire.operators.table_scan import scan_table
-from tripwire.plans import catalog as C
-from tripwire.plans.queries import events, query
+from vigilark.operators.table_scan import scan_table
+from vigilark.plans import catalog as C
+from vigilark.plans.queries import events, query
 
 
 @query("rule_scan_table")

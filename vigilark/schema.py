@@ -66,12 +66,12 @@ USER_NAMES = ("admin", "user1", "root", "service_account")
 # ---------------------------------------------------------------------------
 # Neutral product identifiers (parameters, not reference values).
 # ---------------------------------------------------------------------------
-PRODUCT_NAME = "Tripwire Security Analytics"
-VENDOR_NAME = "Tripwire"
-EVENT_DATASET = "tripwire.events"
-EVENT_MODULE = "tripwire"
-HOST_NAME = "tripwire-host"
-AGENT_TYPE = "tripwire-agent"
+PRODUCT_NAME = "Vigilark Security Analytics"
+VENDOR_NAME = "Vigilark"
+EVENT_DATASET = "vigilark.events"
+EVENT_MODULE = "vigilark"
+HOST_NAME = "vigilark-host"
+AGENT_TYPE = "vigilark-agent"
 AGENT_VERSION = "1.0.0"
 DESTINATION_IP = "192.168.1.50"
 

@@ -15,7 +15,7 @@ import uuid
 from pyspark.sql import SparkSession
 
 
-def build_session(cpus: int | str = "*", app: str = "tripwire", shuffle_partitions: int | None = None,
+def build_session(cpus: int | str = "*", app: str = "vigilark", shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
     parts = shuffle_partitions or (8 if cpus == "*" else max(int(cpus), 1))
     b = (SparkSession.builder.master(f"local[{cpus}]").appName(app)
@@ -44,7 +44,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     master = spark.sparkContext.master or ""
     if not master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at a shared folder (HDFS/S3/DBFS)")
-    root = tempfile.mkdtemp(prefix="tripwire-ckpt-", dir="/tmp")
+    root = tempfile.mkdtemp(prefix="vigilark-ckpt-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", root)
     spark.sparkContext.setCheckpointDir(root)
     return root

@@ -13,8 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.operators.normalize import ecs_normalize, lookup, with_hour
-from tripwire.schema import DRIVER_EVENTS_SCHEMA, ECS_SCHEMA, PORTS, USER_NAMES
+from vigilark.operators.normalize import ecs_normalize, lookup, with_hour
+from vigilark.schema import DRIVER_EVENTS_SCHEMA, ECS_SCHEMA, PORTS, USER_NAMES
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations")
@@ -96,6 +96,6 @@ def security_events(spark: SparkSession, sf_dir: str, *, udm: bool = True, hour:
     if hour:
         ecs = with_hour(ecs)
     if udm:
-        from tripwire.operators.udm import with_udm
+        from vigilark.operators.udm import with_udm
         ecs = with_udm(ecs)
     return ecs

@@ -19,8 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.operators.rules import VALIDATION_MESSAGES, Rule, RuleError
-from tripwire.schema import SEVERITIES
+from vigilark.operators.rules import VALIDATION_MESSAGES, Rule, RuleError
+from vigilark.schema import SEVERITIES
 
 RULE_FILE_GLOB = "*.{yaral,json}"
 COMPILE_RULE_LIMIT = 50_000

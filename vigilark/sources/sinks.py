@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripwire.functions.fields import quoted
-from tripwire.operators.scan import match_report
-from tripwire.operators.udm import udm_or_convert
+from vigilark.functions.fields import quoted
+from vigilark.operators.scan import match_report
+from vigilark.operators.udm import udm_or_convert
 
 
 def flat_for_csv(df: DataFrame) -> DataFrame:

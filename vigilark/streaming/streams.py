@@ -20,12 +20,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripwire.operators.normalize import ecs_normalize, with_hour
-from tripwire.operators.scan import scan
-from tripwire.operators.udm import with_udm
-from tripwire.schema import DRIVER_EVENTS_SCHEMA
-from tripwire.session import shared_dir
-from tripwire.sources.events import raw_security_records
+from vigilark.operators.normalize import ecs_normalize, with_hour
+from vigilark.operators.scan import scan
+from vigilark.operators.udm import with_udm
+from vigilark.schema import DRIVER_EVENTS_SCHEMA
+from vigilark.session import shared_dir
+from vigilark.sources.events import raw_security_records
 
 
 def read_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None,
