@@ -78,23 +78,33 @@ def run_to_parquet(stream: DataFrame, name: str, mode: str = "append", transform
                    path: str | None = None, checkpoint: str | None = None) -> str:
     """Run a streaming query over all available input (``availableNow``) into Parquet.
 
-    ``append`` writes each micro-batch's new rows; ``complete`` overwrites the table with
-    the full result of every trigger. ``transform`` (batch DataFrame -> DataFrame) runs
-    inside each micro-batch, e.g. a join with a static alert table.
+    * ``append`` without ``transform``: Spark's file sink, exactly-once through its
+      ``_spark_metadata`` log (readers see only committed files).
+    * ``complete``: every trigger overwrites the table with the full result (idempotent).
+    * ``append`` with ``transform`` (batch DataFrame -> DataFrame, e.g. a join with a static
+      table): each micro-batch overwrites its own ``epoch=<id>`` folder, so a replayed batch
+      replaces its earlier output instead of duplicating it.
     """
     spark = stream.sparkSession
     out = path or shared_dir(spark, f"stream-{name}")
     ckpt = checkpoint or shared_dir(spark, f"stream-{name}-ckpt")
 
-    def sink(batch: DataFrame, _epoch: int) -> None:
+    def sink(batch: DataFrame, epoch: int) -> None:
         df = transform(batch) if transform else batch
-        df.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
-
+        if mode == "complete":
+            df.write.mode("overwrite").parquet(out)
+        else:
+            df.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True)
+    if mode == "append" and transform is None:
+        writer = writer.format("parquet").option("path", out)
+    else:
+        writer = writer.foreachBatch(sink)
     previous = spark.conf.get("spark.sql.session.timeZone")
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     try:
-        q = (stream.writeStream.outputMode(mode).option("checkpointLocation", ckpt)
-             .foreachBatch(sink).trigger(availableNow=True).start())
+        q = writer.start()
     finally:
         spark.conf.set("spark.sql.session.timeZone", previous)
     q.awaitTermination()
