@@ -98,3 +98,10 @@ def test_random_rules_with_all_operators(spark):
     rng = random.Random(11)
     rules = generated_rules(60, seed=rng.randint(0, 10 ** 6))
     assert _pairs(SC.scan(ev, rules)) == _pairs(scan_table(ev, rules))
+
+
+def test_detect_picks_plan(spark):
+    from vigilark.operators.table_scan import detect
+    ev = security_events(spark, SF_SMALL, udm=False)
+    rules = generated_rules(30, seed=5)
+    assert _pairs(detect(ev, rules)) == _pairs(detect(ev, rules, method="table")) == _pairs(SC.scan(ev, rules))

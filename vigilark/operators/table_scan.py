@@ -189,3 +189,21 @@ def scan_table(events: DataFrame, rules: Any, *, spark: SparkSession | None = No
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+AUTO_TABLE_SCAN_RULES = 1000
+
+
+def detect(events: DataFrame, rules: Any, *, method: str = "auto", **kw) -> DataFrame:
+    """Scan with the plan that suits the rule-set size.
+
+    ``compiled`` builds one expression per rule (best up to a few hundred rules);
+    ``table`` joins on anchor conditions (rule sets in the thousands); ``auto`` picks
+    ``table`` above ``AUTO_TABLE_SCAN_RULES`` enabled rules.
+    """
+    rs = as_rules(rules)
+    if method == "auto":
+        method = "table" if sum(1 for r in rs if r.enabled) > AUTO_TABLE_SCAN_RULES else "compiled"
+    if method == "table":
+        return scan_table(events, rs, **kw)
+    return scan(events, rs, **kw)

@@ -30,8 +30,12 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     files / row groups) already has more partitions than slots: untouched, no shuffle."""
     if df.isStreaming:
         return df
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()          # plans the file splits; runs no job
+    except Exception:  # noqa: BLE001 - e.g. no RDD API (Spark Connect): leave the scan as is
+        return df
+    return df.repartition(slots) if parts < slots else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:

@@ -67,9 +67,15 @@ def stream_alert_counts(events: DataFrame, actions: list[str], watermark: str =
             .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"), "event_action", "n"))
 
 
-def alert_windows(counts: DataFrame, alerts: DataFrame) -> DataFrame:
-    """Per (window, alert rule): events of the watched action and whether it fired."""
-    j = counts.join(F.broadcast(alerts), counts["event_action"] == alerts["event_type"])
+BROADCAST_ALERTS = 100_000
+
+
+def alert_windows(counts: DataFrame, alerts: DataFrame, n_alerts: int | None = None) -> DataFrame:
+    """Per (window, alert rule): events of the watched action and whether it fired.
+
+    The alert table is broadcast only when its row count is known to be small."""
+    small = F.broadcast(alerts) if n_alerts is not None and n_alerts <= BROADCAST_ALERTS else alerts
+    j = counts.join(small, counts["event_action"] == alerts["event_type"])
     return j.select("window_start", "name", "event_type", "threshold", "n",
                     (F.col("n") >= F.col("threshold")).alias("triggered"))
 
