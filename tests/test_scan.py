@@ -105,3 +105,15 @@ def test_detect_picks_plan(spark):
     ev = security_events(spark, SF_SMALL, udm=False)
     rules = generated_rules(30, seed=5)
     assert _pairs(detect(ev, rules)) == _pairs(detect(ev, rules, method="table")) == _pairs(SC.scan(ev, rules))
+
+
+def test_java_invalid_regex_fails_at_compile_time(spark):
+    import pytest
+    from vigilark.operators.rules import RuleError
+    ev = security_events(spark, SF_SMALL, udm=False)
+    # valid for Python's re, rejected by java.util.regex (conditional group)
+    rules = [{"name": "x", "conditions": {"message": {"regex": r"(a)?(?(1)b|c)"}}}]
+    with pytest.raises(RuleError):
+        SC.scan(ev, rules)
+    # invalid for Python: the condition is simply false, no error
+    assert SC.scan(ev, [{"name": "y", "conditions": {"message": {"regex": "("}}}]).count() == 0

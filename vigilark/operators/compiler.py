@@ -373,6 +373,33 @@ def java_regex_checker(spark):
     return ok
 
 
+def rule_patterns(rules: Any) -> set[str]:
+    """Translated patterns of every regex condition of the enabled rules."""
+    out = set()
+    for r in as_rules(rules):
+        if not r.enabled:
+            continue
+        for _f, cond in r.conditions:
+            if isinstance(cond, dict) and first_operator(cond) == "regex" and isinstance(cond["regex"], str):
+                jp = to_java_regex(cond["regex"])
+                if jp is not None:
+                    out.add(jp)
+    return out
+
+
+def check_patterns(spark, rules: Any) -> None:
+    """Validate all regex patterns of a rule set in one constant query (bisect on failure)."""
+    pats = sorted(rule_patterns(rules))
+    if not pats:
+        return
+    try:
+        spark.range(1).select(*[F.lit("").rlike(p).alias(f"p{i}") for i, p in enumerate(pats)]).collect()
+    except Exception:  # noqa: BLE001 - find the offending pattern(s)
+        ok = java_regex_checker(spark)
+        for p in pats:
+            ok(p)
+
+
 def false_column() -> Column:
     return F.lit(False)
 

@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 from vigilark.functions.fields import quoted, resolve
 from vigilark.functions.pytext import py_str, text_of
 from vigilark.functions.sqltext import sql_str
-from vigilark.operators.compiler import (CompiledRule, any_of, compile_rules, condition_column, strict)
+from vigilark.operators.compiler import (CompiledRule, any_of, check_patterns, compile_rules, condition_column,
+                                         strict)
 from vigilark.operators.rules import Rule, as_rules
 from vigilark.schema import NOT_AVAILABLE, REASON_TEMPLATE, SEVERITIES, UNKNOWN_SEVERITY
 
@@ -62,8 +63,14 @@ def _any_rule(compiled: list[CompiledRule]) -> Column:
 
 
 def live_rules(events: DataFrame, rules: Any, regex_ok=None) -> list[CompiledRule]:
-    """Compiled rules that can match at least one row of this schema."""
-    return [c for c in compile_rules(events.schema, rules, regex_ok) if c.predicate is not None]
+    """Compiled rules that can match at least one row of this schema.
+
+    Regex patterns are checked against the JVM engine first (one constant query), so a
+    pattern Python accepts but Java rejects fails here, not on an executor."""
+    rs = as_rules(rules)
+    if regex_ok is None:
+        check_patterns(events.sparkSession, rs)
+    return [c for c in compile_rules(events.schema, rs, regex_ok) if c.live]
 
 
 def _empty_matches(events: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from vigilark.functions.fields import quoted, resolve, resolve_sql
 from vigilark.functions.pytext import float_of, py_str, python_float, text_of, to_java_regex
-from vigilark.operators.compiler import first_operator, reasons_of, scalar_like
+from vigilark.operators.compiler import check_patterns, first_operator, reasons_of, scalar_like
 from vigilark.operators.rules import Rule, RuleError, as_rules
 from vigilark.operators.scan import MATCH_FIELDS, _s, scan
 
@@ -152,6 +152,7 @@ def scan_table(events: DataFrame, rules: Any, *, spark: SparkSession | None = No
                salt_by: tuple[str, ...] | None = None) -> DataFrame:
     """Same result as ``scan`` (one row per event x matching rule), planned as a join."""
     spark = spark or events.sparkSession
+    check_patterns(spark, rules)
     plan = plan_rules(events.schema, rules)
     cols = [quoted(n) for n in events.columns]
     parts = []
