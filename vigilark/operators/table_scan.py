@@ -133,12 +133,13 @@ def plan_rules(schema: T.StructType, rules: Any) -> Plan:
     return Plan(fields, anchors, unanchored)
 
 
-def _holds(c, texts, nums):
+def _holds(c, texts, lowers, nums):
     t = F.element_at(texts, c["fidx"] + 1)
+    lt = F.element_at(lowers, c["fidx"] + 1)
     n = F.element_at(nums, c["fidx"] + 1)
-    test = (F.when(c["op"] == "eq", F.lower(t) == c["value"])
-            .when(c["op"] == "ne", F.lower(t) != c["value"])
-            .when(c["op"] == "contains", F.lower(t).contains(c["value"]))
+    test = (F.when(c["op"] == "eq", lt == c["value"])
+            .when(c["op"] == "ne", lt != c["value"])
+            .when(c["op"] == "contains", lt.contains(c["value"]))
             .when(c["op"] == "regex", F.rlike(t, c["value"]))
             .when(c["op"] == "in", F.array_contains(c["members"], t))
             .when(c["op"] == "gt", (n > c["bound"]) & ~F.isnan(n))
@@ -159,8 +160,10 @@ def scan_table(events: DataFrame, rules: Any, *, spark: SparkSession | None = No
     if plan.anchors:
         resolved = [resolve(events.schema, f) for f in plan.fields]
         texts = F.array(*[text_of(c, t).cast("string") for c, t in resolved])
-        nums = F.array(*[(float_of(c, t) if float_of(c, t) is not None else F.lit(None)).cast("double")
-                         for c, t in resolved])
+        # float renderings only for fields some gt / lt condition reads
+        numeric = {c[0] for a in plan.anchors for c in a[-1] if c[1] in ("gt", "lt")}
+        nums = F.array(*[(float_of(c, t) if i in numeric and float_of(c, t) is not None else F.lit(None))
+                         .cast("double") for i, (c, t) in enumerate(resolved)])
         keys = sorted({(a[0], a[1]) for a in plan.anchors})
         tx = F.col("_texts")
         key_rows = F.array(*[F.struct(F.lit(fi).alias("a_fidx"), F.lit(mode).alias("a_mode"),
@@ -168,7 +171,8 @@ def scan_table(events: DataFrame, rules: Any, *, spark: SparkSession | None = No
                                        else F.element_at(tx, fi + 1)).alias("a_value"))
                              for fi, mode in keys])
         ev = (events.select(*cols, texts.alias("_texts"), nums.alias("_nums"))
-              .select(*cols, "_texts", "_nums", F.inline(key_rows))
+              .select(*cols, "_texts", F.transform("_texts", F.lower).alias("_lowers"), "_nums",
+                      F.inline(key_rows))
               .filter(F.col("a_value").isNotNull()))
         anchors = spark.createDataFrame(plan.anchors, ANCHOR_SCHEMA)
         join_keys = ["a_fidx", "a_mode", "a_value"]
@@ -180,7 +184,8 @@ def scan_table(events: DataFrame, rules: Any, *, spark: SparkSession | None = No
             ev = ev.withColumn("_salt", F.pmod(F.xxhash64(*salt_key), F.lit(salt)).cast("int"))
             anchors = anchors.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
             joined = ev.join(anchors, join_keys + ["_salt"])
-        hit = joined.filter(F.forall("rest", lambda c: _holds(c, F.col("_texts"), F.col("_nums"))))
+        hit = joined.filter(F.forall("rest", lambda c: _holds(c, F.col("_texts"), F.col("_lowers"),
+                                                              F.col("_nums"))))
         parts.append(hit.select(*cols, *[F.col(f) for f in MATCH_FIELDS]))
     if plan.unanchored:
         parts.append(scan(events, plan.unanchored).select(*cols, *[F.col(f) for f in MATCH_FIELDS]))
