@@ -11,10 +11,17 @@ import math
 
 
 def sql_str(v: str | None) -> str:
-    """A Spark SQL string literal (default escape processing) or NULL."""
+    """A Spark SQL string literal or NULL.
+
+    Plain text is quoted as is. Text holding a quote or a backslash is written as
+    ``decode(unhex(...), 'UTF-8')``, which means the same thing whatever the session's
+    ``spark.sql.parser.escapedStringLiterals`` setting; Catalyst folds it to a literal.
+    """
     if v is None:
         return "CAST(NULL AS STRING)"
-    return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    if "'" not in v and "\\" not in v:
+        return "'" + v + "'"
+    return f"decode(unhex('{v.encode('utf-8').hex()}'), 'UTF-8')"
 
 
 def sql_ident(name: str) -> str:
