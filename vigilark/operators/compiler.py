@@ -387,9 +387,15 @@ def rule_patterns(rules: Any) -> set[str]:
     return out
 
 
+_ACCEPTED: set[tuple[str, str]] = set()      # (application id, pattern) already accepted by the JVM
+
+
 def check_patterns(spark, rules: Any) -> None:
-    """Validate all regex patterns of a rule set in one constant query (bisect on failure)."""
-    pats = sorted(rule_patterns(rules))
+    """Validate all regex patterns of a rule set in one constant query (bisect on failure).
+
+    Patterns already accepted in this application are not checked again."""
+    app = spark.sparkContext.applicationId
+    pats = sorted(p for p in rule_patterns(rules) if (app, p) not in _ACCEPTED)
     if not pats:
         return
     try:
@@ -398,6 +404,7 @@ def check_patterns(spark, rules: Any) -> None:
         ok = java_regex_checker(spark)
         for p in pats:
             ok(p)
+    _ACCEPTED.update((app, p) for p in pats)
 
 
 def false_column() -> Column:
