@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from vigilark.operators.rules import SAMPLE_RULES, as_rules, validate_rule
+from vigilark.sources.rules import RULE_FILE_EXTENSION as EXT
 from vigilark.sources.rules import (collect_rules, export_rules, export_rules_text, load_rules, merge_rules,
                                     read_rule_files, rule_set_stats, rule_texts_frame, rules_frame, validate_rules)
 
@@ -18,12 +19,12 @@ def _write(path, text):
 
 def test_load_folder(spark, tmp_path):
     root = str(tmp_path)
-    _write(f"{root}/a.yaral", json.dumps(SAMPLE_RULES, indent=2))          # multi-line file
-    _write(f"{root}/sub/deeper/b.yaral", json.dumps({"name": "one", "conditions": {"x": 1}}))
+    _write(f"{root}/a.{EXT}", json.dumps(SAMPLE_RULES, indent=2))          # multi-line file
+    _write(f"{root}/sub/deeper/b.{EXT}", json.dumps({"name": "one", "conditions": {"x": 1}}))
     _write(f"{root}/sub/c.json", json.dumps([{"name": "two", "conditions": {"y": {"gt": 1}}}, 5]))
-    _write(f"{root}/bad.yaral", "{not json")
+    _write(f"{root}/bad.{EXT}", "{not json")
     _write(f"{root}/notes.txt", json.dumps({"name": "ignored"}))
-    _write(f"{root}/.git/d.yaral", json.dumps({"name": "in_git"}))
+    _write(f"{root}/.git/d.{EXT}", json.dumps({"name": "in_git"}))
     rules, rejects = load_rules(read_rule_files(spark, root))
     names = sorted(r.name for r in rules.collect())
     assert names == sorted([r["name"] for r in SAMPLE_RULES] + ["one", "two"])

@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from vigilark.operators.rules import VALIDATION_MESSAGES, Rule, RuleError
 from vigilark.schema import SEVERITIES
 
-RULE_FILE_GLOB = "*.{yaral,json}"
+# Fixed value: rule files carry this extension (JSON content); plain .json is accepted too.
+RULE_FILE_EXTENSION = "yaral"
+RULE_FILE_GLOB = "*.{" + RULE_FILE_EXTENSION + ",json}"
 COMPILE_RULE_LIMIT = 50_000
 
 
