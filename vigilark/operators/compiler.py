@@ -15,7 +15,6 @@ Parquet scan as pushed filters; only string work needs ``lower``.
 
 from __future__ import annotations
 
-from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -405,11 +404,3 @@ def check_patterns(spark, rules: Any) -> None:
         for p in pats:
             ok(p)
     _ACCEPTED.update((app, p) for p in pats)
-
-
-def false_column() -> Column:
-    return F.lit(False)
-
-
-def reduce_and(cols):
-    return reduce(lambda a, b: a & b, cols)

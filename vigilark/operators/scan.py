@@ -18,15 +18,13 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vigilark.functions.fields import quoted, resolve
 from vigilark.functions.pytext import py_str, text_of
-from vigilark.functions.sqltext import sql_str
 from vigilark.operators.compiler import (CompiledRule, any_of, check_patterns, compile_rules, condition_column,
                                          strict)
 from vigilark.operators.rules import Rule, as_rules
-from vigilark.schema import NOT_AVAILABLE, REASON_TEMPLATE, SEVERITIES, UNKNOWN_SEVERITY
+from vigilark.schema import NOT_AVAILABLE, SEVERITIES, UNKNOWN_SEVERITY
 
 MATCH_FIELDS = ("rule_id", "rule_name", "rule_description", "rule_severity", "reasons")
 
@@ -216,10 +214,6 @@ def rule_stats(rules: Any, matches: DataFrame) -> DataFrame:
                        F.count(F.lit(1)).alias("total_matches"))
 
 
-def reason_text(field: str, cond: Any) -> str:
-    return REASON_TEMPLATE.format(field=field, condition=cond)
-
-
 __all__ = ["scan", "scan_reasons", "rule_test_summary", "first_matches", "match_head", "rule_explain",
            "match_report", "match_severity_summary", "match_severity_buckets", "rule_stats", "live_rules",
-           "T"]
+           "rule_table"]

@@ -8,7 +8,6 @@ that setting is absent *and* the master is local do we create one under /tmp.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -54,16 +53,3 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint root for one written table / sink."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
-
-
-def is_local_fs(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_local_parent(path: str) -> None:
-    if is_local_fs(path):
-        os.makedirs(os.path.dirname(local_path(path)) or ".", exist_ok=True)

@@ -17,7 +17,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from vigilark.operators.rules import VALIDATION_MESSAGES, Rule, RuleError
 from vigilark.schema import SEVERITIES
@@ -171,4 +170,4 @@ def export_rules_text(rules: list[Rule]) -> str:
 
 
 __all__ = ["read_rule_files", "load_rules", "validate_rules", "merge_rules", "rule_set_stats", "export_rules",
-           "write_rules", "collect_rules", "rules_frame", "export_rules_text", "T"]
+           "write_rules", "collect_rules", "rules_frame", "export_rules_text"]
