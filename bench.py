@@ -35,6 +35,9 @@ def main() -> None:
     def ev(**kw):
         return events(spark, sf_dir, **kw)
 
+    def agg_ev(**kw):
+        return events(spark, sf_dir, spread=False, **kw)
+
     def hits(m):
         return m.select("event_id", "rule_id", "rule_name", "rule_severity", "rule_description",
                         "event_action", "source_ip")
@@ -50,11 +53,11 @@ def main() -> None:
         "rule_test_summary_50": lambda: SC.rule_test_summary(ev(), r50),
         "ecs_normalize": lambda: ev(udm=False),
         "udm_convert": lambda: QUERIES["udm_convert"](spark, sf_dir),
-        "overview": lambda: AN.overview(ev()),
-        "timeline": lambda: AN.timeline(ev()),
-        "top_source_ips": lambda: AN.top_source_ips(ev()),
-        "events_by_hour": lambda: AN.events_by_hour(ev()),
-        "alert_status": lambda: AL.alert_status_for(ev(), spark, C.ALERT_RULES),
+        "overview": lambda: AN.overview(agg_ev()),
+        "timeline": lambda: AN.timeline(agg_ev()),
+        "top_source_ips": lambda: AN.top_source_ips(agg_ev()),
+        "events_by_hour": lambda: AN.events_by_hour(agg_ev()),
+        "alert_status": lambda: AL.alert_status_for(agg_ev(), spark, C.ALERT_RULES),
         "match_report": lambda: SC.match_report(SC.scan(ev(), C.flagship_rules())),
         "rule_explain": lambda: QUERIES["rule_explain"](spark, sf_dir),
         "pred_regex": lambda: QUERIES["pred_regex"](spark, sf_dir),

@@ -314,10 +314,12 @@ class CompiledRule:
     def __init__(self, rule: Rule, parts: list[Pred] | None, reasons: tuple[str, ...]):
         self.rule, self.reasons = rule, reasons
         self.predicate_sql: str | None = None
+        self.part_sqls: list[str] | None = None
         self._col: Column | None = None
         self.live = parts is not None
         if parts is not None:
             if all(p.sql is not None for p in parts):
+                self.part_sqls = [p.sql for p in parts]
                 self.predicate_sql = " AND ".join(f"({p.sql})" for p in parts)
             else:
                 self._col = all_of([p.column for p in parts])

@@ -1,9 +1,9 @@
 """Rule scans over event tables.
 
-Compiled scan (``scan``): every enabled rule becomes one boolean SQL expression. For small
-rule sets the events are first filtered on the OR of all rule predicates (typed literal
-comparisons reach the Parquet reader as pushed filters); then each row emits the ids of
-the rules that hold via ``explode(filter(array(CASE WHEN p_i THEN i END ...)))`` and the
+Compiled scan (``scan``): every enabled rule becomes one boolean SQL expression. Each
+distinct condition of the rule set is evaluated once per row into a boolean column; each
+row then emits the ids of the rules whose conditions all hold via
+``explode(filter(array(CASE WHEN c_a AND c_b THEN i END ...)))`` and the
 rule's name / severity / reasons come from a broadcast lookup of the rule table (sized
 by the rule count). One pass over the data; the events are never shuffled.
 
@@ -47,10 +47,23 @@ def rule_table(spark, compiled: list[CompiledRule]) -> DataFrame:
     return spark.createDataFrame(rows, RULE_META_SCHEMA)
 
 
-def _hit(c: CompiledRule) -> Column:
+def _shared_conditions(compiled: list[CompiledRule]) -> dict[str, str]:
+    """Distinct condition texts across the rule set -> column alias (``__cond0__``, ...).
+
+    Rules reuse conditions (``event.category = authentication`` in many rules); each
+    distinct condition is evaluated once per row into a boolean column and the rules AND
+    those columns, instead of re-evaluating the same test inside every rule."""
+    conds: dict[str, str] = {}
+    for c in compiled:
+        for p in c.part_sqls or ():
+            conds.setdefault(p, f"__cond{len(conds)}__")
+    return conds
+
+
+def _hit(c: CompiledRule, conds: dict[str, str]) -> Column:
     """CASE WHEN <rule holds> THEN <rule id> END: one JVM call for an all-SQL rule."""
-    if c.predicate_sql is not None:
-        return F.expr(f"CASE WHEN {c.predicate_sql} THEN {int(c.rule.rule_id)} END")
+    if c.part_sqls is not None:
+        return F.expr(f"CASE WHEN {' AND '.join(conds[p] for p in c.part_sqls)} THEN {int(c.rule.rule_id)} END")
     return F.when(c.predicate, F.lit(int(c.rule.rule_id)))
 
 
@@ -98,9 +111,11 @@ def scan(events: DataFrame, rules: Any, *, prefilter: bool = False, scanned_at:
         out = _empty_matches(events)
     else:
         base = events.filter(_any_rule(compiled)) if prefilter else events
-        hits = F.array(*[_hit(c) for c in compiled])
-        ids = base.select(*[quoted(n) for n in events.columns],
-                          F.explode(F.filter(hits, lambda m: m.isNotNull())).alias("_rule_id"))
+        conds = _shared_conditions(compiled)
+        evaluated = base.select("*", *[F.expr(sql).alias(alias) for sql, alias in conds.items()])
+        hits = F.array(*[_hit(c, conds) for c in compiled])
+        ids = evaluated.select(*[quoted(n) for n in events.columns],
+                               F.explode(F.filter(hits, lambda m: m.isNotNull())).alias("_rule_id"))
         meta = rule_table(events.sparkSession, compiled).withColumnRenamed("rule_id", "_rule_id")
         # the rule table is bounded by the rule count (checked), never by the data
         meta = F.broadcast(meta) if len(compiled) <= BROADCAST_RULES else meta

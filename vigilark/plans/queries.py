@@ -42,6 +42,12 @@ def events(spark, sf, **kw) -> DataFrame:
     return _EVENTS[key]
 
 
+def agg_events(spark, sf, **kw) -> DataFrame:
+    """Events for light aggregations: no small-input spread (the aggregation's own partial
+    stage is cheaper than an extra round-robin shuffle)."""
+    return events(spark, sf, spread=False, **kw)
+
+
 def flagship_matches(spark, sf) -> DataFrame:
     return SC.scan(events(spark, sf), C.flagship_rules())
 
@@ -209,47 +215,47 @@ def q_events_append(spark, sf):
 
 @query("overview")
 def q_overview(spark, sf):
-    return AN.overview(events(spark, sf))
+    return AN.overview(agg_events(spark, sf))
 
 
 @query("timeline")
 def q_timeline(spark, sf):
-    return AN.timeline(events(spark, sf))
+    return AN.timeline(agg_events(spark, sf))
 
 
 @query("action_counts")
 def q_action_counts(spark, sf):
-    return AN.action_counts(events(spark, sf))
+    return AN.action_counts(agg_events(spark, sf))
 
 
 @query("severity_counts")
 def q_severity_counts(spark, sf):
-    return AN.severity_counts(events(spark, sf))
+    return AN.severity_counts(agg_events(spark, sf))
 
 
 @query("outcome_counts")
 def q_outcome_counts(spark, sf):
-    return AN.outcome_counts(events(spark, sf))
+    return AN.outcome_counts(agg_events(spark, sf))
 
 
 @query("top_source_ips")
 def q_top_source_ips(spark, sf):
-    return AN.top_source_ips(events(spark, sf))
+    return AN.top_source_ips(agg_events(spark, sf))
 
 
 @query("top_users")
 def q_top_users(spark, sf):
-    return AN.top_users(events(spark, sf))
+    return AN.top_users(agg_events(spark, sf))
 
 
 @query("events_by_hour")
 def q_events_by_hour(spark, sf):
-    return AN.events_by_hour(events(spark, sf))
+    return AN.events_by_hour(agg_events(spark, sf))
 
 
 @query("distinct_options")
 def q_distinct_options(spark, sf):
-    return AN.distinct_options(events(spark, sf))
+    return AN.distinct_options(agg_events(spark, sf))
 
 
 @query("filter_multi")
@@ -260,7 +266,7 @@ def q_filter_multi(spark, sf):
 
 @query("filter_counts")
 def q_filter_counts(spark, sf):
-    return AN.filter_counts(events(spark, sf), **C.MULTI_FILTER)
+    return AN.filter_counts(agg_events(spark, sf), **C.MULTI_FILTER)
 
 
 @query("events_latest")
@@ -274,12 +280,12 @@ def q_events_latest(spark, sf):
 
 @query("alert_status")
 def q_alert_status(spark, sf):
-    return AL.alert_status_for(events(spark, sf), spark, C.ALERT_RULES)
+    return AL.alert_status_for(agg_events(spark, sf), spark, C.ALERT_RULES)
 
 
 @query("alerts_triggered")
 def q_alerts_triggered(spark, sf):
-    return AL.alerts_triggered(AL.alert_status_for(events(spark, sf), spark, C.ALERT_RULES))
+    return AL.alerts_triggered(AL.alert_status_for(agg_events(spark, sf), spark, C.ALERT_RULES))
 
 
 def queries() -> dict[str, Query]:
