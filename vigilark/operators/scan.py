@@ -140,14 +140,17 @@ def scan_reasons(matches: DataFrame, key: str = "event_id") -> DataFrame:
 def rule_test_summary(events: DataFrame, rules: Any, regex_ok=None) -> DataFrame:
     """Per enabled rule: matched events and total events, from one aggregation pass."""
     rs = [r for r in as_rules(rules) if r.enabled]
+    if regex_ok is None:
+        check_patterns(events.sparkSession, rs)
     compiled = compile_rules(events.schema, rs, regex_ok)
+    conds = _shared_conditions([c for c in compiled if c.live])
     aggs = [F.count(F.lit(1)).alias("total")]
     for i, c in enumerate(compiled):
-        if c.predicate_sql is not None:
-            aggs.append(F.expr(f"count_if({c.predicate_sql}) AS m{i}"))
+        if c.live and c.part_sqls is not None:
+            aggs.append(F.expr(f"count_if({' AND '.join(conds[p] for p in c.part_sqls)}) AS m{i}"))
         else:
             aggs.append(F.count_if(c.predicate if c.predicate is not None else F.lit(False)).alias(f"m{i}"))
-    wide = events.agg(*aggs)
+    wide = events.select("*", *[F.expr(sql).alias(a) for sql, a in conds.items()]).agg(*aggs)
     per_rule = F.array(*[F.struct(F.lit(c.rule.rule_id).alias("rule_id"),
                                   F.lit(_s(c.rule.name)).cast("string").alias("rule_name"),
                                   F.col(f"m{i}").alias("matched"))
