@@ -117,9 +117,12 @@ def plan_rules(schema: T.StructType, rules: Any) -> Plan:
             rows.append(row)
         if dead:
             continue
-        pick = next((i for i, c in enumerate(rows) if c[1] == "in"), None)
+        # anchor: a single-value equality if there is one (fewest candidate pairs),
+        # else the membership test with the fewest members
+        pick = next((i for i, c in enumerate(rows) if c[1] == "eq"), None)
         if pick is None:
-            pick = next((i for i, c in enumerate(rows) if c[1] == "eq"), None)
+            ins = [(len(c[3]), i) for i, c in enumerate(rows) if c[1] == "in"]
+            pick = min(ins)[1] if ins else None
         if pick is None:
             unanchored.append(r)
             continue
@@ -165,17 +168,18 @@ def scan_table(events: DataFrame, rules: Any, *, spark: SparkSession | None = No
         nums = F.array(*[(float_of(c, t) if i in numeric and float_of(c, t) is not None else F.lit(None))
                          .cast("double") for i, (c, t) in enumerate(resolved)])
         keys = sorted({(a[0], a[1]) for a in plan.anchors})
-        tx = F.col("_texts")
-        key_rows = F.array(*[F.struct(F.lit(fi).alias("a_fidx"), F.lit(mode).alias("a_mode"),
-                                      (F.lower(F.element_at(tx, fi + 1)) if mode == "ci"
-                                       else F.element_at(tx, fi + 1)).alias("a_value"))
-                             for fi, mode in keys])
+        # one string join key per anchor: "<field index>|<mode>|<value>"
+        key_cols = [F.concat(F.lit(f"{fi}|{mode}|"),
+                             F.element_at(F.col("_lowers" if mode == "ci" else "_texts"), fi + 1))
+                    for fi, mode in keys]
         ev = (events.select(*cols, texts.alias("_texts"), nums.alias("_nums"))
-              .select(*cols, "_texts", F.transform("_texts", F.lower).alias("_lowers"), "_nums",
-                      F.inline(key_rows))
-              .filter(F.col("a_value").isNotNull()))
-        anchors = spark.createDataFrame(plan.anchors, ANCHOR_SCHEMA)
-        join_keys = ["a_fidx", "a_mode", "a_value"]
+              .select(*cols, "_texts", F.transform("_texts", F.lower).alias("_lowers"), "_nums")
+              .select(*cols, "_texts", "_lowers", "_nums", F.explode(F.array(*key_cols)).alias("a_key"))
+              .filter(F.col("a_key").isNotNull()))
+        anchors = (spark.createDataFrame(plan.anchors, ANCHOR_SCHEMA)
+                   .select(F.concat_ws("|", F.col("a_fidx").cast("string"), "a_mode", "a_value").alias("a_key"),
+                           *[c for c in ANCHOR_SCHEMA.fieldNames() if not c.startswith("a_")]))
+        join_keys = ["a_key"]
         if len(plan.anchors) <= broadcast_limit:
             joined = ev.join(F.broadcast(anchors), join_keys)
         else:
