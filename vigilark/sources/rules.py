@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilark.operators.rules import VALIDATION_MESSAGES, Rule, RuleError
@@ -109,9 +109,15 @@ def validate_rules(rules: DataFrame) -> DataFrame:
 
 def merge_rules(existing: DataFrame, incoming: DataFrame, order: tuple[str, ...] = ("path", "entry_index"),
                 ) -> DataFrame:
-    """Append incoming rules whose name is not already present (first of each name wins)."""
-    w = Window.partitionBy("name").orderBy(*order)
-    first = incoming.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r")
+    """Append incoming rules whose name is not already present (first of each name wins).
+
+    "First per name" is a ``min_by`` aggregate: map-side partial aggregation keeps one
+    candidate per name per partition, so a name repeated across a third of the files never
+    gathers its rows in one task."""
+    cols = [c for c in incoming.columns if c != "name"]
+    first = (incoming.groupBy("name")
+             .agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_first"))
+             .select("name", *[F.col("_first." + c).alias(c) for c in cols]))
     fresh = first.join(existing.select("name").distinct(), "name", "left_anti")
     return existing.unionByName(fresh, allowMissingColumns=True)
 
