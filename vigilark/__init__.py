@@ -25,7 +25,7 @@ from vigilark.operators.scan import (first_matches, match_head, match_report, ma
                                      rule_explain, rule_test_summary, scan, scan_reasons)
 from vigilark.operators.table_scan import detect, scan_table  # noqa: F401
 from vigilark.operators.udm import udm_export, udm_of, with_udm  # noqa: F401
-from vigilark.session import build_session, shared_dir  # noqa: F401
+from vigilark.session import build_session, materialize, shared_dir  # noqa: F401
 from vigilark.sources.events import read_ecs, read_table, security_events  # noqa: F401
 from vigilark.sources.rules import (collect_rules, load_rules, merge_rules, read_rule_files,  # noqa: F401
                                     validate_rules, write_rules)

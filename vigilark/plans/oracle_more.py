@@ -34,3 +34,5 @@ _SIX = f"{ECS}, m AS ({_matches(FLAGSHIP + [PRIVILEGED + ([],)], 'event_id')})\n
 SQL["rules_from_files"] = _SIX + "SELECT event_id, rule_name, rule_severity FROM m"
 SQL["rules_merge"] = _SIX + "SELECT event_id, rule_name, rule_severity FROM m"
 SQL["rules_export_roundtrip"] = MATCHES + "SELECT event_id, rule_name, rule_severity FROM m"
+
+SQL["match_summary_from_table"] = SQL["match_severity_summary"]

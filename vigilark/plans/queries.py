@@ -196,6 +196,15 @@ def q_rule_stats(spark, sf):
     return SC.rule_stats(rules, SC.scan(events(spark, sf), rules))
 
 
+@query("match_summary_from_table")
+def q_match_summary_from_table(spark, sf):
+    # scan once, write the match table (partitioned by severity), report from the table
+    from vigilark.session import materialize
+    m = flagship_matches(spark, sf).select("event_id", "rule_id", "rule_name", "rule_severity", "event_action")
+    table = materialize(m, "matches", partition_by=("rule_severity",))
+    return SC.match_severity_summary(table)
+
+
 @query("match_head")
 def q_match_head(spark, sf):
     return SC.match_head(flagship_matches(spark, sf), 10).select("event_id", "rule_id", "rule_name")

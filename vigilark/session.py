@@ -53,3 +53,15 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the checkpoint root for one written table / sink."""
     root = checkpoint_root(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str, partition_by: tuple[str, ...] = ()):
+    """Write ``df`` as Parquet to a fresh folder under the shared checkpoint root and read it
+    back: cuts lineage, survives executor loss, and lets several reports reuse one scan.
+    ``partition_by`` lays the table out for partition pruning (e.g. by rule severity)."""
+    path = shared_dir(df.sparkSession, name)
+    writer = df.write.mode("overwrite")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return df.sparkSession.read.parquet(path)
