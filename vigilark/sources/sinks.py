@@ -27,9 +27,10 @@ def flat_for_csv(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-# microsecond timestamps (Spark's CSV default keeps only milliseconds)
-CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
-               "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+# microsecond timestamps, space-separated like a pandas CSV export
+# (Spark's CSV default keeps only milliseconds)
+CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
+               "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"}
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
