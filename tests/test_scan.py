@@ -117,3 +117,10 @@ def test_java_invalid_regex_fails_at_compile_time(spark):
         SC.scan(ev, rules)
     # invalid for Python: the condition is simply false, no error
     assert SC.scan(ev, [{"name": "y", "conditions": {"message": {"regex": "("}}}]).count() == 0
+
+
+def test_division_form_agrees(spark):
+    from vigilark.operators.table_scan import scan_division
+    ev = security_events(spark, SF_SMALL, udm=False)
+    rules = sample_rules() + generated_rules(40, seed=21)
+    assert _pairs(scan_division(ev, rules)) == _pairs(SC.scan(ev, rules))

@@ -217,3 +217,64 @@ def detect(events: DataFrame, rules: Any, *, method: str = "auto", **kw) -> Data
     if method == "table":
         return scan_table(events, rs, **kw)
     return scan(events, rs, **kw)
+
+
+COND_ROW_SCHEMA = T.StructType([
+    T.StructField("rule_id", T.IntegerType()),
+    T.StructField("n_conditions", T.IntegerType()),
+    T.StructField("cond", COND_TYPE),
+])
+
+
+def scan_division(events: DataFrame, rules: Any, key: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """Relational-division form of the scan (a cross-check, not the production path).
+
+    Events are unpivoted to one row per referenced field, joined to every condition on that
+    field (broadcast: the condition table is sized by the rule set), kept where the
+    condition holds, and grouped by (event, rule): the rule matches when all of its
+    conditions held. Returns the event key columns and ``rule_id``. Each group holds at
+    most the rule's condition count, so no group can become hot.
+    """
+    spark = events.sparkSession
+    check_patterns(spark, rules)
+    fields: list[str] = []
+    index: dict[str, int] = {}
+    rows = []
+    for r in as_rules(rules):
+        if not r.enabled or not r.conditions:
+            continue
+        conds, dead = [], False
+        for f, cond in r.conditions:
+            if resolve_sql(events.schema, f) is None:
+                dead = True
+                break
+            if f not in index:
+                index[f] = len(fields)
+                fields.append(f)
+            c = _cond_row(index[f], cond)
+            if c is None:
+                dead = True
+                break
+            conds.append(c)
+        if not dead:
+            rows += [(int(r.rule_id), len(conds), c) for c in conds]
+    keys = [quoted(k) for k in key]
+    if not rows:
+        return events.filter(F.lit(False)).select(*keys, F.lit(None).cast("int").alias("rule_id"))
+    resolved = [resolve(events.schema, f) for f in fields]
+    cells = F.array(*[F.struct(F.lit(i).alias("fidx"), text_of(c, t).cast("string").alias("text"),
+                               (float_of(c, t) if float_of(c, t) is not None else F.lit(None))
+                               .cast("double").alias("num"))
+                      for i, (c, t) in enumerate(resolved)])
+    long = (events.select(*keys, F.inline(cells))
+            .select(*keys, F.array(F.col("text")).alias("_texts"),
+                    F.array(F.lower(F.col("text"))).alias("_lowers"), F.array(F.col("num")).alias("_nums"),
+                    F.col("fidx").alias("_fidx")))
+    conds = F.broadcast(spark.createDataFrame(rows, COND_ROW_SCHEMA))
+    joined = long.join(conds, long["_fidx"] == conds["cond.fidx"])
+    # evaluate with the cell as position 1 of single-element arrays
+    cell = F.struct(F.lit(0).alias("fidx"), F.col("cond.op").alias("op"), F.col("cond.value").alias("value"),
+                    F.col("cond.members").alias("members"), F.col("cond.bound").alias("bound"))
+    held = joined.filter(_holds(cell, F.col("_texts"), F.col("_lowers"), F.col("_nums")))
+    counted = held.groupBy(*keys, "rule_id", "n_conditions").agg(F.count(F.lit(1)).alias("_held"))
+    return counted.filter(F.col("_held") == F.col("n_conditions")).select(*keys, "rule_id")
