@@ -86,3 +86,18 @@ def test_skewed_key_results_stay_whole(spark):
                    and r.event_action in ("port_scan", "nmap_scan"))
     for df in (SC.scan(hot, rules), scan_table(hot, rules, broadcast_limit=0, salt=8)):
         assert sorted(r.event_id for r in df.select("event_id").collect()) == brute
+
+
+def test_partitioned_ecs_table_prunes_days(spark):
+    import datetime as dt
+    from vigilark.sources.sinks import write_ecs
+    ev = security_events(spark, SF_SMALL, udm=False)
+    path = shared_dir(spark, "ecs-by-day")
+    write_ecs(ev, path)
+    back = read_ecs(spark, path)
+    day = back.filter(F.col("event_date") == F.lit(dt.date(2024, 1, 3)))
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    want = ev.filter(F.to_date("timestamp") == F.lit(dt.date(2024, 1, 3))).count()
+    assert day.count() == want > 0
+    assert sorted(back.drop("event_date").collect()) == sorted(ev.collect())

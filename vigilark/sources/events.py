@@ -47,8 +47,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True)
 
 
 def read_ecs(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    """Already-normalised ECS events (e.g. written by an ingest job) with a fixed schema."""
-    return spark.read.schema(ECS_SCHEMA).format(fmt).load(path)
+    """Already-normalised ECS events (e.g. written by an ingest job) with a fixed schema.
+
+    A table written by ``sinks.write_ecs`` keeps its ``event_date`` partition column (and
+    the ``hour`` column when it was stored), so date filters prune partitions."""
+    df = spark.read.format(fmt).load(path)
+    extra = [c for c in ("hour", "event_date") if c in df.columns]
+    return df.select(*[F.col(f.name).cast(f.dataType) for f in ECS_SCHEMA.fields], *extra)
 
 
 # ---------------------------------------------------------------------------

@@ -70,3 +70,16 @@ def write_matches_json(matches: DataFrame, path: str, event_columns: list[str] |
         *([F.col("scanned_at").alias("timestamp")] if "scanned_at" in matches.columns else []))
     out.write.mode(mode).json(path)
     return path
+
+
+def write_ecs(events: DataFrame, path: str, mode: str = "overwrite", by_day: bool = True) -> str:
+    """Store normalised events as Parquet, one partition per event day (``event_date``), so
+    time-bounded queries read only the days they need (partition pruning). The nested
+    ``udm`` record is derived, so it is not stored (rebuild with ``with_udm``)."""
+    out = events.drop("udm") if "udm" in events.columns else events
+    if by_day:
+        out = out.withColumn("event_date", F.to_date(F.col("timestamp")))
+        out.write.mode(mode).partitionBy("event_date").parquet(path)
+    else:
+        out.write.mode(mode).parquet(path)
+    return path
