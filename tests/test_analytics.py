@@ -101,3 +101,18 @@ def test_partitioned_ecs_table_prunes_days(spark):
     want = ev.filter(F.to_date("timestamp") == F.lit(dt.date(2024, 1, 3))).count()
     assert day.count() == want > 0
     assert sorted(back.drop("event_date").collect()) == sorted(ev.collect())
+
+
+def test_multiselect_null_semantics(spark):
+    ev = security_events(spark, SF_SMALL, udm=False)
+    with_nulls = ev.withColumn("event_severity", F.when(F.col("event_id") % 7 == 0, F.lit(None))
+                               .otherwise(F.col("event_severity")))
+    rows = with_nulls.select("event_severity").collect()
+    picked = AN.filter_multi(with_nulls, severities=[None, "high"]).count()
+    assert picked == sum(1 for r in rows if r.event_severity in (None, "high"))
+    assert AN.filter_multi(with_nulls, severities=[]).count() == 0
+    assert AN.filter_multi(with_nulls).count() == len(rows)
+    opts = {r.value for r in AN.distinct_options(with_nulls).filter(F.col("field") == "severity").collect()}
+    assert None in opts and "high" in opts
+    counts = {r.event_severity for r in AN.severity_counts(with_nulls).collect()}
+    assert None not in counts
