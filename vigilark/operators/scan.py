@@ -4,8 +4,8 @@ Compiled scan (``scan``): every enabled rule becomes one boolean SQL expression.
 distinct condition of the rule set is evaluated once per row into a boolean column; each
 row then emits the ids of the rules whose conditions all hold via
 ``explode(filter(array(CASE WHEN c_a AND c_b THEN i END ...)))`` and the
-rule's name / severity / reasons come from a broadcast lookup of the rule table (sized
-by the rule count). One pass over the data; the events are never shuffled.
+rule's id / name / severity / reasons are read from literal arrays indexed by the rule's
+position (sized by the rule count). One pass over the data: no join, no exchange.
 
 Test / explain / reports are built the same way: per-rule counts are ``count_if``
 aggregates in one pass (partial aggregation, one tiny final stage) and the first-k
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from vigilark.functions.fields import quoted, resolve
 from vigilark.functions.pytext import py_str, text_of
+from vigilark.functions.sqltext import sql_str
 from vigilark.operators.compiler import (CompiledRule, any_of, check_patterns, compile_rules, condition_column,
                                          strict)
 from vigilark.operators.rules import Rule, as_rules
@@ -35,16 +36,19 @@ def _s(v: Any) -> str | None:
     return v if isinstance(v, str) else py_str(v)
 
 
-RULE_META_SCHEMA = ("rule_id int, rule_name string, rule_description string, rule_severity string, "
-                    "reasons array<string>")
-BROADCAST_RULES = 100_000
-
-
-def rule_table(spark, compiled: list[CompiledRule]) -> DataFrame:
-    """One row per live rule: id, name, description, severity, reasons (rule-sized, not data-sized)."""
-    rows = [(int(c.rule.rule_id), _s(c.rule.name), _s(c.rule.description), _s(c.rule.severity), list(c.reasons))
-            for c in compiled]
-    return spark.createDataFrame(rows, RULE_META_SCHEMA)
+def _rule_arrays(compiled: list[CompiledRule]) -> dict[str, Column]:
+    """Rule id / name / description / severity / reasons as literal arrays indexed by the
+    rule's position (size = rule count; folded into the plan, no join, no exchange)."""
+    def arr(items: list[str]) -> Column:
+        return F.expr("array(" + ", ".join(items) + ")")
+    return {
+        "rule_id": arr([str(int(c.rule.rule_id)) for c in compiled]),
+        "rule_name": arr([sql_str(_s(c.rule.name)) for c in compiled]),
+        "rule_description": arr([sql_str(_s(c.rule.description)) for c in compiled]),
+        "rule_severity": arr([sql_str(_s(c.rule.severity)) for c in compiled]),
+        "reasons": arr(["CAST(array(" + ", ".join(sql_str(x) for x in c.reasons) + ") AS ARRAY<STRING>)"
+                        for c in compiled]),
+    }
 
 
 def _shared_conditions(compiled: list[CompiledRule]) -> dict[str, str]:
@@ -60,11 +64,11 @@ def _shared_conditions(compiled: list[CompiledRule]) -> dict[str, str]:
     return conds
 
 
-def _hit(c: CompiledRule, conds: dict[str, str]) -> Column:
-    """CASE WHEN <rule holds> THEN <rule id> END: one JVM call for an all-SQL rule."""
+def _hit(c: CompiledRule, pos: int, conds: dict[str, str]) -> Column:
+    """CASE WHEN <rule holds> THEN <rule position> END: one JVM call for an all-SQL rule."""
     if c.part_sqls is not None:
-        return F.expr(f"CASE WHEN {' AND '.join(conds[p] for p in c.part_sqls)} THEN {int(c.rule.rule_id)} END")
-    return F.when(c.predicate, F.lit(int(c.rule.rule_id)))
+        return F.expr(f"CASE WHEN {' AND '.join(conds[p] for p in c.part_sqls)} THEN {pos} END")
+    return F.when(c.predicate, F.lit(pos))
 
 
 def _any_rule(compiled: list[CompiledRule]) -> Column:
@@ -113,15 +117,12 @@ def scan(events: DataFrame, rules: Any, *, prefilter: bool = False, scanned_at:
         base = events.filter(_any_rule(compiled)) if prefilter else events
         conds = _shared_conditions(compiled)
         evaluated = base.select("*", *[F.expr(sql).alias(alias) for sql, alias in conds.items()])
-        hits = F.array(*[_hit(c, conds) for c in compiled])
-        ids = evaluated.select(*[quoted(n) for n in events.columns],
-                               F.explode(F.filter(hits, lambda m: m.isNotNull())).alias("_rule_id"))
-        meta = rule_table(events.sparkSession, compiled).withColumnRenamed("rule_id", "_rule_id")
-        # the rule table is bounded by the rule count (checked), never by the data
-        meta = F.broadcast(meta) if len(compiled) <= BROADCAST_RULES else meta
-        out = (ids.join(meta, "_rule_id")
-               .select(*[quoted(n) for n in events.columns], F.col("_rule_id").alias("rule_id"),
-                       *[F.col(f) for f in MATCH_FIELDS if f != "rule_id"]))
+        hits = F.array(*[_hit(c, i, conds) for i, c in enumerate(compiled)])
+        pos = evaluated.select(*[quoted(n) for n in events.columns],
+                               F.explode(F.filter(hits, lambda m: m.isNotNull())).alias("_pos"))
+        meta = _rule_arrays(compiled)
+        out = pos.select(*[quoted(n) for n in events.columns],
+                         *[F.element_at(meta[f], F.col("_pos") + 1).alias(f) for f in MATCH_FIELDS])
     if scanned_at is not None:
         out = out.withColumn("scanned_at", scanned_at)
     return out
@@ -234,4 +235,4 @@ def rule_stats(rules: Any, matches: DataFrame) -> DataFrame:
 
 __all__ = ["scan", "scan_reasons", "rule_test_summary", "first_matches", "match_head", "rule_explain",
            "match_report", "match_severity_summary", "match_severity_buckets", "rule_stats", "live_rules",
-           "rule_table"]
+           ]
