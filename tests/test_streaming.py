@@ -54,3 +54,32 @@ def test_stream_scan_resumes_exactly_once(spark):
     ev = security_events(spark, SF_SMALL, udm=False, spread=False)
     want = sorted(tuple(r) for r in SC.scan(ev, sample_rules()).select("event_id", "rule_id").collect())
     assert got == want
+
+
+def test_late_rows_beyond_watermark_are_dropped(spark):
+    import datetime as dt
+    from vigilark.operators.normalize import ecs_normalize, with_hour
+    from vigilark.sources.events import raw_security_records
+    src = shared_dir(spark, "late-src")
+    raw = read_table(spark, SF_SMALL, "events", spread=False)
+    cut = dt.datetime(2024, 1, 15)
+    recent = raw.filter(F.col("ts") >= F.lit(cut).cast("timestamp_ntz"))
+    old = raw.filter(F.col("ts") < F.lit(cut - dt.timedelta(days=2)).cast("timestamp_ntz"))
+    out, ckpt = shared_dir(spark, "late-out"), shared_dir(spark, "late-ckpt")
+
+    def run():
+        stream = spark.readStream.schema(raw.schema).option("recursiveFileLookup", True).parquet(src)
+        ev = with_hour(ecs_normalize(raw_security_records(stream)))
+        S.run_to_parquet(S.stream_timeline(ev, watermark="1 hour"), "late", mode="append", path=out,
+                         checkpoint=ckpt)
+
+    recent.coalesce(1).write.parquet(f"{src}/a_recent")
+    run()                                               # watermark advances to max(ts) - 1 hour
+    old.coalesce(1).write.parquet(f"{src}/b_old")
+    run()                                               # the old rows arrive late: dropped
+    got = sorted(tuple(r) for r in spark.read.parquet(out).select("hour_start", "severity", "n").collect())
+    batch_recent = AN.timeline(ecs_normalize(raw_security_records(recent)))
+    max_ts = recent.agg(F.max("ts")).first()[0]
+    closed = max_ts - dt.timedelta(hours=1)
+    want = sorted(tuple(r) for r in batch_recent.collect() if r.hour_start + dt.timedelta(hours=1) <= closed)
+    assert got == want and len(got) > 0                  # nothing from the late (old) file
