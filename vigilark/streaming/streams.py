@@ -60,6 +60,8 @@ def stream_timeline(events: DataFrame, watermark: str = "1 hour", window: str =
 
 def stream_alert_counts(events: DataFrame, actions: list[str], watermark: str = "1 hour",
                         window: str = "1 hour") -> DataFrame:
+    """Events per (tumbling window, watched action). Spark evaluates the action filter
+    below the watermark, so the watermark follows the latest *watched* event."""
     ev = event_time(events).withWatermark("_event_time", watermark)
     return (ev.filter(F.col("event_action").isin(sorted(set(actions))))
             .groupBy(F.window("_event_time", window).alias("w"), F.col("event_action"))
