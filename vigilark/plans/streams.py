@@ -22,7 +22,7 @@ def q_stream_rule_scan(spark, sf):
 @query("stream_timeline")
 def q_stream_timeline(spark, sf):
     ev = S.read_event_stream(spark, sf, udm=False)
-    out = S.run_to_parquet(S.stream_timeline(ev), "timeline", mode="complete")
+    out = S.run_to_parquet(S.stream_timeline(ev), "timeline", mode="complete", state_partitions=16)
     return spark.read.parquet(out)
 
 
@@ -31,6 +31,7 @@ def q_stream_alerts(spark, sf):
     ev = S.read_event_stream(spark, sf, udm=False)
     alerts = alerts_frame(spark, C.STREAM_ALERT_RULES)
     counts = S.stream_alert_counts(ev, [a["event_type"] for a in C.STREAM_ALERT_RULES])
-    out = S.run_to_parquet(counts, "alerts", mode="complete", transform=lambda b: S.alert_windows(b, alerts, len(C.STREAM_ALERT_RULES)))
+    out = S.run_to_parquet(counts, "alerts", mode="complete", state_partitions=16,
+                           transform=lambda b: S.alert_windows(b, alerts, len(C.STREAM_ALERT_RULES)))
     return spark.read.parquet(out).select("window_start", "name", "event_type", "threshold", "n",
                                           F.col("triggered"))

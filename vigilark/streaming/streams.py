@@ -83,7 +83,8 @@ def alert_windows(counts: DataFrame, alerts: DataFrame, n_alerts: int | None = N
 
 
 def run_to_parquet(stream: DataFrame, name: str, mode: str = "append", transform=None,
-                   path: str | None = None, checkpoint: str | None = None) -> str:
+                   path: str | None = None, checkpoint: str | None = None,
+                   state_partitions: int | None = None) -> str:
     """Run a streaming query over all available input (``availableNow``) into Parquet.
 
     * ``append`` without ``transform``: Spark's file sink, exactly-once through its
@@ -92,6 +93,11 @@ def run_to_parquet(stream: DataFrame, name: str, mode: str = "append", transform
     * ``append`` with ``transform`` (batch DataFrame -> DataFrame, e.g. a join with a static
       table): each micro-batch overwrites its own ``epoch=<id>`` folder, so a replayed batch
       replaces its earlier output instead of duplicating it.
+
+    ``state_partitions`` fixes the number of state-store partitions of a stateful query
+    when it is first started (it cannot change for the life of the checkpoint). Windowed
+    counts keep tiny state (windows x keys, independent of data volume; partial
+    aggregation runs before the shuffle), so a small number suits them at any scale.
     """
     spark = stream.sparkSession
     out = path or shared_dir(spark, f"stream-{name}")
@@ -109,11 +115,16 @@ def run_to_parquet(stream: DataFrame, name: str, mode: str = "append", transform
         writer = writer.format("parquet").option("path", out)
     else:
         writer = writer.foreachBatch(sink)
-    previous = spark.conf.get("spark.sql.session.timeZone")
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    pinned = {"spark.sql.session.timeZone": "UTC"}
+    if state_partitions:
+        pinned["spark.sql.shuffle.partitions"] = str(state_partitions)
+    previous = {k: spark.conf.get(k) for k in pinned}
+    for k, v in pinned.items():
+        spark.conf.set(k, v)
     try:
         q = writer.start()
     finally:
-        spark.conf.set("spark.sql.session.timeZone", previous)
+        for k, v in previous.items():
+            spark.conf.set(k, v)
     q.awaitTermination()
     return out
