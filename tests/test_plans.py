@@ -29,3 +29,17 @@ def test_scans_never_shuffle_events_by_key(spark, name):
     s = summary(E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString())
     # only the small-input round-robin spread may appear; rule tables are broadcast
     assert set(s["shuffle_kinds"]) <= {"RoundRobinPartitioning"}
+
+
+LIMIT_IS_THE_FEATURE = {"top_source_ips", "top_users", "match_head"}
+
+
+def test_limits_only_where_they_are_the_feature(spark):
+    sql = E.oracle_sql()
+    assert {n for n, q in sql.items() if " LIMIT " in q.upper()} == LIMIT_IS_THE_FEATURE
+    limited = set()
+    for name in BATCH:
+        plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        if any(k in plan for k in ("TakeOrderedAndProject", "GlobalLimit", "CollectLimit", "LocalLimit")):
+            limited.add(name)
+    assert limited == LIMIT_IS_THE_FEATURE
