@@ -116,3 +116,11 @@ def test_multiselect_null_semantics(spark):
     assert None in opts and "high" in opts
     counts = {r.event_severity for r in AN.severity_counts(with_nulls).collect()}
     assert None not in counts
+
+
+def test_overview_approx_distinct_within_bound(spark):
+    ev = security_events(spark, SF_SMALL, udm=False)
+    exact = AN.overview(ev).first()
+    approx = AN.overview(ev, approx=True).first()
+    assert approx.total_events == exact.total_events
+    assert abs(approx.unique_source_ips - exact.unique_source_ips) <= 0.05 * exact.unique_source_ips + 1
