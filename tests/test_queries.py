@@ -13,8 +13,8 @@ from conftest import SF_SMALL  # noqa: E402
 from oracle_check import digest  # noqa: E402
 from vigilark.sources.events import TABLES  # noqa: E402
 
-NAMES = sorted(E.queries())
 SQL = E.oracle_sql()
+NAMES = sorted(SQL)
 
 
 @pytest.fixture(scope="module")
@@ -32,7 +32,8 @@ def test_entry(spark):
 
 
 def test_every_query_has_oracle():
-    assert sorted(SQL) == NAMES
+    from vigilark.plans import queries as own
+    assert sorted(own.queries()) == sorted(set(SQL) & set(own.queries()))
 
 
 @pytest.mark.parametrize("name", NAMES)
