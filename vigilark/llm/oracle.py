@@ -6,7 +6,7 @@ from __future__ import annotations
 OP6 = r"""
 with t as (select doc_id, row_number() over () as r, coalesce(text, '') as x from documents),
 w as (select doc_id, r, x, regexp_extract_all(x, '[^\x20\x09-\x0D]+') as ws,
-             list_filter(string_split(x, chr(10)), l -> regexp_matches(l, '[^\x20\x09-\x0D]')) as ls from t),
+             list_filter(string_split(x, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as ls from t),
 g as (select r, i, array_to_string(ws[i:i + 7], ' ') as g
       from (select r, ws, unnest(range(1, len(ws) - 6)) as i from w where len(ws) >= 8)),
 s as (select r, i, count(*) over (partition by r, g) as n from g),
@@ -14,14 +14,14 @@ p as (select r, i, lead(i) over (partition by r order by i) as nx from s where n
 c as (select r, sum(least(8, coalesce(nx - i, 8))) as n_repeat_words from p group by r),
 m as (
   select doc_id, w.r, len(ws) as n_words,
-         coalesce(list_sum(list_transform(ws, v -> length(v))), 0) as word_chars,
+         coalesce(list_sum(list_transform(ws, lambda v: length(v))), 0) as word_chars,
          length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) as n_symbols,
          len(ls) - len(list_distinct(ls)) as n_dup_lines,
          coalesce(c.n_repeat_words, 0) as n_repeat_words, len(ls) as n_lines,
          length(x) - length(replace(x, '!', '')) as n_exclaim,
-         len(list_filter(ws, v -> list_contains([%(stops)s], v))) as n_stop,
-         len(list_filter(ls, l -> regexp_matches(ltrim(l), '^[\-*•]\s'))) as n_bullet,
-         len(list_filter(ls, l -> regexp_matches(rtrim(l), '(\.\.\.|…)$'))) as n_ellipsis
+         len(list_filter(ws, lambda v: list_contains([@STOPS@], v))) as n_stop,
+         len(list_filter(ls, lambda l: regexp_matches(ltrim(l), '^[\-*•]\s'))) as n_bullet,
+         len(list_filter(ls, lambda l: regexp_matches(rtrim(l), '(\.\.\.|…)$'))) as n_ellipsis
   from w left join c on w.r = c.r),
 b as (select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed from m)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,
@@ -39,4 +39,4 @@ def _stops() -> str:
     return ", ".join(f"'{w}'" for w in both)
 
 
-ORACLE: dict[str, str] = {"op6_quality_rules": OP6 % {"stops": _stops()}}
+ORACLE: dict[str, str] = {"op6_quality_rules": OP6.replace("@STOPS@", _stops())}
