@@ -70,9 +70,10 @@ def _need(n, percent: int):
 
 
 def _witnesses(batches: Iterator[pa.RecordBatch], hot: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
-    """Each class's first n - need + L tokens in the common order, with its group."""
+    """Each set's first n - need + L tokens in the common order, with its group, band and L."""
     for batch in batches:
         tokens, groups = [], []
+        bands = batch.column("band").to_pylist()
         lists = batch.column("tokens")
         flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
         for i, g in enumerate(batch.column("grp").to_pylist()):
@@ -84,10 +85,11 @@ def _witnesses(batches: Iterator[pa.RecordBatch], hot: np.ndarray, percent: int)
                 late = hot[at] == t
                 t = np.concatenate([t[~late], t[late]])
             tokens.append(t[:k])
-            groups.append(np.full(min(k, len(t)), g, np.int64))
+            groups.append(np.tile(np.array([g, bands[i], min(WITNESSES, need)], np.int64), (min(k, len(t)), 1)))
         if tokens:
-            rows = np.unique(np.stack([np.concatenate(tokens), np.concatenate(groups)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["token", "grp"])
+            rows = np.unique(np.column_stack([np.concatenate(tokens), np.concatenate(groups)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2], pa.int32()),
+                                              pa.array(rows[:, 3], pa.int32())], names=["token", "grp", "band", "l"])
 
 
 def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -109,6 +111,7 @@ def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def _open_group(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links between a group's members (own) and the classes that open it."""
+    pdf = pdf.reset_index(drop=True)  # a repeated row is a member twice, to no effect
     own = pdf[pdf["own"]]
     sets = [np.asarray(t, np.int64) for t in own["tokens"]]
     sizes = np.array([len(t) for t in sets], np.int64)
@@ -151,15 +154,19 @@ def links(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """Edges u, v between class representatives that connect every linked pair."""
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent))).cast("int")
     keyed = found.withColumn("band", band)
-    count = saved(keyed.groupBy("band", "low").count().filter(F.col("count") > GROUP_ROWS).select(
-        "band", "low", F.ceil(F.col("count") / GROUP_ROWS).alias("parts")))
-    keyed = keyed.join(small(count, BROADCAST_IDS), ["band", "low"], "left").withColumn(
-        "part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("d1", "parts")))
-    keyed = saved(keyed.select("rep", "d1", "n", "band", F.xxhash64("band", "low", "part").alias("grp")))
-    groups = saved(keyed.groupBy("grp").agg(F.max("band").alias("band"), F.min("n").alias("least"), F.count("*").alias("size")))
-
-    reps = rows.filter("n > 0").join(keyed.select(F.col("rep").alias("doc_id"), "d1", "grp"), ["doc_id", "d1"]).select(
-        "grp", F.col("doc_id").alias("rep"), "d1", "tokens")
+    count = keyed.groupBy("band", "low").count().filter(F.col("count") > GROUP_ROWS).select(
+        F.col("band").alias("b"), F.col("low").alias("w"), F.ceil(F.col("count") / GROUP_ROWS).alias("parts"))
+    count = small(saved(count), BROADCAST_IDS)  # at most one row in GROUP_ROWS classes
+
+    def grouped(df: DataFrame) -> DataFrame:
+        """``df`` (n, low, d1) with band and grp: a class's group follows from its own set."""
+        df = df.withColumn("band", band).join(count, (F.col("band") == F.col("b")) & (F.col("low") == F.col("w")), "left")
+        part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("d1", "parts"))
+        return df.withColumn("grp", F.xxhash64("band", "low", part)).drop("b", "w", "parts")
+
+    keyed = saved(grouped(found).select("rep", "d1", "band", "grp"))
+    groups = keyed.groupBy("grp").agg(F.count("*").alias("size"))
+
     seen = rows.filter((F.col("n") > 0) & (F.pmod("d1", F.lit(ORDER_SAMPLE)) == 0)).dropDuplicates(["d1", "d2"])
     hot = seen.select(F.explode("tokens").alias("t")).groupBy("t").count().filter(F.col("count") >= ORDER_SEEN)
     hot = np.sort(np.array([r["t"] for r in hot.orderBy(F.desc("count"), "t").limit(ORDER_TOKENS).select("t").collect()], np.int64))
@@ -169,14 +176,13 @@ def links(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     def witness(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _witnesses(batches, spread.value, percent)
 
-    matrix = reps.select("tokens", "grp").mapInArrow(witness, "token long, grp long").distinct()
-    matrix = matrix.join(groups.select("grp", "band", "least"), "grp")
-    need = F.ceil(F.lit(percent) * F.col("least") / 100)
-    matrix = saved(matrix.select("token", "grp", "band", F.least(F.lit(WITNESSES), need).cast("int").alias("l")))
+    # copies give equal rows, which are merged before they are sent
+    sets = grouped(rows.filter("n > 0")).select("tokens", "grp", "band")
+    matrix = saved(sets.mapInArrow(witness, "token long, grp long, band int, l int").distinct())
     near = matrix.select("token", F.col("grp").alias("g2"), F.col("band").alias("b2"), F.col("l").alias("l2"),
                          F.explode(F.array("band", F.col("band") - 1)).alias("band"))
     pairs = matrix.join(near, ["token", "band"]).filter((F.col("b2") > F.col("band")) | (F.col("grp") < F.col("g2")))
-    pairs = pairs.groupBy("grp", "g2").agg(F.count("*").alias("shared"), F.least(F.max("l"), F.max("l2")).alias("l"))
+    pairs = pairs.groupBy("grp", "g2").agg(F.count("*").alias("shared"), F.least(F.min("l"), F.min("l2")).alias("l"))
     pairs = saved(pairs.filter("shared >= l").select("grp", "g2"))
     inside = groups.filter("size > 1").select("grp", F.col("grp").alias("g2"))
 
@@ -189,7 +195,7 @@ def links(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     roles = saved(owners.unionByName(openers))
     members = saved(keyed.join(roles, "grp").select("rep", "d1", "g2", "turn", "own"))
     wanted = small(saved(members.select(F.col("rep").alias("doc_id"), "d1").distinct()), BROADCAST_IDS)
-    sets = rows.filter("n > 0").join(wanted, ["doc_id", "d1"]).select(F.col("doc_id").alias("rep"), "d1", "tokens").dropDuplicates(["rep", "d1"])
+    sets = rows.filter("n > 0").join(wanted, ["doc_id", "d1"]).select(F.col("doc_id").alias("rep"), "d1", "tokens")
     full = members.join(sets, ["rep", "d1"]).select("g2", "turn", "own", "rep", "tokens")
 
     def opened(pdf: pd.DataFrame) -> pd.DataFrame:
