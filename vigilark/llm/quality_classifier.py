@@ -59,6 +59,14 @@ class QualityModel:
     path_col: str
 
 
+def _bin_of(edges: tuple[float, ...]):
+    """Value -> the number of edges below it."""
+    def of(x: Column) -> Column:
+        return sum(((x > e).cast("int") for e in edges[1:]), (x > edges[0]).cast("int"))
+
+    return of
+
+
 def text_bins(text: Column) -> Column:
     """A struct with each metric's bin, and ``any`` (the text has a word)."""
     body = F.coalesce(text, F.lit(""))
@@ -76,8 +84,7 @@ def text_bins(text: Column) -> Column:
             "distinct_words": per_word(F.size(F.array_distinct(ws))),
             "stops_per_word": per_word(count_of(body, ".")),
         }
-        bins = [let(v, lambda x, k=k: sum(((x > e).cast("int") for e in BINS[k][1:]), (x > BINS[k][0]).cast("int"))).alias(k)
-                for k, v in by_name.items()]
+        bins = [let(v, _bin_of(BINS[k])).alias(k) for k, v in by_name.items()]
         return F.struct((n > 0).alias("any"), *bins)
 
     return let(words(text), of)
@@ -151,7 +158,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sites = paths.alias("p").join(hosts.alias("h"), F.col("p.host").eqNullSafe(F.col("h.host")), "left").select(
         "p.host", "p.path", ((F.lit(s_p) * F.col("rate_h") + F.col("good")) / (F.lit(s_p) + F.col("n"))).alias("rate"))
     rate = F.least(F.greatest(F.col("rate"), F.lit(1e-3)), F.lit(1 - 1e-3))
-    sites = saved(sites.select("host", "path", (F.log(rate / (1 - rate)) - _odds(mean)).alias("shift")))
+    shift = F.log(rate / (1 - rate)) - _odds(mean) if good + bad else F.lit(0.0)
+    sites = saved(sites.select("host", "path", shift.alias("shift")))
     return QualityModel(weights, prior, sites, host_col, path_col)
 
 
