@@ -10,9 +10,11 @@ partial row a task. Then:
    witness a link: with at least ``o`` of ``n`` tokens shared, any n - o + L tokens taken first
    in one common order hold at least L shared ones. The order puts frequent tokens last, so
    they witness only what nothing rarer does.
-3. *Bound.* Groups of compatible sizes that share at least L such tokens are paired; a document
-   then opens a paired group only if its overlap with the group's whole union can reach the
-   threshold, and meets the group's members one by one only then, by exact set overlap.
+3. *Bound.* Groups of compatible sizes that share at least L such tokens are paired if their
+   overlap, bounded by the smaller token count in each of ``BUCKETS`` hash buckets of the two
+   unions, can reach the threshold. A document then opens a paired group only if its overlap
+   with the group's whole union can, and meets the group's members one by one only then, by
+   exact set overlap.
 4. *Links* inside a task leave it as a spanning forest, and components are joined up over all.
 
 No pair within a group of copies is written out, and nothing is dropped: groups are split, hot
@@ -42,6 +44,8 @@ from vigilark.llm.components import components
 GROUP_ROWS = 128
 #: shared tokens that pair two groups (fewer where a set is too small)
 WITNESSES = 2
+#: hash buckets of a group's token counts (a power of two)
+BUCKETS = 128
 #: groups that one task is opened for at a time
 PARTNERS = 8
 ORDER_SAMPLE, ORDER_SEEN, ORDER_TOKENS = 16, 8, 200_000
@@ -92,6 +96,40 @@ def _witnesses(batches: Iterator[pa.RecordBatch], hot: np.ndarray, percent: int)
                                               pa.array(rows[:, 3], pa.int32())], names=["token", "grp", "band", "l"])
 
 
+def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's group and its token counts by bucket."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        flat, ends = lists.values.to_numpy() & (BUCKETS - 1), lists.offsets.to_numpy()
+        sigs = [np.bincount(flat[ends[i]:ends[i + 1]], minlength=BUCKETS).astype("<u4").tobytes() for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(sigs, pa.binary())], names=["grp", "sig"])
+
+
+def _envelopes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A group's largest count by bucket, and its smallest set's size."""
+    for batch in batches:
+        tops, least = [], []
+        for sigs in batch.column("sigs").to_pylist():
+            counts = np.stack([np.frombuffer(s, "<u4") for s in sigs])
+            top = counts.max(0)
+            tops.append(top.astype("<u1" if top.max() < 256 else "<u4").tobytes())
+            least.append(int(counts.sum(1).min()))
+        yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(tops, pa.binary()), pa.array(least, pa.int64())],
+                                         names=["grp", "top", "least"])
+
+
+def _near_enough(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The pairs whose overlap, bounded bucket by bucket, can reach what their smallest sets need."""
+    def counts(b: bytes) -> np.ndarray:
+        return np.frombuffer(b, "<u1" if len(b) == BUCKETS else "<u4").astype(np.int64)
+
+    for batch in batches:
+        d = batch.to_pydict()
+        keep = [int(np.minimum(counts(a), counts(b)).sum()) >= max(_need(x, percent), _need(y, percent))
+                for a, b, x, y in zip(d["top"], d["top2"], d["least"], d["least2"], strict=True)]
+        yield batch.select(["grp", "g2"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """A spanning forest of the pairs: (node, root) for every node that is not a root."""
     up: dict[int, int] = {}
@@ -184,6 +222,18 @@ def links(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     pairs = matrix.join(near, ["token", "band"]).filter((F.col("b2") > F.col("band")) | (F.col("grp") < F.col("g2")))
     pairs = pairs.groupBy("grp", "g2").agg(F.count("*").alias("shared"), F.least(F.min("l"), F.min("l2")).alias("l"))
     pairs = saved(pairs.filter("shared >= l").select("grp", "g2"))
+    # before any set is sent: the overlap of two groups is at most the sum of the smaller counts
+    # of tokens in each hash bucket
+    bound = sets.select("tokens", "grp").mapInArrow(_signatures, "grp long, sig binary").groupBy("grp").agg(
+        F.collect_set("sig").alias("sigs")).mapInArrow(_envelopes, "grp long, top binary, least long")
+    bound = saved(bound)
+    other = bound.select(F.col("grp").alias("g2"), F.col("top").alias("top2"), F.col("least").alias("least2"))
+    pairs = pairs.join(bound, "grp").join(other, "g2").select("grp", "g2", "top", "top2", "least", "least2")
+
+    def near_enough(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _near_enough(batches, percent)
+
+    pairs = saved(pairs.mapInArrow(near_enough, "grp long, g2 long"))
     inside = groups.filter("size > 1").select("grp", F.col("grp").alias("g2"))
 
     # a task: group g2 with up to PARTNERS groups that open it
