@@ -216,7 +216,9 @@ def links(rows: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 
     # copies give equal rows, which are merged before they are sent
     sets = grouped(rows.filter("n > 0")).select("tokens", "grp", "band")
-    matrix = saved(sets.mapInArrow(witness, "token long, grp long, band int, l int").distinct())
+    matrix = sets.mapInArrow(witness, "token long, grp long, band int, l int").repartition("token").distinct()
+    # a token of one group pairs nothing
+    matrix = saved(matrix.withColumn("df", F.count("*").over(W.partitionBy("token"))).filter("df > 1").drop("df"))
     near = matrix.select("token", F.col("grp").alias("g2"), F.col("band").alias("b2"), F.col("l").alias("l2"),
                          F.explode(F.array("band", F.col("band") - 1)).alias("band"))
     pairs = matrix.join(near, ["token", "band"]).filter((F.col("b2") > F.col("band")) | (F.col("grp") < F.col("g2")))
