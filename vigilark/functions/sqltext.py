@@ -13,13 +13,14 @@ import math
 def sql_str(v: str | None) -> str:
     """A Spark SQL string literal or NULL.
 
-    Plain text is quoted as is. Text holding a quote or a backslash is written as
-    ``decode(unhex(...), 'UTF-8')``, which means the same thing whatever the session's
-    ``spark.sql.parser.escapedStringLiterals`` setting; Catalyst folds it to a literal.
+    Plain text is quoted as is. Text holding a quote, a backslash or a dollar sign is written
+    as ``decode(unhex(...), 'UTF-8')``: it means the same whatever the session's
+    ``spark.sql.parser.escapedStringLiterals`` setting, and Spark's variable substitution
+    (``${env:..}``) finds nothing to replace. Catalyst folds it to a literal.
     """
     if v is None:
         return "CAST(NULL AS STRING)"
-    if "'" not in v and "\\" not in v:
+    if not set("'\\$") & set(v):
         return "'" + v + "'"
     return f"decode(unhex('{v.encode('utf-8').hex()}'), 'UTF-8')"
 

@@ -95,9 +95,6 @@ def _empty_matches(events: DataFrame) -> DataFrame:
         F.lit(None).cast("array<string>").alias("reasons"))
 
 
-PREFILTER_MAX_RULES = 32
-
-
 def scan(events: DataFrame, rules: Any, *, prefilter: bool = False, scanned_at: Column | None = None,
          regex_ok=None) -> DataFrame:
     """One row per (event, matching enabled rule): event columns + rule columns + reasons.
@@ -107,10 +104,9 @@ def scan(events: DataFrame, rules: Any, *, prefilter: bool = False, scanned_at:
     reader as pushed filters (row groups skipped by min/max statistics). On derived
     columns (e.g. the ECS projection) Catalyst would push the OR below the projection and
     inline every derived expression, so it only costs; rows whose hit array is empty
-    already produce nothing in the explode. Ignored above 32 live rules.
+    already produce nothing in the explode.
     """
     compiled = live_rules(events, rules, regex_ok)
-    prefilter = prefilter and len(compiled) <= PREFILTER_MAX_RULES
     if not compiled:
         out = _empty_matches(events)
     else:

@@ -201,22 +201,16 @@ def scan_table(events: DataFrame, rules: Any, *, spark: SparkSession | None = No
     return out
 
 
-AUTO_TABLE_SCAN_RULES = 1000
+def detect(events: DataFrame, rules: Any, *, method: str = "compiled", scanned_at=None, **kw) -> DataFrame:
+    """Scan by the form the caller names; the size of the rule set never chooses it.
 
-
-def detect(events: DataFrame, rules: Any, *, method: str = "auto", **kw) -> DataFrame:
-    """Scan with the plan that suits the rule-set size.
-
-    ``compiled`` builds one expression per rule (best up to a few hundred rules);
-    ``table`` joins on anchor conditions (rule sets in the thousands); ``auto`` picks
-    ``table`` above ``AUTO_TABLE_SCAN_RULES`` enabled rules.
+    ``compiled`` builds one expression per rule; ``table`` joins on anchor conditions (rule
+    sets in the thousands). ``scanned_at`` adds that column in either form.
     """
-    rs = as_rules(rules)
-    if method == "auto":
-        method = "table" if sum(1 for r in rs if r.enabled) > AUTO_TABLE_SCAN_RULES else "compiled"
-    if method == "table":
-        return scan_table(events, rs, **kw)
-    return scan(events, rs, **kw)
+    if method not in ("compiled", "table"):
+        raise ValueError(f"unknown method {method!r}")
+    out = (scan_table if method == "table" else scan)(events, as_rules(rules), **kw)
+    return out if scanned_at is None else out.withColumn("scanned_at", scanned_at)
 
 
 COND_ROW_SCHEMA = T.StructType([

@@ -30,16 +30,9 @@ def query(name: str):
     return deco
 
 
-_EVENTS: dict[tuple, DataFrame] = {}
-
-
 def events(spark, sf, **kw) -> DataFrame:
-    """The ECS event table of ``sf``; built once per session and reused (DataFrames are
-    immutable plans, so sharing one between queries is safe)."""
-    key = (spark.sparkContext.applicationId, id(spark), sf, tuple(sorted(kw.items())))
-    if key not in _EVENTS:
-        _EVENTS[key] = security_events(spark, sf, **kw)
-    return _EVENTS[key]
+    """The ECS event table of ``sf``."""
+    return security_events(spark, sf, **kw)
 
 
 def agg_events(spark, sf, **kw) -> DataFrame:

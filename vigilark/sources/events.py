@@ -26,8 +26,8 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def spread_small_input(df: DataFrame) -> DataFrame:
     """Round-robin a scan that has fewer partitions than task slots (one small file,
-    one row group) so CPU-heavy rule evaluation uses every core. A large input (many
-    files / row groups) already has more partitions than slots: untouched, no shuffle."""
+    one row group) so CPU-heavy rule evaluation uses every core. Opt-in
+    (``spread=True``): it shuffles whole rows and does not keep table order."""
     if df.isStreaming:
         return df
     try:
@@ -38,7 +38,7 @@ def spread_small_input(df: DataFrame) -> DataFrame:
     return df.repartition(slots) if parts < slots else df
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = True) -> DataFrame:
+def read_table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     if name == "events":
         df = spark.read.schema(DRIVER_EVENTS_SCHEMA).parquet(table_path(sf_dir, name))
     else:
@@ -95,7 +95,7 @@ def raw_security_records(events: DataFrame, carry: tuple[str, ...] = ()) -> Data
 
 
 def security_events(spark: SparkSession, sf_dir: str, *, udm: bool = True, hour: bool = True,
-                    carry: tuple[str, ...] = (), spread: bool = True) -> DataFrame:
+                    carry: tuple[str, ...] = (), spread: bool = False) -> DataFrame:
     """The flat ECS event table derived from ``events`` (+ ``hour`` and nested ``udm``).
 
     ``carry`` passes raw columns (e.g. ``props``) through next to ``event_id``.

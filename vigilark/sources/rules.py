@@ -42,7 +42,7 @@ def rule_texts_frame(spark: SparkSession, texts: list[tuple[str, str]]) -> DataF
 
 
 def _entries(files: DataFrame) -> DataFrame:
-    body = F.trim(F.col("content"))
+    body = F.btrim(F.col("content"), F.lit(" \t\r\n"))  # the white space of JSON
     as_array = F.from_json(body, "array<string>")
     ok_json = F.try_parse_json(body).isNotNull()
     entries = F.when(body.startswith("["), as_array).when(ok_json, F.array(body))
@@ -58,7 +58,7 @@ def load_rules(files: DataFrame) -> tuple[DataFrame, DataFrame]:
                 .select("path", F.posexplode("_e").alias("entry_index", "rule_json")))
     v = F.try_parse_json("rule_json")
     kind = F.schema_of_variant(v)
-    is_obj = kind.startswith("OBJECT")
+    is_obj = F.coalesce(kind.startswith("OBJECT"), F.lit(False))  # a null entry is rejected too
     conds_kind = F.schema_of_variant(F.try_variant_get(v, "$.conditions", "variant"))
     cond_ok = conds_kind.isNull() | conds_kind.startswith("OBJECT")
     rejects_entry = exploded.filter(~is_obj | ~cond_ok).select(
@@ -128,21 +128,24 @@ def rule_set_stats(rules: DataFrame) -> DataFrame:
 
 def export_rules(rules: DataFrame) -> DataFrame:
     """One JSON text per rule with the seven rule keys (raw condition / metadata JSON kept)."""
-    def raw(path: str, default: str) -> Column:
-        return F.coalesce(F.get_json_object("rule_json", path), F.lit(default))
+    v = F.try_parse_json("rule_json")
+
+    def value(path: str, default: str) -> Column:
+        """Any JSON value as JSON text; an object's own text, which keeps the order of its keys."""
+        found = F.try_variant_get(v, path, "variant")
+        own = F.when(F.schema_of_variant(found).startswith("OBJECT"), F.get_json_object("rule_json", path))
+        return F.coalesce(own, F.to_json(found), F.lit(default))
 
     def text(c: Column) -> Column:
         return F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
 
-    v = F.try_parse_json("rule_json")
-    enabled_raw = F.coalesce(F.try_variant_get(v, "$.enabled", "variant").cast("string"), F.lit("true"))
     line = F.concat(
-        F.lit('{"name": '), text(F.col("name")),
-        F.lit(', "description": '), text(F.col("description")),
-        F.lit(', "severity": '), text(F.col("severity")),
-        F.lit(', "enabled": '), enabled_raw,
-        F.lit(', "conditions": '), raw("$.conditions", "{}"),
-        F.lit(', "metadata": '), raw("$.metadata", "{}"),
+        F.lit('{"name": '), value("$.name", '"Unnamed Rule"'),
+        F.lit(', "description": '), value("$.description", '""'),
+        F.lit(', "severity": '), value("$.severity", '"medium"'),
+        F.lit(', "enabled": '), value("$.enabled", "true"),
+        F.lit(', "conditions": '), value("$.conditions", "{}"),
+        F.lit(', "metadata": '), value("$.metadata", "{}"),
         F.lit(', "created_at": '), text(F.coalesce(F.get_json_object("rule_json", "$.created_at"),
                                                    F.date_format(F.current_timestamp(),
                                                                  "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))),

@@ -30,7 +30,12 @@ def flat_for_csv(df: DataFrame) -> DataFrame:
 # microsecond timestamps, space-separated like a pandas CSV export
 # (Spark's CSV default keeps only milliseconds)
 CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS",
-               "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX"}
+               "timestampFormat": "yyyy-MM-dd HH:mm:ss.SSSSSSXXX",
+               # quotes inside a quoted cell are doubled, as every CSV reader expects
+               "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+# reading: cells may hold line breaks; a blank unquoted cell is null, "" is an empty text
+CSV_READ_OPTIONS = CSV_OPTIONS | {"multiLine": "true", "nullValue": "\x00", "emptyValue": ""}
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
@@ -39,7 +44,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def read_csv(spark, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).options(**CSV_OPTIONS).csv(path)
+    return spark.read.schema(schema).options(**CSV_READ_OPTIONS).csv(path)
 
 
 def write_events_csv(events: DataFrame, path: str, mode: str = "overwrite") -> str:

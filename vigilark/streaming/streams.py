@@ -25,16 +25,18 @@ from vigilark.operators.scan import scan
 from vigilark.operators.udm import with_udm
 from vigilark.schema import DRIVER_EVENTS_SCHEMA
 from vigilark.session import shared_dir
-from vigilark.sources.events import raw_security_records
+from vigilark.sources.events import raw_security_records, table_path
 
 
 def read_event_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int | None = None,
                       udm: bool = True) -> DataFrame:
-    """Streaming ECS events from the ``events`` Parquet file(s) of a folder."""
-    reader = (spark.readStream.schema(DRIVER_EVENTS_SCHEMA).option("pathGlobFilter", "events*.parquet"))
+    """Streaming ECS events from the ``events`` Parquet table of a folder: a directory of part
+    files, or one file. Only that table is read, as in batch."""
+    reader = spark.readStream.schema(DRIVER_EVENTS_SCHEMA)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    raw = reader.parquet(sf_dir)
+    # as a glob (of one name): a plain path would be taken for a partition root, which a file is not
+    raw = reader.parquet(table_path(sf_dir, "event[s]"))
     ev = with_hour(ecs_normalize(raw_security_records(raw)))
     return with_udm(ev) if udm else ev
 
