@@ -8,8 +8,8 @@ partial row a task. Then:
    parts of about ``GROUP_ROWS`` classes where it is larger.
 2. *Matrix.* A group's token union is stored as (token, group) rows, for the tokens that can
    witness a link: with at least ``o`` of ``n`` tokens shared, any n - o + L tokens taken first
-   in one common order hold at least L shared ones. The order puts frequent tokens last, so
-   they witness only what nothing rarer does.
+   in one common order hold at least L shared ones. L grows with n. The order puts frequent
+   tokens last, so they witness only what nothing rarer does.
 3. *Bound.* Groups of compatible sizes that share at least L such tokens are paired if their
    overlap, bounded by the smaller token count in each of ``BUCKETS`` hash buckets of the two
    unions, can reach the threshold. A document then opens a paired group only if its overlap
@@ -42,8 +42,9 @@ from vigilark.llm.common import LOWER, UPPER, gram_hashes, let, saved, shared_di
 from vigilark.llm.components import components
 
 GROUP_ROWS = 128
-#: shared tokens that pair two groups (fewer where a set is too small)
-WITNESSES = 2
+#: shared tokens that pair two groups: at least so many (fewer where a set is too small), and one
+#: in ``WITNESS_PART`` of what a link needs, so that long texts are not paired by a few phrases
+WITNESSES, WITNESS_PART = 2, 32
 #: hash buckets of a group's token counts (a power of two)
 BUCKETS = 128
 #: groups that one task is opened for at a time
@@ -73,6 +74,11 @@ def _need(n, percent: int):
     return -(-percent * n // 100)
 
 
+def _shared_least(need: int) -> int:
+    """L: witnesses that two sets must share, for a set that needs ``need`` shared tokens."""
+    return min(max(WITNESSES, need // WITNESS_PART), need)
+
+
 def _witnesses(batches: Iterator[pa.RecordBatch], hot: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """Each set's first n - need + L tokens in the common order, with its group, band and L."""
     for batch in batches:
@@ -83,17 +89,18 @@ def _witnesses(batches: Iterator[pa.RecordBatch], hot: np.ndarray, percent: int)
         for i, g in enumerate(batch.column("grp").to_pylist()):
             t = flat[ends[i]:ends[i + 1]]
             need = _need(len(t), percent)
-            k = len(t) - need + min(WITNESSES, need)
+            least = _shared_least(need)
+            k = len(t) - need + least
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, t), len(hot) - 1)
                 late = hot[at] == t
                 t = np.concatenate([t[~late], t[late]])
             tokens.append(t[:k])
-            groups.append(np.tile(np.array([g, bands[i], min(WITNESSES, need)], np.int64), (min(k, len(t)), 1)))
-        if tokens:
-            rows = np.unique(np.column_stack([np.concatenate(tokens), np.concatenate(groups)]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2], pa.int32()),
-                                              pa.array(rows[:, 3], pa.int32())], names=["token", "grp", "band", "l"])
+            groups.append(np.tile(np.array([g, bands[i], least], np.int64), (min(k, len(t)), 1)))
+        if tokens:  # by group, so that neighbouring rows are alike and pack well
+            rows = np.unique(np.column_stack([np.concatenate(groups), np.concatenate(tokens)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 3]), pa.array(rows[:, 0]), pa.array(rows[:, 1], pa.int32()),
+                                              pa.array(rows[:, 2], pa.int32())], names=["token", "grp", "band", "l"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
