@@ -2,8 +2,10 @@
 nulls, empty and very long texts, ties, repeated rows, empty tables, clashing extra columns."""
 
 import itertools
+import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -175,20 +177,61 @@ def test_repacking_and_bounds(spark, monkeypatch):
     assert max(total.values()) <= 4096 and len(total) >= packing.lower_bound(lengths, 4096)
 
 
-def test_lm_score(docs, labels, empty):
-    a = {(r["doc_id"], r["n_chars_scored"]): r["score"] for r in lm_score.lm_score(docs, labels).collect()}
-    b = {(r["doc_id"], r["n_chars_scored"]): r["score"] for r in lm_score.lm_score(docs, labels, join=True).collect()}
-    assert a.keys() == b.keys() and all((a[k] is None) == (b[k] is None) and (a[k] is None or abs(a[k] - b[k]) < 1e-9) for k in a)
-    assert a[6, 0] is None and a[7, 0] is None
-    assert a[1, len(TEXTS[0][1])] < a[13, len("!!! ### $$$")]
-    assert lm_score.lm_score(empty, labels).count() == 0
+def brute_losses(docs, good):
+    """Per document, the token losses of the two models written out plainly."""
+    runs = {i: re.findall(r"[^\x20\x09-\x0D]{1,64}", t or "") for i, t in docs}
+    models = []
+    chars = {c for ws in runs.values() for w in ws for c in w + " " if c != "\0"}
+    for ids in (good, set(runs)):
+        said = Counter(w for i in ids for w in runs[i])
+        grams, ctx = Counter(), Counter()
+        for w, n in said.items():
+            s = "\0\0" + w + " "
+            for j in range(2, len(s)):
+                if s[j] != "\0":
+                    for k in range(3):
+                        grams[s[j - k:j + 1]] += n
+                        ctx[k, s[j - k:j]] += n
+        models.append((said, grams, ctx, sum(said.values()), ctx[0, ""] + len(chars) + 1))
+
+    def log(model, w):
+        said, grams, ctx, total, size = model
+        s, out = "\0\0" + w + " ", 0.0
+        for j in range(2, len(s)):
+            if s[j] != "\0":
+                p = lm_score.WEIGHTS[2] * (grams[s[j]] + 1) / size
+                for k, weight in ((2, lm_score.WEIGHTS[0]), (1, lm_score.WEIGHTS[1])):
+                    if ctx[k, s[j - k:j]]:
+                        p += weight * grams[s[j - k:j + 1]] / ctx[k, s[j - k:j]]
+                out += math.log(p)
+        p = (1 - lm_score.MEMORY) * math.exp(out) + lm_score.MEMORY * said[w] / max(total, 1)
+        return math.log(p)
+
+    return {i: [log(models[1], w) - log(models[0], w) for w in ws] for i, ws in runs.items()}
+
+
+def test_lm_score_brute(spark):
+    texts = [(i, t) for i, t, _, _ in TEXTS if i not in (None, 16, 11, 17)] + [(20, "x" * 130 + " tail")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
+    good = spark.createDataFrame([(1, 1, 0), (4, 1, None), (12, 1, 1), (14, 0, 0)], "doc_id long, quality int, toxic int")
+    want = brute_losses(texts, {1, 4})
+    for r in lm_score.lm_score(df, good, hot_rows=40).collect():
+        assert r["n_tokens_scored"] == len(want[r["doc_id"]])
+        if want[r["doc_id"]]:
+            assert abs(r["score"] - sum(want[r["doc_id"]]) / len(want[r["doc_id"]])) < 1e-6
+        else:
+            assert r["score"] is None
 
 
-def test_lm_long_text_in_steps(monkeypatch):
-    text = "abcdefghij" * 30
-    whole = np.sort(np.concatenate([k for k, _ in lm_score._steps([text, "xy"])]))
-    monkeypatch.setattr(lm_score, "STEP", 7)
-    assert np.array_equal(whole, np.sort(np.concatenate([k for k, _ in lm_score._steps([text, "xy"])])))
+def test_lm_score(docs, labels, empty):
+    key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
+    a, b, c = (sorted(lm_score.lm_score(docs, labels, **o).collect(), key=key) for o in ({}, {"hot_rows": 0}, {"spell_rows": 0}))
+    assert a == b and len(a) == len(TEXTS)
+    assert all(x["n_tokens_scored"] == y["n_tokens_scored"] and abs((x["score"] or 0) - (y["score"] or 0)) < 1e-6 for x, y in zip(a, c))
+    by_id = {r["doc_id"]: r for r in a}
+    assert by_id[6]["score"] is None and by_id[7]["score"] is None and by_id[1]["score"] < by_id[13]["score"]
+    assert by_id[16]["n_tokens_scored"] == 30
+    assert lm_score.lm_score(empty, labels).count() == 0
 
 
 def sets_of(n):

@@ -1,20 +1,24 @@
 """LM scoring by cross-entropy difference (Moore-Lewis selection).
 
-Two character trigram models, of the target (documents labelled good) and of the background
-(every document), share one vocabulary, order and interpolation, so they are matched and their
-per-character losses can be subtracted. A document's score is the mean of loss under the target
-minus loss under the background: the lower, the more like the target.
-
-Counts cover all documents: tasks count trigrams in Arrow batches and one grouped sum merges
-them; lower orders and contexts are sums over the trigram table. The model has a row a distinct
-trigram. Up to ``MODEL_ROWS`` rows it is broadcast and documents are scored where they are read;
-beyond, documents' trigram counts are joined to it (``join=True`` forces that way; both give the
-same scores).
-
-Defined results: a null or empty text has no characters and a null score; U+0000 marks the start
-of a text and is not scored; characters never counted share the unigram floor; repeated rows
-score alike; without target documents every score is against the floor; only id and text are
-read.
+Two models, of the target (documents labelled good) and of the background (every document),
+share one vocabulary of words and characters, and their order and weights, so they are matched
+and their per-token losses can be subtracted. A token is a run of at most 64 characters that are
+not white space (a longer word is several tokens, so none is cut). A token's probability mixes
+how often the model's documents hold it with how a character trigram model spells it; the
+trigrams are counted over the tokens of the same documents. A document's score is the mean of
+loss under the target minus loss under the background: the lower, the more like the target.
+
+Counts cover all documents. The word table has a row a distinct token, so it grows with the
+corpus; trigrams and spellings are computed once a distinct token. To score, the words seen at
+least total / ``hot_rows`` times (``hot_rows`` at most, whatever the corpus) are broadcast and
+summed where documents are read. Every other word has fewer occurrences than that, so none is a
+hot key, and its occurrences are joined to the table. The split changes no score. Losses are
+summed as whole nanonats, so reruns agree.
+
+Defined results: a null, empty or white text has no tokens and a null score; U+0000 marks the
+start of a token and is not scored as a character; characters never counted share the unigram
+floor; repeated rows score alike; without target documents the target only spells, at its floor;
+only id and text are read.
 """
 
 from __future__ import annotations
@@ -23,78 +27,68 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vigilark.llm.common import saved, small
+from vigilark.session import materialize
 
-#: interpolation weights of the trigram, bigram and unigram
+TOKEN = r"[^\x20\x09-\x0D]{1,64}"
+#: interpolation weights of the character trigram, bigram and unigram
 WEIGHTS = (0.6, 0.3, 0.1)
-MODEL_ROWS = 2_000_000
+#: the weight of a token's own count beside its spelling
+MEMORY = 0.8
+HOT_ROWS = 1_000_000
+SPELL_ROWS = 2_000_000
 BROADCAST_IDS = 1_000_000
-#: characters that are worked on at a time
-STEP = 1 << 19
+NANO = 1_000_000_000
 BITS, MASK1, MASK2 = 21, (1 << 21) - 1, (1 << 42) - 1
 
 
-def _steps(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(trigram keys, index of their text) for bounded runs of characters, over all texts."""
-    parts: list[str] = []
-    owners: list[tuple[int, int]] = []
-    held = 0
-
-    def made() -> tuple[np.ndarray, np.ndarray]:
-        cps = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        keys = (cps[:-2] << 2 * BITS) | (cps[1:-1] << BITS) | cps[2:]
-        owner = np.repeat([o for o, _ in owners], [n for _, n in owners])[2:]
-        first = np.zeros(len(cps), bool)  # the two characters of context before each part
-        at = np.cumsum([0] + [n for _, n in owners[:-1]])
-        first[at] = first[at + 1] = True
-        good = ~first[2:] & (cps[2:] != 0)
-        return keys[good], owner[good]
-
-    for i, text in enumerate(texts):
-        text = text or ""
-        for a in range(0, len(text), STEP):
-            part = ("\0\0" + text[:2])[a:a + 2] if a < 2 else text[a - 2:a]
-            part += text[a:a + STEP]
-            parts.append(part)
-            owners.append((i, len(part)))
-            held += len(part)
-            if held >= STEP:
-                yield made()
-                parts, owners, held = [], [], 0
-    if parts:
-        yield made()
-
-
-def count_trigrams(docs: DataFrame) -> DataFrame:
-    """``docs``: text, good (boolean). key, nt (in good documents), nb (in all documents)."""
+def tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN), F.lit(0))
+
+
+def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(trigram keys, index of their word): two marks of the start, the characters, a space."""
+    parts = [f"\0\0{w} " for w in words]
+    cps = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+    keys = (cps[:-2] << 2 * BITS) | (cps[1:-1] << BITS) | cps[2:]
+    inside = (owner[:-2] == owner[2:]) & (cps[2:] != 0)
+    return keys[inside], owner[2:][inside]
+
+
+def count_words(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """word, nt (occurrences in good documents), nb (in all documents), written to the shared folder."""
+    marks = small(saved(good_ids.select(F.col(id_col).alias("__g")).filter("__g is not null").distinct()), BROADCAST_IDS)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, F.col("id") == F.col("__g"), "left")
+    rows = rows.select(F.col("__g").isNotNull().cast("long").alias("good"), F.explode(tokens(F.col("text"))).alias("word"))
+    return materialize(rows.groupBy("word").agg(F.sum("good").alias("nt"), F.count("*").alias("nb")), "lm-words")
+
+
+def count_trigrams(counts: DataFrame) -> DataFrame:
+    """key, nt and nb of every character trigram of the counted tokens."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, nt, nb = (np.zeros(0, np.int64) for _ in range(3))
         for batch in batches:
-            good = np.array(batch.column("good").to_pylist(), bool)
-            for k, owner in _steps(batch.column("text").to_pylist()):
-                new, at, n = np.unique(k, return_inverse=True, return_counts=True)
-                t = np.bincount(at, weights=good[owner], minlength=len(new)).astype(np.int64)
-                keys, at = np.unique(np.concatenate([keys, new]), return_inverse=True)
-                nt, nb = (np.bincount(at, weights=np.concatenate(x)).astype(np.int64) for x in ((nt, t), (nb, n)))
-        if len(keys):
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nt), pa.array(nb)], names=["key", "nt", "nb"])
+            keys, owner = spelled(batch.column("word").to_pylist())
+            new, at = np.unique(keys, return_inverse=True)
+            sums = [np.zeros(len(new), np.int64) for _ in range(2)]
+            for out, c in zip(sums, ("nt", "nb")):
+                np.add.at(out, at, batch.column(c).to_numpy()[owner])
+            yield pa.RecordBatch.from_arrays([pa.array(new), *map(pa.array, sums)], names=["key", "nt", "nb"])
 
-    return docs.mapInArrow(count, "key long, nt long, nb long").groupBy("key").agg(F.sum("nt").alias("nt"), F.sum("nb").alias("nb"))
+    return counts.mapInArrow(count, "key long, nt long, nb long").groupBy("key").agg(F.sum("nt").alias("nt"), F.sum("nb").alias("nb"))
 
 
-def fit(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, tuple[float, float]]:
+def fit_spelling(counts: DataFrame) -> tuple[DataFrame, tuple[float, float]]:
     """(model: k, key, pt, pb with weighted probabilities of orders 3, 2 and 1; the floors)."""
-    marks = small(saved(good_ids.select(F.col(id_col).alias("__g")).filter("__g is not null").distinct()), BROADCAST_IDS)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, F.col("id") == F.col("__g"), "left")
-    tri = saved(count_trigrams(rows.select("text", F.col("__g").isNotNull().alias("good"))))
+    tri = saved(count_trigrams(counts))
     sums = lambda df, key: df.groupBy(key.alias("key")).agg(F.sum("nt").alias("nt"), F.sum("nb").alias("nb"))
     bi = saved(sums(tri, F.col("key").bitwiseAND(F.lit(MASK2))))
     uni = saved(sums(bi, F.col("key").bitwiseAND(F.lit(MASK1))))
     total = uni.agg(F.sum("nt").alias("t"), F.sum("nb").alias("b"), F.count("*").alias("v")).first()
-    size = total["v"] + 1  # the shared vocabulary, with the unknown character
+    size = total["v"] + 1  # the shared characters, with the unknown one
     nt, nb = (total["t"] or 0) + size, (total["b"] or 0) + size
 
     def order(df: DataFrame, k: int, weight: float) -> DataFrame:
@@ -109,64 +103,88 @@ def fit(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col:
     return saved(order(tri, 3, w3).unionByName(order(bi, 2, w2)).unionByName(one)), (w1 / nt, w1 / nb)
 
 
-def score(docs: DataFrame, model: DataFrame, floors: tuple[float, float], id_col: str = "doc_id",
-          text_col: str = "text", join: bool = False) -> DataFrame:
-    """doc_id, n_chars_scored and score for every row of ``docs``."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    if join or model.limit(MODEL_ROWS + 1).count() > MODEL_ROWS:
-        return _score_by_join(rows, model, floors)
-    table = model.orderBy("k", "key").toPandas()  # at most MODEL_ROWS rows
-    levels = [(3, -1), (2, MASK2), (1, MASK1)]
-    parts = [(mask, *(table.loc[table["k"] == k, c].to_numpy() for c in ("key", "pt", "pb"))) for k, mask in levels]
-    shared = docs.sparkSession.sparkContext.broadcast(parts)
+def spellings(counts: DataFrame, model: DataFrame, floors: tuple[float, float], rows: int = SPELL_ROWS) -> DataFrame:
+    """``counts`` with st and sb, the log probabilities of spelling each token. A model of up to
+    ``rows`` rows is broadcast, a larger one joined."""
+    if model.limit(rows + 1).count() > rows:
+        return _spellings_by_join(counts, model, floors)
+    table = model.orderBy("k", "key").toPandas()  # at most ``rows`` rows
+    parts = [(mask, *(table.loc[table["k"] == k, c].to_numpy() for c in ("key", "pt", "pb")))
+             for k, mask in ((3, -1), (2, MASK2), (1, MASK1))]
+    shared = counts.sparkSession.sparkContext.broadcast(parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
-            for k, owner in _steps(batch.column("text").to_pylist()):
-                p = [np.zeros(len(k)), np.zeros(len(k))]
-                for mask, keys, pt, pb in shared.value:
-                    if len(keys):
-                        low = k & mask
-                        at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
-                        hit = keys[at] == low
-                        p[0] += np.where(hit, pt[at], 0.0)
-                        p[1] += np.where(hit, pb[at], 0.0)
-                delta = np.log(np.maximum(p[1], floors[1])) - np.log(np.maximum(p[0], floors[0]))
-                n += np.bincount(owner, minlength=len(n))
-                total += np.bincount(owner, weights=delta, minlength=len(n))
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), mean], names=["doc_id", "n_chars_scored", "score"])
-
-    return rows.mapInArrow(run, "doc_id long, n_chars_scored long, score double")
-
-
-def _score_by_join(rows: DataFrame, model: DataFrame, floors: tuple[float, float]) -> DataFrame:
-    """The same scores from each document's trigram counts joined to the model by order."""
+            k, owner = spelled(batch.column("word").to_pylist())
+            p = [np.zeros(len(k)), np.zeros(len(k))]
+            for mask, keys, *probs in shared.value:
+                low = k & mask
+                at = np.minimum(np.searchsorted(keys, low), len(keys) - 1)
+                for out, prob in zip(p, probs):
+                    out += np.where(keys[at] == low, prob[at], 0.0)
+            logs = [np.bincount(owner, np.log(np.maximum(x, f)), batch.num_rows) for x, f in zip(p, floors)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, logs)], names=[*batch.schema.names, "st", "sb"])
+
+    return counts.mapInArrow(run, "word string, nt long, nb long, st double, sb double")
+
+
+def _spellings_by_join(counts: DataFrame, model: DataFrame, floors: tuple[float, float]) -> DataFrame:
+    """The same spellings by joining each token's trigrams to the model, order by order."""
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, ths = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
-            for k, owner in _steps(batch.column("text").to_pylist()):
-                pairs, n = np.unique(np.stack([owner, k], 1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in pairs[:, 0]], pa.int64()), pa.array([ths[i] for i in pairs[:, 0]], pa.int64()),
-                     pa.array(pairs[:, 1]), pa.array(n)], names=["doc_id", "th", "key", "n"])
-
-    keyed = rows.withColumn("th", F.xxhash64("text"))
-    x = keyed.dropDuplicates(["doc_id", "th"]).mapInArrow(grams, "doc_id long, th long, key long, n long")
-    x = x.withColumns({"k3": F.col("key"), "k2": F.col("key").bitwiseAND(F.lit(MASK2)), "k1": F.col("key").bitwiseAND(F.lit(MASK1))})
+            words = batch.column("word")
+            k, owner = spelled(words.to_pylist())
+            yield pa.RecordBatch.from_arrays([words.take(pa.array(owner)), pa.array(k)], names=["w", "k3"])
+
+    x = counts.select("word").mapInArrow(grams, "w string, k3 long")
+    x = x.withColumns({"k2": F.col("k3").bitwiseAND(F.lit(MASK2)), "k1": F.col("k3").bitwiseAND(F.lit(MASK1))})
     for k in (3, 2, 1):
         m = model.filter(F.col("k") == k).select(F.col("key").alias(f"k{k}"), F.col("pt").alias(f"t{k}"), F.col("pb").alias(f"b{k}"))
         x = x.join(m, f"k{k}", "left")
-    p = lambda c, f: F.greatest(sum((F.coalesce(f"{c}{k}", F.lit(0.0)) for k in (2, 1)), F.coalesce(f"{c}3", F.lit(0.0))), F.lit(f))
-    delta = F.log(p("b", floors[1])) - F.log(p("t", floors[0]))
-    s = x.groupBy(F.col("doc_id").alias("i"), F.col("th").alias("h")).agg(
-        F.sum("n").alias("n_chars_scored"), (F.sum(F.col("n") * delta) / F.sum("n")).alias("score"))
-    return keyed.select("doc_id", "th").join(s, F.col("doc_id").eqNullSafe(F.col("i")) & F.col("th").eqNullSafe(F.col("h")), "left").select(
-        "doc_id", F.coalesce("n_chars_scored", F.lit(0).cast("long")).alias("n_chars_scored"), "score")
+
+    def log(c: str, floor: float) -> Column:
+        return F.log(F.greatest(sum((F.coalesce(f"{c}{k}", F.lit(0.0)) for k in (3, 2, 1)), F.lit(0.0)), F.lit(floor)))
+
+    s = x.groupBy("w").agg(F.sum(log("t", floors[0])).alias("st"), F.sum(log("b", floors[1])).alias("sb"))
+    return counts.join(s, counts["word"] == s["w"], "left").drop("w")
+
+
+def word_losses(counts: DataFrame, total: tuple[int, int], spell_rows: int = SPELL_ROWS) -> DataFrame:
+    """word, nb and delta (loss under the target minus loss under the background, in nanonats)."""
+    known = spellings(counts, *fit_spelling(counts), spell_rows)
+
+    def log(n: str, of: int, spell: str) -> Column:
+        alone = F.lit(float(np.log(1 - MEMORY))) + F.coalesce(F.col(spell), F.lit(0.0))
+        memory = F.log(F.col(n) * F.lit(MEMORY / max(of, 1)))
+        both = F.greatest(alone, memory) + F.log1p(F.exp(-F.abs(alone - memory)))
+        return F.when(F.col(n) > 0, both).otherwise(alone)
+
+    delta = F.round((log("nb", total[1], "sb") - log("nt", total[0], "st")) * NANO).cast("long")
+    return materialize(known.select("word", "nb", delta.alias("delta")), "lm-losses")
+
+
+def score(docs: DataFrame, losses: DataFrame, total: int, id_col: str = "doc_id", text_col: str = "text",
+          hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, n_tokens_scored and score for every row of ``docs``; ``total`` is the sum of nb."""
+    least = total // hot_rows + 1 if hot_rows else total + 1
+    hot = losses.filter(F.col("nb") >= least).select("word", "delta")
+    rare = losses.filter(F.col("nb") < least).select("word", "delta")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("th"))
+    said = rows.select("doc_id", "th", F.explode(tokens(F.col("text"))).alias("word")).join(F.broadcast(hot), "word", "left")
+    far = said.filter("delta is null").select("doc_id", "th", "word").join(rare, "word")
+    parts = said.filter("delta is not null").unionByName(far).select("doc_id", "th", F.lit(0).alias("copies"), F.lit(1).alias("n"), "delta")
+    marks = rows.select("doc_id", "th", F.lit(1).alias("copies"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("delta"))
+    sums = parts.unionByName(marks).groupBy(F.col("doc_id").alias("i"), F.col("th").alias("h")).agg(
+        F.sum("copies").alias("copies"), F.sum("n").alias("n"), F.sum("delta").alias("delta"))
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))
+    return rows.select("doc_id", "th").join(sums, same, "left").select(
+        "doc_id", F.expr("n div copies").alias("n_tokens_scored"),
+        F.try_divide(F.col("delta") / NANO, F.col("n")).alias("score"))
 
 
-def lm_score(docs: DataFrame, labels: DataFrame, join: bool = False) -> DataFrame:
+def lm_score(docs: DataFrame, labels: DataFrame, hot_rows: int = HOT_ROWS, spell_rows: int = SPELL_ROWS) -> DataFrame:
     """Scores of all documents, with the documents labelled good and not toxic as the target."""
-    model, floors = fit(docs, labels.filter("quality = 1 and coalesce(toxic, 0) = 0"))
-    return score(docs, model, floors, join=join)
+    counts = count_words(docs, labels.filter("quality = 1 and coalesce(toxic, 0) = 0"))
+    sums = counts.agg(F.sum("nt"), F.sum("nb")).first()
+    total = (sums[0] or 0, sums[1] or 0)
+    return score(docs, word_losses(counts, total, spell_rows), total[1], hot_rows=hot_rows)
