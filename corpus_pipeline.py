@@ -39,7 +39,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: the mix packed into sequences of at most 4096 tokens; a row a piece."""
-    return best_fit_packing(docs)
+    return best_fit_packing(docs, added=True)
 
 
 STAGES = [("quality_classifier", classify), ("line_dedup", dedup_lines), ("ngram_join", near_duplicates),

@@ -42,14 +42,15 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER,
-             end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """One row a piece: doc_id, piece, start, length, ids_crc32."""
+             end_id: int = END_ID, capacity: int = CAPACITY, added: bool = False) -> DataFrame:
+    """One row a piece: doc_id, piece, start, length, ids_crc32. ``added``: the literal content of
+    an added token in a text is that token."""
     end = struct.pack("<I", end_id)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                         ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(tokenizer, True)
+        bpe = encoder(tokenizer, True, added)
         for batch in batches:
             out: list[list[int]] = [[] for _ in schema]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):

@@ -34,11 +34,11 @@ def op3_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_store(table(spark, sf_dir, "documents"))
+    return token_store(table(spark, sf_dir, "documents"), added=True)
 
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return best_fit_packing(table(spark, sf_dir, "documents"))
+    return best_fit_packing(table(spark, sf_dir, "documents"), added=True)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

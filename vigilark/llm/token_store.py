@@ -50,14 +50,15 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
-def train_dictionary(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str = TOKENIZER) -> bytes:
+def train_dictionary(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str = TOKENIZER,
+                     added: bool = False) -> bytes:
     """A dictionary from at most ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters.
     Too few samples to train on become the dictionary themselves."""
     import zstandard
     fit = docs.select(F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).filter(
         (F.length("t") > 0) & (F.length("t") <= SAMPLE_CHARS))
     rows = fit.orderBy("h", "t").limit(SAMPLE_DOCS).collect()
-    samples = [encoder(tokenizer, False).encode(r["t"]) for r in rows]
+    samples = [encoder(tokenizer, False, added).encode(r["t"]) for r in rows]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -70,7 +71,7 @@ def _dictionary(raw: bytes):
 
 
 def write_shards(docs: DataFrame, folder: str, dictionary: bytes, id_col: str = "doc_id", text_col: str = "text",
-                 tokenizer: str = TOKENIZER) -> DataFrame:
+                 tokenizer: str = TOKENIZER, added: bool = False) -> DataFrame:
     """Write the shards and the manifest; returns the manifest (shard, path, n_docs, n_tokens, start)."""
     digest = hashlib.sha256(dictionary).digest()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -83,7 +84,7 @@ def write_shards(docs: DataFrame, folder: str, dictionary: bytes, id_col: str =
         shard, fs_path = ctx.partitionId(), _fs(folder)
         fs, root = fs_path
         fs.create_dir(root, recursive=True)
-        tool, bpe = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary)), encoder(tokenizer, False)
+        tool, bpe = zstandard.ZstdCompressor(level=LEVEL, dict_data=_dictionary(dictionary)), encoder(tokenizer, False, added)
         path = f"{root}/shard-{shard:06d}.vkt"
         attempt = f"{path}.attempt-{ctx.taskAttemptId()}"
         index, n_tokens = [], 0
@@ -175,10 +176,11 @@ def read_shards(spark: SparkSession, folder: str, dictionary: bytes, with_ids: b
     return manifest.repartition(n, "shard").mapInArrow(read, schema)
 
 
-def token_store(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write ``docs`` as shards (a new shared folder unless one is named) and read them back."""
+def token_store(docs: DataFrame, folder: str | None = None, added: bool = False) -> DataFrame:
+    """Write ``docs`` as shards (a new shared folder unless one is named) and read them back.
+    ``added``: the literal content of an added token in a text is that token."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "token-store")
-    dictionary = train_dictionary(docs)
-    write_shards(docs, folder, dictionary)
+    dictionary = train_dictionary(docs, added=added)
+    write_shards(docs, folder, dictionary, added=added)
     return read_shards(spark, folder, dictionary)

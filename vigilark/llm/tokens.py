@@ -4,6 +4,10 @@ A BPE tokenizer encodes each pre-token on its own, so a pre-token's ids are kept
 the library sees each distinct pre-token once (per worker, while the cache holds), and the rest
 is a dictionary lookup. Pre-tokens are cut here only for texts made of plain Latin characters,
 where the cutting rule below is the tokenizer's own; any other text goes whole to the library.
+
+With ``added`` the tokenizer is used as loaded: the literal content of an added token (such as
+``<|endoftext|>``) is that token, and a text that holds one goes whole to the library. Without,
+such content is text like any other.
 """
 
 from __future__ import annotations
@@ -46,29 +50,30 @@ class Known(dict):
 class PieceEncoder:
     """``encode`` gives a text's ids as little-endian unsigned 32-bit integers in bytes."""
 
-    def __init__(self, path: str, lower: bool):
+    def __init__(self, path: str, lower: bool, added: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tool = Tokenizer.from_file(path)
-        self.tool.encode_special_tokens = True
+        self.tool.encode_special_tokens = not added
+        self.added = [t.content for t in self.tool.get_added_tokens_decoder().values()] if added else []
         self.lower, self.pattern = lower, WORD_PIECE if lower else BYTE_PIECE
         self.known = Known(self.tool.model)
 
     def encode(self, text: str) -> bytes:
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or any(t in text for t in self.added):
             return array("I", self.tool.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self.known) > CACHE:
             self.known.clear()
         return b"".join(map(self.known.__getitem__, self.pattern.findall(text.lower() if self.lower else text)))
 
 
-def encoder(name: str, lower: bool) -> PieceEncoder:
+def encoder(name: str, lower: bool, added: bool = False) -> PieceEncoder:
     """The worker's encoder for a tokenizer of the ``public_tokenizers`` package, or for a path.
     It is kept on the library's module, which outlives a task (this module's globals travel by
     value and are new in each)."""
     import public_tokenizers
     import tokenizers
     kept = tokenizers.__dict__.setdefault("_piece_encoders", {})
-    if (name, lower) not in kept:
-        kept[name, lower] = PieceEncoder(name if os.path.isabs(name) else public_tokenizers.path(name), lower)
-    return kept[name, lower]
+    if (name, lower, added) not in kept:
+        kept[name, lower, added] = PieceEncoder(name if os.path.isabs(name) else public_tokenizers.path(name), lower, added)
+    return kept[name, lower, added]
