@@ -4,8 +4,9 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from vigilark.llm import queries
+from vigilark.llm import line_dedup, queries
 
 
 def library_ids(name, text):
@@ -42,3 +43,19 @@ def test_packing_query_and_stage_know_added_tokens(spark, special):
     docs = spark.read.parquet(f"{special}/documents.parquet")
     for rows in (queries.op5_best_fit_packing(spark, special), corpus_pipeline.pack(spark, docs, special)):
         assert sorted((r["doc_id"], r["length"], r["ids_crc32"]) for r in rows.collect()) == want
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_line_dedup_finds_copies_in_null_id_documents(spark, kind):
+    passage = "\n".join(" ".join(f"w{i}x{j}" for j in range(12)) for i in range(5))  # 60 words, 5 lines
+    own = "\n".join(" ".join(f"v{i}x{j}" for j in range(12)) for i in range(5))
+    rows = [(0, "first\n" + passage), (None, passage + "\nsecond"), (None, own + "\nthird"), (None, "fourth\n" + own + "\n" + own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))
+    got = {(r["doc_id"], r["text"], r["n_removed"], r["n_removed_words"]) for r in line_dedup.dedup_report(df).collect()}
+    zero = {"long": 0, "string": "0"}[kind]
+    assert {(zero, rows[0][1], 0, 0), (None, "second", 5, 60)} <= got and len(got) == 4
+    # of the three copies of the other passage one is left, in the null-id document that comes first
+    assert sorted(r[2:] for r in got - {(zero, rows[0][1], 0, 0), (None, "second", 5, 60)}) in ([(0, 0), (10, 120)], [(5, 60), (5, 60)])
+    kept = line_dedup.without_copies(df.filter("text not like 'fourth%'").unionByName(
+        spark.createDataFrame([(None, passage)], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))))
+    assert {r["text"] for r in kept.collect()} == {rows[0][1], "second", rows[2][1]}

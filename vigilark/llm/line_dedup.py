@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from vigilark.llm.common import saved, words
 
 MIN_WORDS = 50
-KEY = ("none", "id", "th")  # null flag, id and text hash: a document, in corpus order
+KEY = ("none", "id", "th")  # null flag, id (0 for null, so that joins match) and text hash: a document, in corpus order
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -42,7 +42,8 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     parts = F.transform(F.split(F.col("text"), "\n"), lambda x, n: F.struct(
         n.alias("n"), F.size(words(x)).alias("w"), F.xxhash64(x).alias("h"), F.crc32(x.cast("binary")).alias("c")))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").select(
-        F.col("id").isNull().alias("none"), "id", F.xxhash64("text").alias("th"),
+        F.col("id").isNull().alias("none"), F.coalesce("id", F.lit(0).cast(docs.schema[id_col].dataType)).alias("id"),
+        F.xxhash64("text").alias("th"),
         F.posexplode(F.filter(parts, lambda p: p["w"] > 0)).alias("i", "p"))
     return rows.select(*KEY, "i", "p.n", "p.w", "p.h", "p.c")
 
@@ -98,7 +99,8 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     copies = _ranks(runs, "m", "ra", "rb")
     later = runs.join(copies.select("m", "ra", "rb", "first"), ["m", "ra", "rb"]).filter(F.struct(*KEY, "i") > F.col("first"))
     gone = later.select(*KEY, F.explode(F.sequence("i", "z")).alias("i")).distinct()
-    return gone.join(rows.select(*KEY, "i", "n", "w"), [*KEY, "i"]).select(*KEY, "n", "w")
+    gone = gone.join(rows.select(*KEY, "i", "n", "w"), [*KEY, "i"])
+    return gone.select("none", F.when(~F.col("none"), F.col("id")).alias("id"), "th", "n", "w")
 
 
 def line_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
