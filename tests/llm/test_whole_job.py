@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vigilark.llm import line_dedup, queries
+from vigilark.llm import line_dedup, ngram_join, queries
 
 
 def library_ids(name, text):
@@ -59,3 +59,23 @@ def test_line_dedup_finds_copies_in_null_id_documents(spark, kind):
     kept = line_dedup.without_copies(df.filter("text not like 'fourth%'").unionByName(
         spark.createDataFrame([(None, passage)], "doc_id long, text string").withColumn("doc_id", F.col("doc_id").cast(kind))))
     assert {r["text"] for r in kept.collect()} == {rows[0][1], "second", rows[2][1]}
+
+
+def test_one_of_each_keeps_one_row_a_component(spark):
+    def text(s, n=60):
+        return " ".join(f"t{s}w{i}" for i in range(n))
+
+    rows = [(1, text(1), "a"), (5, text(1) + " tail", "a"), (5, text(2), "a"),  # an id with two texts, one unique
+            (6, text(2) + " tail", "a"),  # near the other text of 5, not near 1
+            (7, text(3), "a"), (7, text(3), "a"), (7, text(3), "b"),  # rows that repeat id and text
+            (None, text(4), "a"), (None, text(4), "a"), (None, text(4) + " tail", "a"),  # copies with null ids alone
+            (None, text(1), "a"), (0, text(5), "a"), (None, text(5), "a"),  # null ids come after every id
+            (None, text(6), "a"), (8, None, "a"), (8, "", "a"), (None, " ", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    kept = ngram_join.one_of_each(df)
+    assert kept.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"], r["source"]) for r in kept.collect()), key=str)
+    nulls = [r for r in got if r[0] is None and (r[1] or "").startswith(text(4))]
+    assert len(nulls) == 1
+    want = [rows[i] for i in (0, 2, 4, 11, 13, 14, 15, 16)]
+    assert sorted([r for r in got if r not in nulls], key=str) == sorted(want, key=str)

@@ -181,11 +181,12 @@ def _open_group(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(_forest(links), columns=["u", "v"], dtype="int64")
 
 
-def classes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(one row a document: doc_id, n, d1, d2, written with its tokens; one row a class: rep, n,
-    d1, d2, low)."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shingle_set(F.col(text_col), n).alias("tokens"))
-    rows = rows.select("doc_id", F.size("tokens").alias("n"), F.xxhash64("tokens").alias("d1"),
+def classes(docs: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text",
+            *more: Column) -> tuple[DataFrame, DataFrame]:
+    """(one row a document: doc_id, n, d1, d2 and ``more``, written with its tokens; one row a
+    class: rep, n, d1, d2, low)."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), shingle_set(F.col(text_col), n).alias("tokens"), *more)
+    rows = rows.select(*[c for c in rows.columns if c != "tokens"], F.size("tokens").alias("n"), F.xxhash64("tokens").alias("d1"),
                        F.xxhash64(F.lit(1), "tokens").alias("d2"), F.get("tokens", F.lit(0)).alias("low"), "tokens")
     path = shared_dir(docs.sparkSession, "shingles")
     rows.write.option("compression", "none").parquet(path)
@@ -282,8 +283,26 @@ def ngram_components(docs: DataFrame, n: int = 3, percent: int = 90, id_col: str
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component (the smallest id), columns unchanged. Rows
-    without an id stay."""
-    comp = ngram_components(docs, n, percent, id_col, text_col)
-    gone = small(saved(comp.filter("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()), BROADCAST_IDS)
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    """``docs`` with exactly one row of each component (the smallest id, null ids last, then the
+    smallest text hash), columns unchanged. Components are of texts, whatever their ids; of rows
+    that repeat id and text one stays (the first by its JSON). Rows without words stay."""
+    key = [F.col(id_col).isNull().alias("__none"), F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("__id"),
+           F.xxhash64(text_col).alias("__th")]
+    names = ["__none", "__id", "__th"]
+    # a class is represented by one row, numbered as the sets are written
+    rows, found = classes(docs.withColumn("__row", F.monotonically_increasing_id()), n, "__row", text_col, *key)
+    joined = components(saved(links(rows, found, percent)))
+    texts = saved(rows.filter("n > 0").groupBy(*names).agg(F.max("d1").alias("d1"), F.max("d2").alias("d2"),
+                                                           F.count("*").alias("copies")))
+    first = texts.groupBy("d1", "d2").agg(F.min(F.struct(*names)).alias("first"))
+    found = found.join(joined.select(F.col("node").alias("rep"), "component"), "rep", "left").select(
+        "d1", "d2", F.coalesce("component", "rep").alias("component"))
+    found = saved(found.join(first, ["d1", "d2"]))
+    best = found.groupBy("component").agg(F.min("first").alias("best"))
+    best = saved(found.join(best, "component").select("d1", "d2", "best"))
+    marks = texts.join(best, ["d1", "d2"]).select(*names, (F.struct(*names) != F.col("best")).alias("__gone"), "copies")
+    marks = small(saved(marks.filter("__gone or copies > 1").drop("copies")), BROADCAST_IDS)
+    dealt = docs.select("*", *key).join(marks, names, "left")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = dealt.filter("not __gone").groupBy(*names).agg(F.min_by(row, F.to_json(row)).alias("__row")).select("__row.*")
+    return dealt.filter("__gone is null").select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(again)
