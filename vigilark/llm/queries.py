@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vigilark.llm.ann import nearest
+from vigilark.llm.bpe_chunks import chunk_encode
 from vigilark.llm.common import table
 from vigilark.llm.language_id import language_id
 from vigilark.llm.line_dedup import dedup_report
@@ -62,10 +63,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_encode(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_classifier, op2_collision_neighbours, op3_mixture, op4_token_store, op5_best_fit_packing,
-        op6_quality_rules, op7_lm_score, op8_ngram_join, op9_line_dedup, op10_language_id)}
+        op6_quality_rules, op7_lm_score, op8_ngram_join, op9_line_dedup, op10_language_id, op11_bpe_chunks)}
 
 
 def oracle_sql() -> dict[str, str]:
