@@ -20,6 +20,7 @@ from vigilark.llm.packing import best_fit_packing
 from vigilark.llm.quality_classifier import quality_classifier
 from vigilark.llm.quality_rules import quality_rules
 from vigilark.llm.token_store import token_store
+from vigilark.llm.whitening import whiten
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,10 +68,15 @@ def op11_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_encode(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_classifier, op2_collision_neighbours, op3_mixture, op4_token_store, op5_best_fit_packing,
-        op6_quality_rules, op7_lm_score, op8_ngram_join, op9_line_dedup, op10_language_id, op11_bpe_chunks)}
+        op6_quality_rules, op7_lm_score, op8_ngram_join, op9_line_dedup, op10_language_id, op11_bpe_chunks,
+        op12_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
