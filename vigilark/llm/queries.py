@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigilark.llm.ann import nearest
 from vigilark.llm.bpe_chunks import chunk_encode
+from vigilark.llm.collocations import collocations
 from vigilark.llm.common import table
 from vigilark.llm.language_id import language_id
 from vigilark.llm.line_dedup import dedup_report
@@ -72,11 +73,15 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_quality_classifier, op2_collision_neighbours, op3_mixture, op4_token_store, op5_best_fit_packing,
         op6_quality_rules, op7_lm_score, op8_ngram_join, op9_line_dedup, op10_language_id, op11_bpe_chunks,
-        op12_whitening)}
+        op12_whitening, op13_collocations)}
 
 
 def oracle_sql() -> dict[str, str]:
