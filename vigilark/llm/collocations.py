@@ -46,7 +46,7 @@ MINIMUM, TOP, SHARE = 10, 2000, 50
 #: pairs a language expands in the first round; growth a round; most pairs sent to the tasks
 FRONTIER, GROWTH, SENT = 20_000, 8, 500_000
 #: words a task buffers, bytes of a long text read at once, rows sent to Spark at once
-BUFFER, BLOCK, ROWS = 3_000_000, 1 << 20, 100_000
+BUFFER, BLOCK, ROWS = 1_000_000, 1 << 20, 100_000
 UNKNOWN = "und"
 
 STOP = b"."
@@ -65,6 +65,12 @@ def blocks_of(text: str) -> Iterator[list[bytes]]:
         at = end
 
 
+def pairs_in(b: pa.RecordBatch) -> Iterator[tuple[str, str]]:
+    """(lang, text) of each row, one at a time: a batch holds many megabytes of text."""
+    for lang, text in zip(b["lang"], b["text"]):
+        yield lang.as_py(), text.as_py()
+
+
 class Numbers(dict):
     """Word -> number in order of appearance; ``STOP`` is 0."""
 
@@ -91,7 +97,7 @@ def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     def flush() -> Iterator[pa.RecordBatch]:
         names = pa.array(list(numbers), pa.binary())
         for lang, parts in buffers.items():
-            a = np.concatenate(parts)
+            a = np.concatenate(parts).astype(np.int64)
             f = np.bincount(a)
             seen = np.flatnonzero(f[1:]) + 1
             yield from rows_of(lang, pa.array([b""], pa.binary()), [int(f[1:].sum())])
@@ -102,12 +108,12 @@ def _words_and_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 names.take(pa.array(pairs >> 32)), names.take(pa.array(pairs & 0xFFFFFFFF)), b" "), f)
 
     for b in batches:
-        for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
+        for lang, text in pairs_in(b):
             parts = buffers.setdefault(lang, [])
             for words in blocks_of(text):
-                parts.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+                parts.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
                 size += len(words)
-            parts.append(np.zeros(1, np.int64))
+            parts.append(np.zeros(1, np.int32))
             if size > BUFFER:
                 yield from flush()
                 buffers, numbers, size = {}, Numbers(), 0
@@ -130,7 +136,7 @@ def _triples(sent):
                 nodes[lang] = dict(numbers), np.sort(np.array([u << 32 | v for u, v in ends], np.int64))
         found: dict[str, Counter] = {}
         for b in batches:
-            for lang, text in zip(b["lang"].to_pylist(), b["text"].to_pylist()):
+            for lang, text in pairs_in(b):
                 if sent is not None and lang not in nodes:
                     continue
                 count = found.setdefault(lang, Counter())
@@ -148,7 +154,7 @@ def _triples(sent):
                     hit = pairs[np.minimum(at, len(pairs) - 1)] == keys
                     for i in np.flatnonzero(hit[:-1] | hit[1:]).tolist():
                         count[words[i], words[i + 1], words[i + 2]] += 1
-            if sum(map(len, found.values())) > BUFFER // 4:
+            if sum(map(len, found.values())) > BUFFER // 2:
                 yield from triples_out(found)
                 found = {}
         yield from triples_out(found)
