@@ -45,8 +45,8 @@ from vigilark.llm.common import saved
 MINIMUM, TOP, SHARE = 10, 2000, 50
 #: pairs a language expands in the first round; growth a round; most pairs sent to the tasks
 FRONTIER, GROWTH, SENT = 20_000, 8, 500_000
-#: words a task buffers, bytes of a long text read at once, rows sent to Spark at once
-BUFFER, BLOCK, ROWS = 1_000_000, 1 << 20, 100_000
+#: words a task buffers, phrases of three words it buffers, bytes of a long text read at once, rows sent at once
+BUFFER, FOUND, BLOCK, ROWS = 1_000_000, 100_000, 1 << 20, 50_000
 UNKNOWN = "und"
 
 STOP = b"."
@@ -154,7 +154,7 @@ def _triples(sent):
                     hit = pairs[np.minimum(at, len(pairs) - 1)] == keys
                     for i in np.flatnonzero(hit[:-1] | hit[1:]).tolist():
                         count[words[i], words[i + 1], words[i + 2]] += 1
-            if sum(map(len, found.values())) > BUFFER // 2:
+            if sum(map(len, found.values())) > FOUND:
                 yield from triples_out(found)
                 found = {}
         yield from triples_out(found)
@@ -245,8 +245,8 @@ def collocations(docs: DataFrame, minimum: int = MINIMUM, top: int = TOP, share:
         told = None
         if nodes.count() <= sent:
             told = spark.sparkContext.broadcast([(r["lang"], r["phrase"]) for r in nodes.select("lang", "phrase").collect()])
-        triples = saved(texts.join(open_, "lang", "left_semi").mapInArrow(_triples(told), COUNTS)
-                        .groupBy("lang", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= minimum))
+        triples = saved(texts.mapInArrow(_triples(told), COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+                        .filter(F.col("f") >= minimum).join(open_, "lang", "left_semi"))
         if told is None:        # all were counted: every pair of the open languages is expanded
             nodes, left = pairs.join(open_, "lang", "left_semi").drop("bound"), left.filter(F.lit(False))
         found = survivors(nodes, triples, counts, share).join(left, "lang", "left")
