@@ -84,7 +84,7 @@ def test_skewed_key_results_stay_whole(spark):
                                                                                              "nmap_scan"]}}}]
     brute = sorted(r.event_id for r in rows if r.source_ip == "10.9.9.9"
                    and r.event_action in ("port_scan", "nmap_scan"))
-    for df in (SC.scan(hot, rules), scan_table(hot, rules, broadcast_limit=0, salt=8)):
+    for df in (SC.scan(hot, rules), scan_table(hot, rules, broadcast_limit=0, hot_rows=10)):
         assert sorted(r.event_id for r in df.select("event_id").collect()) == brute
 
 

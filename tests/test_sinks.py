@@ -16,7 +16,7 @@ from vigilark.sources.events import security_events
 def test_csv_flattens_udm_to_json(spark):
     ev = security_events(spark, SF_SMALL).filter(F.col("event_id") < 20)
     path = sinks.write_events_csv(ev, shared_dir(spark, "csv-udm"))
-    back = spark.read.option("header", True).csv(path)
+    back = spark.read.option("header", True).option("escape", '"').csv(path)
     row = back.filter(F.col("event_id") == "3").first()
     udm = json.loads(row.udm)
     assert udm["metadata"]["product_event_type"] == row.event_action

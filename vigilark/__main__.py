@@ -21,7 +21,7 @@ def main(argv: list[str] | None = None) -> int:
     d.add_argument("--rules", required=True)
     d.add_argument("--out", required=True)
     d.add_argument("--raw", action="store_true", help="--events is a folder with the raw events table")
-    d.add_argument("--method", default="auto", choices=("auto", "compiled", "table"))
+    d.add_argument("--method", default="compiled", choices=("compiled", "table"))
     d.add_argument("--master", default=None, help="Spark master (default: from the environment)")
     args = ap.parse_args(argv)
 
@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> int:
     from vigilark.operators.scan import match_report, match_severity_summary
     from vigilark.operators.table_scan import detect
     from vigilark.sources.events import read_ecs, security_events
-    from vigilark.sources.rules import collect_rules, load_rules, read_rule_files, validate_rules
+    from vigilark.sources.rules import load_rules, read_rule_files, validate_rules
     from vigilark.sources.sinks import write_csv
 
     b = SparkSession.builder.appName("vigilark-detect").config("spark.ui.enabled", "false")
@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
     rules, rejects = load_rules(read_rule_files(spark, args.rules))
     checked = validate_rules(rules)
     invalid = checked.filter(~checked["valid"]).select("path", "entry_index", "name", "errors")
-    matches = detect(events, collect_rules(checked.filter(checked["valid"])), method=args.method)
+    matches = detect(events, checked.filter(checked["valid"]), method=args.method)
     out = args.out.rstrip("/")
     matches.drop("udm").write.mode("overwrite").partitionBy("rule_severity").parquet(f"{out}/matches")
     table = spark.read.parquet(f"{out}/matches")

@@ -1,4 +1,5 @@
-"""Column builders that reproduce Python's ``str()`` / ``float()`` / ``re`` semantics.
+"""Column builders that reproduce Python's ``str()`` / ``float()`` semantics
+(patterns: ``pyregex``).
 
 Detection rules compare ``str(value).lower()`` and ``float(value)`` the way Python
 prints and parses them. Spark prints doubles, booleans and timestamps differently,
@@ -26,46 +27,74 @@ def py_str(v: Any) -> str:
 # value -> Python text
 # ---------------------------------------------------------------------------
 
+def once(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, however often ``body`` names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def py_float_text(c: Column) -> Column:
     """``repr(float)`` of a double column.
 
-    Spark prints ``1.0E16`` / ``1.0E-5`` / ``1.2345678E7``; Python prints ``1e+16`` /
-    ``1e-05`` / ``12345678.0``. Both print the same significant digits, so we take
-    Spark's digits and exponent and lay them out the Python way: positional when the
-    decimal exponent is in [-4, 16), scientific otherwise.
+    Python prints the fewest digits that read back as the same double; the JVM sometimes prints
+    more, or others. So the digits of the value (exact ones where a long holds it, else the JVM's)
+    are cut to 1, 2, .. digits, rounded to the nearer side first and then the other, and the first
+    text that reads back is taken. It is laid out the Python way: positional when the decimal
+    exponent is in [-4, 16), else scientific.
     """
+    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
+    return (F.when(c.isNull(), F.lit(None).cast("string"))
+            .when(F.isnan(c), F.lit("nan"))
+            .when(c == F.lit(float("inf")), F.lit("inf"))
+            .when(c == F.lit(float("-inf")), F.lit("-inf"))
+            .when(c == 0, F.when(c.cast("string").startswith("-"), F.lit("-0.0")).otherwise(F.lit("0.0")))
+            .otherwise(F.concat(sign, once(_shortest(F.abs(c)), _python_layout))))
+
+
+def _shortest(c: Column) -> Column:
+    """The fewest digits (``sig``, no zero at the end) and the decimal exponent ``x`` of a positive double."""
     s = c.cast("string")
-    neg = s.startswith("-")
-    body = F.regexp_replace(s, "^-", "")
-    mant = F.regexp_extract(body, r"^([0-9.]+)", 1)
-    exp_j = F.coalesce(F.regexp_extract(body, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
-    int_part = F.split(mant, r"\.").getItem(0)
-    frac_part = F.coalesce(F.split(mant, r"\.").getItem(1), F.lit(""))
-    digits = F.concat(int_part, frac_part)
-    stripped = F.regexp_replace(digits, "^0+", "")
-    lead = F.length(digits) - F.length(stripped)
-    sig = F.regexp_replace(stripped, "0+$", "")          # significant digits
-    p = F.length(int_part) + exp_j - lead                 # value = 0.sig * 10^p
-    n = F.length(sig)
-    x = p - 1                                             # scientific exponent
+    mantissa = F.regexp_extract(s, r"^([0-9.]+)", 1)
+    exponent = F.coalesce(F.regexp_extract(s, r"E(-?[0-9]+)$", 1).try_cast("int"), F.lit(0))
+    point = F.length(F.regexp_extract(mantissa, r"^([0-9]+)", 1))
+    digits = F.regexp_replace(mantissa, r"\.", "")
+    lead = F.length(digits) - F.length(F.regexp_replace(digits, "^0+", ""))
+    exact = (c >= 2.0 ** 53) & (c < 2.0 ** 63)
+    whole = F.when(exact, c.try_cast("bigint").cast("string")).otherwise(
+        F.regexp_replace(F.regexp_replace(digits, "^0+", ""), "0+$", ""))
+    size = F.when(exact, F.length(whole) - 1).otherwise(point + exponent - lead - 1)
+
+    def search(v: Column) -> Column:
+        def cut(k: Column) -> Column:
+            unit = F.rpad(F.lit("1"), F.length(v["d"]) - k + 1, "0").cast("bigint")
+
+            def sides(u: Column) -> Column:
+                low, rest = F.call_function("div", v["d"].cast("bigint"), u), v["d"].cast("bigint") % u
+                near = (2 * rest > u).cast("bigint")
+                return F.array(low + near, low + 1 - near)
+            return F.transform(once(unit, sides), lambda t: F.concat(t.cast("string"), F.lit("e"), (v["x"] - k + 1).cast("string")))
+
+        tries = F.flatten(F.transform(F.sequence(F.lit(1), F.length(v["d"])), cut))
+        hit = F.filter(tries, lambda t: t.try_cast("double") == v["c"])[0]
+        number = F.split(hit, "e")[0]
+        return F.struct(F.regexp_replace(number, "0+$", "").alias("sig"),
+                        (F.split(hit, "e")[1].cast("int") + F.length(number) - 1).alias("x"))
+
+    return once(F.struct(whole.alias("d"), size.alias("x"), c.alias("c")), search)
+
+
+def _python_layout(v: Column) -> Column:
+    sig, x = v["sig"], v["x"]
+    n, size = F.length(sig), F.abs(x).cast("string")
     positional = (
-        F.when(p <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -p), sig))
-        .when(p >= n, F.concat(sig, F.repeat(F.lit("0"), p - n), F.lit(".0")))
-        .otherwise(F.concat(sig.substr(F.lit(1), p), F.lit("."), sig.substr(p + 1, n - p))))
-    rest = sig.substr(F.lit(2), n)
+        F.when(x < 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -x - 1), sig))
+        .when(x + 1 >= n, F.concat(sig, F.repeat(F.lit("0"), x + 1 - n), F.lit(".0")))
+        .otherwise(F.concat(sig.substr(F.lit(1), x + 1), F.lit("."), sig.substr(x + 2, n))))
     scientific = F.concat(
         sig.substr(F.lit(1), F.lit(1)),
-        F.when(n > 1, F.concat(F.lit("."), rest)).otherwise(F.lit("")),
+        F.when(n > 1, F.concat(F.lit("."), sig.substr(F.lit(2), n))).otherwise(F.lit("")),
         F.lit("e"), F.when(x < 0, F.lit("-")).otherwise(F.lit("+")),
-        F.when(F.abs(x) < 10, F.concat(F.lit("0"), F.abs(x).cast("string"))).otherwise(F.abs(x).cast("string")))
-    laid = F.when((x >= -4) & (x < 16), positional).otherwise(scientific)
-    sign = F.when(neg, F.lit("-")).otherwise(F.lit(""))
-    return (F.when(c.isNull(), F.lit(None).cast("string"))
-            .when(F.isnan(c), F.lit("nan"))
-            .when(c == F.lit(float("inf")), F.lit("inf"))
-            .when(c == F.lit(float("-inf")), F.lit("-inf"))
-            .when(F.length(sig) == 0, F.concat(sign, F.lit("0.0")))
-            .otherwise(F.concat(sign, laid)))
+        F.lpad(size, F.greatest(F.length(size), F.lit(2)), F.lit("0")))
+    return F.when((x >= -4) & (x < 16), positional).otherwise(scientific)
 
 
 def _frac(c: Column) -> Column:
@@ -174,31 +203,3 @@ def double_equals(c: Column, d: float) -> Column:
         zero_text = "-0.0" if math.copysign(1.0, d) < 0 else "0.0"
         return (c == F.lit(0.0)) & (c.cast("string") == F.lit(zero_text))
     return c == F.lit(d)
-
-
-# ---------------------------------------------------------------------------
-# Python re -> Java regex
-# ---------------------------------------------------------------------------
-
-_FLAGS = "(?idU)"   # IGNORECASE, UNIX_LINES ('.' stops only at \n), Unicode classes/case
-
-
-def to_java_regex(pattern: str) -> str | None:
-    """Translate a Python ``re`` pattern (searched with IGNORECASE) for ``rlike``.
-
-    Returns None when Python itself rejects the pattern (the rule condition is then
-    False). ``rlike`` is an unanchored find, as ``re.search`` is.
-    """
-    try:
-        compiled = re.compile(pattern, re.IGNORECASE)
-    except re.error:
-        return None
-    p = pattern
-    names = compiled.groupindex
-    if names:
-        for name, num in names.items():
-            p = p.replace(f"(?P={name})", f"(?:\\{num})")
-        p = re.sub(r"\(\?P<[A-Za-z_][A-Za-z0-9_]*>", "(", p)
-    p = p.replace(r"\Z", r"\z")
-    p = re.sub(r"\{,(\d+)\}", r"{0,\1}", p)
-    return _FLAGS + p

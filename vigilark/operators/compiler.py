@@ -23,7 +23,8 @@ from pyspark.sql import types as T
 
 from vigilark.functions.fields import resolve, resolve_sql
 from vigilark.functions.pytext import (_DEC, _SPECIAL, canonical_float, canonical_int, double_equals, float_of,
-                                       py_str, python_float, text_of, to_java_regex)
+                                       py_str, python_float, text_of)
+from vigilark.functions.pyregex import UnsupportedPattern, to_java_regex
 from vigilark.functions.sqltext import sql_double, sql_str
 from vigilark.operators.rules import Rule, RuleError, as_rules
 from vigilark.schema import OPERATOR_ORDER, REASON_TEMPLATE
@@ -39,6 +40,20 @@ def _int_fits(dtype: T.DataType, v: int) -> bool:
     return -lim <= v < lim
 
 
+def uncased(s: str) -> bool:
+    """No text but ``s`` itself has ``s`` as its lower case, so equality needs no ``lower`` and
+    reaches the Parquet reader (ASCII without letters: addresses, numbers, dates)."""
+    return s.isascii() and not any(ch.isalpha() for ch in s)
+
+
+def java_pattern(pattern: str) -> str | None:
+    """``to_java_regex``; a pattern that Java has no form for is a rule error."""
+    try:
+        return to_java_regex(pattern)
+    except UnsupportedPattern as e:
+        raise RuleError(f"regex not supported by the JVM engine: {pattern!r}: {e}") from None
+
+
 def scalar_like(v: Any) -> bool:
     return isinstance(v, (str, int, float, bool))
 
@@ -57,7 +72,7 @@ def first_operator(cond: dict) -> str | None:
 def equals_text(c: Column, dtype: T.DataType, s: str) -> Column | None:
     """``str(value).lower() == s`` where ``s`` is already lower-case."""
     if isinstance(dtype, T.StringType):
-        return F.lower(c) == F.lit(s)
+        return (c if uncased(s) else F.lower(c)) == F.lit(s)
     if isinstance(dtype, _INTEGRAL):
         v = canonical_int(s)
         return (c == F.lit(v)) if v is not None and _int_fits(dtype, v) else None
@@ -125,7 +140,7 @@ def _double_eq_sql(r: str, d: float) -> str:
 
 def _eq_sql(r: str, dtype: T.DataType, s: str) -> str | None:
     if isinstance(dtype, T.StringType):
-        return f"lower({r}) = {sql_str(s)}"
+        return f"{r} = {sql_str(s)}" if uncased(s) else f"lower({r}) = {sql_str(s)}"
     if isinstance(dtype, _INTEGRAL):
         v = canonical_int(s)
         return f"{r} = {v}" if v is not None and _int_fits(dtype, v) else _NEVER
@@ -184,7 +199,7 @@ def _condition_sql(r: str, dtype: T.DataType, cond: Any, regex_ok) -> str | None
     if op == "regex":
         if not isinstance(operand, str):
             raise RuleError("regex operand is not a string")
-        jp = to_java_regex(operand)
+        jp = java_pattern(operand)
         if jp is None or (regex_ok is not None and not regex_ok(jp)):
             return _NEVER
         return f"{r} RLIKE {sql_str(jp)}" if isinstance(dtype, T.StringType) else None
@@ -265,7 +280,7 @@ def _condition_column(schema: T.StructType, field: str, cond: Any, regex_ok=None
         if op == "contains":
             expr = F.lower(text_of(c, dtype)).contains(F.lit(py_str(operand).lower()))
         elif op == "regex":
-            jp = to_java_regex(operand)
+            jp = java_pattern(operand)
             if jp is None or (regex_ok is not None and not regex_ok(jp)):
                 return FALSE
             expr = text_of(c, dtype).rlike(jp)
@@ -382,7 +397,7 @@ def rule_patterns(rules: Any) -> set[str]:
             continue
         for _f, cond in r.conditions:
             if isinstance(cond, dict) and first_operator(cond) == "regex" and isinstance(cond["regex"], str):
-                jp = to_java_regex(cond["regex"])
+                jp = java_pattern(cond["regex"])
                 if jp is not None:
                     out.add(jp)
     return out
@@ -392,11 +407,15 @@ _ACCEPTED: set[tuple[str, str]] = set()      # (application id, pattern) already
 
 
 def check_patterns(spark, rules: Any) -> None:
-    """Validate all regex patterns of a rule set in one constant query (bisect on failure).
+    """Validate all regex patterns of a rule set in one constant query (bisect on failure)."""
+    accept_patterns(spark, rule_patterns(rules))
+
 
-    Patterns already accepted in this application are not checked again."""
+def accept_patterns(spark, patterns: set[str]) -> None:
+    """Raise unless the JVM accepts these translated patterns. Those already accepted in this
+    application are not checked again."""
     app = spark.sparkContext.applicationId
-    pats = sorted(p for p in rule_patterns(rules) if (app, p) not in _ACCEPTED)
+    pats = sorted(p for p in patterns if (app, p) not in _ACCEPTED)
     if not pats:
         return
     try:

@@ -135,26 +135,32 @@ def scan_reasons(matches: DataFrame, key: str = "event_id") -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def rule_test_summary(events: DataFrame, rules: Any, regex_ok=None) -> DataFrame:
-    """Per enabled rule: matched events and total events, from one aggregation pass."""
+    """Per enabled rule: matched events and total events, from one grouped count.
+
+    Each event gives the positions of the rules that hold, and position -1 for the total; they are
+    counted map-side, so at most one row a rule and task is shuffled, whatever the rule count."""
     rs = [r for r in as_rules(rules) if r.enabled]
     if regex_ok is None:
         check_patterns(events.sparkSession, rs)
     compiled = compile_rules(events.schema, rs, regex_ok)
-    conds = _shared_conditions([c for c in compiled if c.live])
-    aggs = [F.count(F.lit(1)).alias("total")]
-    for i, c in enumerate(compiled):
-        if c.live and c.part_sqls is not None:
-            aggs.append(F.expr(f"count_if({' AND '.join(conds[p] for p in c.part_sqls)}) AS m{i}"))
-        else:
-            aggs.append(F.count_if(c.predicate if c.predicate is not None else F.lit(False)).alias(f"m{i}"))
-    wide = events.select("*", *[F.expr(sql).alias(a) for sql, a in conds.items()]).agg(*aggs)
-    per_rule = F.array(*[F.struct(F.lit(c.rule.rule_id).alias("rule_id"),
-                                  F.lit(_s(c.rule.name)).cast("string").alias("rule_name"),
-                                  F.col(f"m{i}").alias("matched"))
-                         for i, c in enumerate(compiled)]) if compiled else F.array().cast(
-        "array<struct<rule_id:int,rule_name:string,matched:bigint>>")
-    return (wide.select(F.col("total"), F.explode(per_rule).alias("_r"))
-            .select("_r.rule_id", "_r.rule_name", "_r.matched", "total"))
+    if not compiled:
+        return events.sparkSession.createDataFrame([], "rule_id int, rule_name string, matched bigint, total bigint")
+    live = [(i, c) for i, c in enumerate(compiled) if c.live]
+    conds = _shared_conditions([c for _, c in live])
+    evaluated = events.select("*", *[F.expr(sql).alias(a) for sql, a in conds.items()])
+    hits = F.filter(F.array(F.lit(-1), *[_hit(c, i, conds) for i, c in live]), lambda m: m.isNotNull())
+    counts = evaluated.select(F.explode(hits).alias("_pos")).groupBy("_pos").agg(F.count(F.lit(1)).alias("_n"))
+    # one row: a map with an entry a rule
+    found = counts.agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_n"))).alias("_found"))
+    names = F.expr("array(" + ", ".join(sql_str(_s(c.rule.name)) for c in compiled) + ")")
+    ids = F.expr("array(" + ", ".join(str(int(c.rule.rule_id)) for c in compiled) + ")")
+
+    def count(pos: Column) -> Column:
+        return F.coalesce(F.try_element_at("_found", pos), F.lit(0).cast("bigint"))
+
+    return (found.select("_found", F.posexplode(F.arrays_zip(ids.alias("i"), names.alias("n"))).alias("_pos", "_r"))
+            .select(F.col("_r.i").alias("rule_id"), F.col("_r.n").alias("rule_name"), count(F.col("_pos")).alias("matched"),
+                    count(F.lit(-1)).alias("total")))
 
 
 def first_matches(matches: DataFrame, k: int, order: tuple[str, ...] = ("event_id",),

@@ -18,13 +18,12 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilark.operators.rules import VALIDATION_MESSAGES, Rule, RuleError
+from vigilark.operators.rules import VALIDATION_MESSAGES, Rule
 from vigilark.schema import SEVERITIES
 
 # Fixed value: rule files carry this extension (JSON content); plain .json is accepted too.
 RULE_FILE_EXTENSION = "yaral"
 RULE_FILE_GLOB = "*.{" + RULE_FILE_EXTENSION + ",json}"
-COMPILE_RULE_LIMIT = 50_000
 
 
 def read_rule_files(spark: SparkSession, path: str, glob: str = RULE_FILE_GLOB) -> DataFrame:
@@ -158,12 +157,10 @@ def write_rules(rules: DataFrame, path: str, mode: str = "overwrite") -> str:
     return path
 
 
-def collect_rules(rules: DataFrame, limit: int = COMPILE_RULE_LIMIT) -> list[Rule]:
-    """Bring a (bounded) rule set to the driver for compilation. Order: path, entry."""
-    n = rules.count()
-    if n > limit:
-        raise RuleError(f"{n} rules exceed the compile limit {limit}; use the table-driven scan")
-    rows = rules.orderBy("path", "entry_index").select("rule_json").collect()
+def collect_rules(rules: DataFrame) -> list[Rule]:
+    """Bring a rule set to the driver for the compiled scan, in order of path, entry and text. (The
+    table-driven scan takes the rules table as it is.)"""
+    rows = rules.orderBy("path", "entry_index", "rule_json").select("rule_json").collect()
     return [Rule.from_dict(json.loads(r.rule_json), i) for i, r in enumerate(rows)]
 
 
