@@ -154,7 +154,7 @@ class RuleTable:
     """Rules as rows for one event schema, with the few facts about them that a plan needs."""
 
     def __init__(self, events: DataFrame, rules: Any):
-        spark, self.schema = events.sparkSession, events.schema
+        spark, self.schema, self.local = events.sparkSession, events.schema, None
         if isinstance(rules, DataFrame):
             self.rows = materialize(numbered(rules).mapInArrow(_read_rules(self.schema.json()), RULE_ROWS), "rules")
             bad = self.rows.filter(F.col("error").isNotNull()).select("error").first()
@@ -182,6 +182,7 @@ class RuleTable:
             kept = [tuple(row.values()) for row, k in zip(rows, keyed) if k]
             self.empty = not kept
             self.rows = spark.createDataFrame([] if self.empty else [_as_tuples(r) for r in kept], RULE_ROWS).drop("error", "rule_json")
+            self.local = None if self.empty else _local_anchors(spark, kept, self.slots)
         accept_patterns(spark, {p for _, p in self.patterns})
 
     def slot(self, kind: Column, field: Column) -> Column:
@@ -208,6 +209,45 @@ class RuleTable:
 ANCHORS = ("eq", "is", "in")
 
 
+def _local_anchors(spark: SparkSession, rows: list[tuple], slots: list[tuple]) -> list[tuple]:
+    """(rule_id, no, a_key) of a rule list, as ``anchors`` has them. Only the text that Spark gives
+    a double is asked of Spark."""
+    conds = [(row[0], c) for row in rows for c in row[5] if c["op"] in ANCHORS]
+    nums = [d for _, c in conds for d in (c["nums"] or []) + [c["num"]] if d is not None]
+    said = {}
+    if nums:
+        shown = spark.createDataFrame([(i, d) for i, d in enumerate(nums)], "i int, d double").select("i", F.col("d").cast("string")).collect()
+        said = {repr(nums[i]): t for i, t in shown}
+    out = set()
+    for rule_id, c in conds:
+        values = c["members"] or [c["value"]]
+        if c["kind"] == "d":
+            values = [said[repr(d)] for d in c["nums"] or [c["num"]]]
+        at = slots.index((c["kind"], c["field"]))
+        out |= {(rule_id, c["no"], f"{at}|{'ci' if c['op'] == 'eq' else 'cs'}|{v}") for v in values}
+    return sorted(out)
+
+
+def _local_choice(events: DataFrame, table: "RuleTable") -> DataFrame:
+    """The chosen anchors of a rule list: (a_key, rule_id). One count of the values it names, if any
+    rule has a choice."""
+    spark, counts = events.sparkSession, {}
+    by: dict[int, dict[int, list[str]]] = {}
+    for rule_id, no, key in table.local:
+        by.setdefault(rule_id, {}).setdefault(no, []).append(key)
+    if not events.isStreaming and any(len(c) > 1 for c in by.values()):
+        keys = sorted({k for _, _, k in table.local})
+        kinds = sorted({(int(k.split("|", 2)[0]), k.split("|", 2)[1]) for k in keys})
+        named = spark.createDataFrame([(k,) for k in keys], "a_key string")
+        held = _with_values(events, table, full=False).select(F.explode(_keys(kinds)).alias("a_key"))
+        counts = dict(held.join(F.broadcast(named), "a_key", "left_semi").groupBy("a_key").count().collect())
+    chosen = []
+    for rule_id, conds in by.items():
+        no = min(conds, key=lambda n: (sum(counts.get(k, 0) for k in conds[n]), len(conds[n]), n))
+        chosen += [(k, rule_id) for k in conds[no]]
+    return spark.createDataFrame(chosen, "a_key string, rule_id int")
+
+
 def _as_tuples(row: tuple) -> tuple:
     return (*row[:5], [tuple(c.values()) for c in row[5]], *row[6:])
 
@@ -330,22 +370,22 @@ def scan_table(events: DataFrame, rules: Any, *, spark: SparkSession | None = No
     cols = [quoted(n) for n in events.columns]
     parts = []
     if not table.empty:
-        candidates, counts = table.anchors(), None
-        live = isinstance(rules, DataFrame)
-        if live:
-            candidates = materialize(candidates, "rule-anchors")
-        size = F.octet_length("a_key") + 16
         said = table.conditions()
         text = F.octet_length(F.to_json(F.struct(*[c for c in said.columns if c != "rule_id"]))) + 16
-        fits = _small(candidates, size, broadcast_limit) and _small(said, text, broadcast_limit)
-        if not events.isStreaming:      # a stream can't be counted before it is read
-            counts = materialize(_key_counts(events, table, candidates, broadcast_limit), "anchor-counts")
-        anchors = _choose(candidates, counts)
-        if live:
-            anchors = materialize(anchors, "anchors")
+        fits = events.isStreaming or _small(said, text, broadcast_limit)
+        if table.local is not None and (fits := fits and sum(len(k) + 16 for _, _, k in table.local) <= broadcast_limit):
+            anchors = _local_choice(events, table)
+            kinds = sorted({(int(k.split("|", 2)[0]), k.split("|", 2)[1]) for _, _, k in table.local})
+        else:
+            candidates, counts = materialize(table.anchors(), "rule-anchors"), None
+            fits = fits and _small(candidates, F.octet_length("a_key") + 16, broadcast_limit)
+            if not events.isStreaming:      # a stream can't be counted before it is read
+                counts = materialize(_key_counts(events, table, candidates, broadcast_limit), "anchor-counts")
+            anchors = materialize(_choose(candidates, counts), "anchors")
+            kinds = _kinds(anchors)
         ev = (_with_values(events, table, full=True)
-              .select(*cols, "_texts", "_lowers", "_nums", "_patterns", F.explode(_keys(_kinds(anchors))).alias("a_key")))
-        if fits or events.isStreaming:
+              .select(*cols, "_texts", "_lowers", "_nums", "_patterns", F.explode(_keys(kinds)).alias("a_key")))
+        if fits:
             joined = ev.join(F.broadcast(anchors), "a_key").join(F.broadcast(said), "rule_id")
         else:
             tasks = F.ceil(F.col("n") / hot_rows).cast("int")
