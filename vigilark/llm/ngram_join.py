@@ -49,6 +49,8 @@ WITNESSES, WITNESS_PART = 2, 32
 BUCKETS = 128
 #: groups that one task is opened for at a time
 PARTNERS = 8
+#: witness rows that a task sends at once
+SENT_ROWS = 50_000
 ORDER_SAMPLE, ORDER_SEEN, ORDER_TOKENS = 16, 8, 200_000
 #: most candidate documents whose ids are broadcast; more are joined by shuffle
 BROADCAST_IDS = 1_000_000
@@ -82,7 +84,7 @@ def _shared_least(need: int) -> int:
 def _witnesses(batches: Iterator[pa.RecordBatch], hot: np.ndarray, percent: int) -> Iterator[pa.RecordBatch]:
     """Each set's first n - need + L tokens in the common order, with its group, band and L."""
     for batch in batches:
-        tokens, groups = [], []
+        tokens, counts, kinds = [], [], {}
         bands = batch.column("band").to_pylist()
         lists = batch.column("tokens")
         flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
@@ -95,20 +97,32 @@ def _witnesses(batches: Iterator[pa.RecordBatch], hot: np.ndarray, percent: int)
                 at = np.minimum(np.searchsorted(hot, t), len(hot) - 1)
                 late = hot[at] == t
                 t = np.concatenate([t[~late], t[late]])
-            tokens.append(t[:k])
-            groups.append(np.tile(np.array([g, bands[i], least], np.int64), (min(k, len(t)), 1)))
-        if tokens:  # by group, so that neighbouring rows are alike and pack well
-            rows = np.unique(np.column_stack([np.concatenate(groups), np.concatenate(tokens)]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 3]), pa.array(rows[:, 0]), pa.array(rows[:, 1], pa.int32()),
-                                              pa.array(rows[:, 2], pa.int32())], names=["token", "grp", "band", "l"])
+            tokens.append(t[:k].copy())
+            counts.append((kinds.setdefault((g, bands[i], least), len(kinds)), min(k, len(t))))
+        if not tokens:
+            continue
+        kind = np.repeat(*np.array(counts, np.int32).T)
+        token = np.concatenate(tokens)
+        del tokens
+        # by group, so that neighbouring rows are alike and pack well; copies give equal rows, sent once
+        order = np.lexsort((token, kind))
+        token, kind = token[order], kind[order]
+        first = np.append(True, (token[1:] != token[:-1]) | (kind[1:] != kind[:-1]))
+        token, kind = token[first], kind[first]
+        grp, band, least = np.array(list(kinds), np.int64).T
+        for at in range(0, len(token), SENT_ROWS):
+            k = kind[at:at + SENT_ROWS]
+            yield pa.RecordBatch.from_arrays([pa.array(token[at:at + SENT_ROWS]), pa.array(grp[k]), pa.array(band[k], pa.int32()),
+                                              pa.array(least[k], pa.int32())], names=["token", "grp", "band", "l"])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each set's group and its token counts by bucket."""
     for batch in batches:
         lists = batch.column("tokens")
-        flat, ends = lists.values.to_numpy() & (BUCKETS - 1), lists.offsets.to_numpy()
-        sigs = [np.bincount(flat[ends[i]:ends[i + 1]], minlength=BUCKETS).astype("<u4").tobytes() for i in range(batch.num_rows)]
+        flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+        sigs = [np.bincount(flat[ends[i]:ends[i + 1]] & (BUCKETS - 1), minlength=BUCKETS).astype("<u4").tobytes()
+                for i in range(batch.num_rows)]
         yield pa.RecordBatch.from_arrays([batch.column("grp"), pa.array(sigs, pa.binary())], names=["grp", "sig"])
 
 
