@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vigilark.functions.pyregex import to_java_regex
+from vigilark.functions.udm import udm_session_id
 from vigilark.functions.pytext import py_float_of_string, py_float_text, py_isoformat, text_of
 from vigilark.operators.compiler import compile_rule, condition_column, strict
 from vigilark.operators.rules import Rule, RuleError, as_rules
@@ -166,6 +167,22 @@ def test_isoformat_and_str(spark):
     assert got == [(d.isoformat(), str(d)) for (d,) in rows]
 
 
+def test_text_timestamps_pass_through(spark):
+    texts = ["2024-01-02T03:04:05Z", "2024-01-02 03:04:05", "soon", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(py_isoformat(F.col("t")).alias("iso"), udm_session_id(F.lit("a"), F.lit("b"), F.col("t")).alias("s")).collect()
+    assert [r.iso for r in got] == texts
+    assert [r.s for r in got] == [f"a_b_{t or ''}" for t in texts]
+
+
+def test_uncased_text_is_compared_as_it_is(spark):
+    sch = T.StructType([T.StructField("source_ip", T.StringType())])
+    rule = as_rules([{"name": "n", "conditions": {"source.ip": "10.0.0.3"}}])[0]
+    assert compile_rule(sch, rule).predicate_sql == "(`source_ip` = '10.0.0.3')"
+    cased = as_rules([{"name": "n", "conditions": {"source.ip": "fe80::1"}}])[0]
+    assert "lower(" in compile_rule(sch, cased).predicate_sql
+
+
 def test_regex_translation():
     assert to_java_regex("(") is None
     assert to_java_regex(r"(?P<x>a)(?P=x)\Z") == r"(?iu)(a)(?:\1)\z"

@@ -110,10 +110,21 @@ def py_datetime_text(c: Column, with_offset: bool = False) -> Column:
     return out
 
 
+def _time_or_text(c: Column, pattern: str) -> Column:
+    """Python's text of a datetime; a value that is text already is passed through as it is."""
+    t = c.try_cast("timestamp_ntz")
+    out = F.concat(F.date_format(t, pattern), F.when(_frac(t) != "000000", F.concat(F.lit("."), _frac(t))).otherwise(F.lit("")))
+    return F.when(F.typeof(c) == "string", c.cast("string")).otherwise(out)
+
+
 def py_isoformat(c: Column) -> Column:
-    """``datetime.isoformat()``: like ``str()`` but with a ``T`` separator."""
-    base = F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
-    return F.concat(base, F.when(_frac(c) != "000000", F.concat(F.lit("."), _frac(c))).otherwise(F.lit("")))
+    """``datetime.isoformat()``: like ``str()`` but with a ``T`` separator; text passes through."""
+    return _time_or_text(c, "yyyy-MM-dd'T'HH:mm:ss")
+
+
+def py_str_of_time(c: Column) -> Column:
+    """``str()`` of a datetime; text passes through."""
+    return _time_or_text(c, "yyyy-MM-dd HH:mm:ss")
 
 
 def text_of(c: Column, dtype: T.DataType) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vigilark.functions.pytext import py_datetime_text, py_isoformat
+from vigilark.functions.pytext import py_isoformat, py_str_of_time
 from vigilark.schema import (UDM_AUTH_LOGIN, UDM_AUTH_OTHER, UDM_DEFAULT_OUTCOME, UDM_DEFAULT_SEVERITY,
                              UDM_EVENT_TYPE, UDM_GENERIC_EVENT, UDM_SEVERITY, UDM_SEVERITY_OTHER)
 
@@ -31,7 +31,7 @@ def udm_severity(severity: Column) -> Column:
 def udm_session_id(src_ip: Column, dst_ip: Column, ts: Column) -> Column:
     """``{src}_{dst}_{str(timestamp)}`` (space-separated timestamp text, unlike ISO)."""
     return F.concat_ws("_", F.coalesce(src_ip, F.lit("")), F.coalesce(dst_ip, F.lit("")),
-                       F.coalesce(py_datetime_text(ts), F.lit("")))
+                       F.coalesce(py_str_of_time(ts), F.lit("")))
 
 
 def udm_auth_type(action: Column) -> Column:
