@@ -91,30 +91,30 @@ UDM_FLAT = f"""
 
 # The five built-in sample rules: (rule_id, name, severity, description, predicate, reasons)
 FLAGSHIP = [
-    (0, "SSH_Brute_Force_Detection", "high", "Detects potential SSH brute force attempts",
+    (0, "SSH_Brute_Force_Detection", "high", "A privileged account fails to log in over SSH",
      "event_action IN ('ssh_login', 'failed_login') AND lower(event_outcome) = 'failure' "
      "AND user_name IN ('root', 'admin', 'administrator')",
      ["Matched condition on field 'event.action': {'in': ['ssh_login', 'failed_login']}",
       "Matched condition on field 'event.outcome': failure",
       "Matched condition on field 'user.name': {'in': ['root', 'admin', 'administrator']}"]),
-    (1, "Port_Scan_Activity", "medium", "Detects port scanning activity",
+    (1, "Port_Scan_Activity", "medium", "One host probes the ports of another",
      "event_action IN ('port_scan', 'nmap_scan') AND lower(event_category) = 'network'",
      ["Matched condition on field 'event.action': {'in': ['port_scan', 'nmap_scan']}",
       "Matched condition on field 'event.category': network"]),
-    (2, "Critical_Event_Alert", "critical", "Alert on any critical severity event",
+    (2, "Critical_Event_Alert", "critical", "The sensor itself rates the event critical",
      "lower(event_severity) = 'critical'",
      ["Matched condition on field 'event.severity': critical"]),
-    (3, "Failed_Authentication_Multiple_Users", "high", "Detects failed authentication attempts",
+    (3, "Failed_Authentication_Multiple_Users", "high", "A login was refused, whoever tried",
      "lower(event_category) = 'authentication' AND lower(event_outcome) = 'failure'",
      ["Matched condition on field 'event.category': authentication",
       "Matched condition on field 'event.outcome': failure"]),
-    (4, "Suspicious_File_Access", "medium", "Detects access to sensitive files",
+    (4, "Suspicious_File_Access", "medium", "A file was opened or read",
      "lower(event_action) = 'file_access' AND lower(event_category) = 'file'",
      ["Matched condition on field 'event.action': file_access",
       "Matched condition on field 'event.category': file"]),
 ]
 PRIVILEGED = (5, "Privileged_Process_Creation", "medium",
-              "Detects creation of processes with potential security implications",
+              "A program was started on a host",
               "lower(event_action) = 'process_creation' AND lower(event_category) = 'process' "
               "AND lower(event_type) = 'start'")
 
