@@ -44,6 +44,15 @@ def test_alert_extensions(spark):
         assert got[a["name"]] == (n, n >= a["threshold"] and a["enabled"])
 
 
+def test_identical_alert_rules_are_counted_apart(spark):
+    ev = spark.createDataFrame([("x", s) for s in ("low", "high", "critical", "medium", None)], "event_action string, event_severity string")
+    rule = {"name": "r", "event_type": "x", "severity": "medium", "threshold": 3}
+    rules = [rule, dict(rule), dict(rule, severity="critical"), dict(rule, severity="odd"), dict(rule, event_type="none")]
+    got = sorted((r.event_type, r.severity, r.n, r.triggered) for r in AL.alert_status_for(ev, spark, rules, enforce_severity=True).collect())
+    assert got == [("none", "medium", 0, False), ("x", "critical", 1, False), ("x", "medium", 3, True), ("x", "medium", 3, True),
+                   ("x", "odd", 0, False)]
+
+
 def test_duplicate_rule_names_each_match(spark):
     ev = security_events(spark, SF_SMALL, udm=False)
     r = sample_rules()

@@ -44,21 +44,17 @@ def alert_status(events: DataFrame, alerts: DataFrame, *, watched: list[str] | N
     ev = events
     if watched is not None:
         ev = ev.filter(F.col("event_action").isin(sorted({w for w in watched if w is not None})))
-    if enforce_severity:
-        ev = ev.withColumn("_sev_rank", _severity_rank(F.col("event_severity")))
-        counts = ev.groupBy(F.col("event_action").alias("_action"), "_sev_rank").agg(F.count(F.lit(1)).alias("_n"))
-        j = alerts.join(counts, (alerts["event_type"] == counts["_action"])
-                        & (counts["_sev_rank"] >= _severity_rank(alerts["severity"])), "left")
-        keys = [c for c in alerts.columns]
-        counted = j.groupBy(*keys).agg(F.coalesce(F.sum("_n"), F.lit(0)).cast("bigint").alias("n"))
-    else:
-        counts = ev.groupBy(F.col("event_action").alias("_action")).agg(F.count(F.lit(1)).alias("_n"))
-        small = alerts
-        if n_alerts is not None and n_alerts <= BROADCAST_ALERT_LIMIT:
-            # counts has at most one row per watched action (<= n_alerts): broadcast it
-            counts = F.broadcast(counts) if watched is not None else counts
-        counted = (small.join(counts, small["event_type"] == counts["_action"], "left")
-                   .select(*[small[c] for c in alerts.columns], F.coalesce(F.col("_n"), F.lit(0)).alias("n")))
+    n = F.count(F.lit(1))
+    if enforce_severity:        # by least severity: one count a level, so a row an action here too
+        rank = _severity_rank(F.col("event_severity"))
+        n = F.array(*[F.count_if(rank >= i) for i in range(len(SEVERITIES))])
+    counts = ev.groupBy(F.col("event_action").alias("_action")).agg(n.alias("_n"))
+    if watched is not None and n_alerts is not None and n_alerts <= BROADCAST_ALERT_LIMIT:
+        # counts has at most one row per watched action (<= n_alerts): broadcast it
+        counts = F.broadcast(counts)
+    found = F.get("_n", _severity_rank(F.col("severity"))) if enforce_severity else F.col("_n")
+    counted = (alerts.join(counts, alerts["event_type"] == counts["_action"], "left")
+               .select(*[alerts[c] for c in alerts.columns], F.coalesce(found, F.lit(0)).alias("n")))
     triggered = F.col("n") >= F.col("threshold")
     if honor_enabled:
         triggered = triggered & F.col("enabled")
