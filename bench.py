@@ -36,7 +36,7 @@ def main() -> None:
         return events(spark, sf_dir, **kw)
 
     def agg_ev(**kw):
-        return events(spark, sf_dir, spread=False, **kw)
+        return events(spark, sf_dir, udm=False, **kw)
 
     def hits(m):
         return m.select("event_id", "rule_id", "rule_name", "rule_severity", "rule_description",

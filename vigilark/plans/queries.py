@@ -36,9 +36,8 @@ def events(spark, sf, **kw) -> DataFrame:
 
 
 def agg_events(spark, sf, **kw) -> DataFrame:
-    """Events for light aggregations: no small-input spread (the aggregation's own partial
-    stage is cheaper than an extra round-robin shuffle)."""
-    return events(spark, sf, spread=False, **kw)
+    """Events for aggregations, which never read the UDM record: it is not built."""
+    return events(spark, sf, udm=False, **kw)
 
 
 def flagship_matches(spark, sf) -> DataFrame:
