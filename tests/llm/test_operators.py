@@ -4,14 +4,16 @@ nulls, empty and very long texts, ties, repeated rows, empty tables, clashing ex
 import itertools
 import math
 import re
+import struct
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from vigilark.llm import (ann, language_id, line_dedup, lm_score, mixture, ngram_join, packing, quality_classifier,
+from vigilark.llm import (ann, common, language_id, line_dedup, lm_score, mixture, ngram_join, packing, quality_classifier,
                           quality_rules, token_store)
 from vigilark.llm.components import components
 
@@ -103,6 +105,60 @@ def test_mixture(docs, empty):
     assert mixture.mixture_report(empty).count() == 0 and mixture.mixture(empty).count() == 0
 
 
+def brute_fit(sizes, need):
+    """What a source's last block gives, over all hashed orders: first fit, and the smallest left
+    out if that is nearer."""
+    found = []
+    for t in range(mixture.TRIES):
+        def place(h, t=t):
+            seed = xxhash.xxh64_intdigest(struct.pack("<q", h), 42)
+            return struct.unpack("<q", xxhash.xxh64_digest(struct.pack("<i", t), seed)[::-1])[0]
+        left, out, rest = need, [], []
+        for h in sorted(sizes, key=place):
+            if sizes[h] <= left:
+                left -= sizes[h]
+                out.append(h)
+            else:
+                rest.append((sizes[h], h))
+        if rest and min(rest)[0] - left < left:
+            left, out = min(rest)[0] - left, [*out, min(rest)[1]]
+        found.append((left, out))
+    return min(found)
+
+
+def test_fitting_brute(spark):
+    rng = np.random.default_rng(3)
+    cases = [({int(h): int(n) for h, n in zip(rng.integers(-99, 99, 12), rng.integers(0, 60, 12))}, float(need))
+             for need in (*rng.uniform(0, 400, 40), 0.5, 1.0)]
+    rows = [([(h, n) for h, n in sorted(c.items())], need) for c, need in cases]
+    d = spark.createDataFrame(rows, "entries array<struct<h2:bigint,words:bigint>>, need double").repartition(1)
+    got = {r["need"]: r["t"] for r in d.select("need", mixture.fitting(F.col("entries"), F.col("need")).alias("t")).collect()}
+    for c, need in cases:
+        miss, _ = brute_fit(c, need)
+        assert abs(sum(c[h] for h in got[need]) - need) == pytest.approx(miss) and len(set(got[need])) == len(got[need])
+
+
+def test_mixture_is_what_its_report_says_and_near_its_targets(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    d = d.withColumn("doc_id", F.when(F.col("doc_id") % 3 != 0, F.col("doc_id")))  # a third of the rows without id
+    key = ("doc_id", F.xxhash64("text", "source").alias("t"))
+    takes = mixture.mixture(d).groupBy(*key).count()
+    rows = d.select(*key, F.coalesce("source", F.lit("-")).alias("s"), F.size(F.expr(r"regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+', 0)")).alias("n"))
+    mixed = {(r["doc_id"], r["t"]): r["count"] for r in takes.collect()}
+    held = {}
+    for r in rows.collect():
+        held.setdefault((r["doc_id"], r["t"]), []).append((r["s"], r["n"]))
+    report = mixture.mixture_report(d).collect()
+    assert len(report) == d.count() and sum(r["taken"] for r in report) == sum(
+        c * held[k][0][1] for k, c in mixed.items())
+    by_target = {}
+    for r in report:
+        got = by_target.setdefault((r["source_size"], r["target"]), [0])
+        got[0] += r["taken"]
+    assert len(by_target) > 2
+    assert all(abs(got[0] - target) <= 0.01 * target for (_, target), got in by_target.items())
+
+
 def test_targets_fill_by_weight(spark):
     s = spark.createDataFrame([("a", 1000), ("b", 10), ("c", 50), (None, 940)], "source string, source_size long")
     w = spark.createDataFrame([("a", 1.0), ("b", 2.0), ("c", 3.0), (None, 1.0)], "source string, weight double")
@@ -300,6 +356,28 @@ def test_language_id(spark, docs, empty):
     assert language_id.language_id(empty).count() == 0
 
 
+def test_language_id_letters_and_marks(spark):
+    hindi = "\u0939\u093f\u0928\u094d\u0926\u0940 \u092d\u093e\u0937\u093e"
+    assert language_id.plain(hindi + " 7!") == hindi.encode()
+    assert [language_id.plain(t) for t in ("\u00bd \u00b2 \u00b3", "\u2460\u2167", "\u0301", "")] == [b""] * 4
+    rows = [(i, hindi * 20, "hi") for i in range(8)] + [(8 + i, "some plain words of text " * 20, "en") for i in range(8)]
+    rows += [(50, "\u00bd \u00b2 \u00b3", "en"), (51, "\u0301\u0301", "hi"), (52, hindi, "hi")]
+    got = {r["doc_id"]: r for r in language_id.language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[i]["lang_pred"] for i in (50, 51, 52, 9)] == ["und", "und", "hi", "en"]
+
+
+def test_sampled_passages_cover_whole_texts(spark):
+    rows = [("a", str(i), "".join(chr(97 + j) * 10 for j in range(20))) for i in range(300)] + [("b", None, "x" * 25), ("b", None, "x" * 25), ("b", "1", "")]
+    d = spark.createDataFrame(rows, "grp string, id string, text string")
+    counts = {r["grp"]: r["n"] for r in d.groupBy("grp").agg(F.sum(common.passages_of(F.col("text"), 10)).alias("n")).collect()}
+    assert counts == {"a": 6000, "b": 6}
+    got = common.sample_passages(d, counts, 500, 10)
+    a = Counter(p for g, p in got if g == "a")
+    assert set(a) == {chr(97 + j) * 10 for j in range(20)} and 400 < sum(a.values()) < 600
+    assert sorted(p for g, p in got if g == "b") == ["x" * 5, "x" * 10, "x" * 10]  # all of them, repeats once
+    assert got == common.sample_passages(d.repartition(7), counts, 500, 10) and common.sample_passages(d, {}, 5, 10) == []
+
+
 def test_language_id_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = language_id.language_id(d).join(d.select("doc_id", "lang"), "doc_id").filter("held_out")
@@ -339,3 +417,7 @@ def test_neighbours_edges(spark):
     assert got[0, 1] == (1, 1.0) and got[0, 3][0] == 2 and (0, 4) not in got
     assert [got[50, i][0] for i in (1, 2, 3)] == [0, 1, 2] and (100, 1) not in got
     assert ann.nearest(v.filter("false")).count() == 0
+    odd = spark.createDataFrame([(0, [1e200, 1e200]), (1, [1.0, 1.0]), (2, [1e-200, 0.0]), (3, [5e-324, 0.0])], "vec_id long, embedding array<double>")
+    got = {r["rank"]: (r["vec_id"], r["score"]) for r in ann.nearest(odd).collect()}
+    assert got[1] == (1, pytest.approx(1.0)) and {got[2][0], got[3][0]} == {2, 3}
+    assert [got[2][1], got[3][1]] == pytest.approx([math.sqrt(0.5)] * 2)

@@ -48,13 +48,19 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.filter(F.col("id").isNotNull() & v.isNotNull()).filter(F.coalesce(fine, F.lit(False))).withColumn("dim", F.size("v"))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows scaled by a power of two to components below 1: cosines stay what they are, to the
+    last bit, and no square overflows or vanishes."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def build_index(rows: DataFrame, block_rows: int = BLOCK) -> DataFrame:
     """One row a block: dim, block, ids, vectors, and the sorted projections with their order."""
     blocks = max(1, -(-rows.count() // block_rows))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", kind="stable")
-        x = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        x = scaled(np.stack(pdf["v"].to_numpy()).astype(np.float64))
         unit = x / np.linalg.norm(x, axis=1, keepdims=True)
         p = (unit @ _lines(x.shape[1])).T
         order = np.argsort(p, axis=1, kind="stable")
@@ -127,7 +133,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_
         n = len(ids)
         found = search_block(ids, np.frombuffer(r["vectors"]).reshape(n, -1), np.frombuffer(r["values"]).reshape(PROJECTIONS, n),
                              np.frombuffer(r["places"], np.int32).reshape(PROJECTIONS, n), queries["id"].to_numpy(np.int64),
-                             np.stack(queries["v"].to_numpy()).astype(np.float64), k)
+                             scaled(np.stack(queries["v"].to_numpy()).astype(np.float64)), k)
         return pd.DataFrame(found, columns=names)
 
     keys = ("dim", "block", "chunk")

@@ -54,6 +54,34 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
+def passages_of(text: Column, chars: int) -> Column:
+    """How many passages of ``chars`` characters a text has; 0 for a null or empty one."""
+    return F.coalesce(F.ceil(F.char_length(text) / chars), F.lit(0)).cast("long")
+
+
+def sample_passages(texts: DataFrame, passages: dict[str, int], k: int, chars: int) -> list[tuple[str, str]]:
+    """(grp, passage) of about ``k`` passages a group, in hashed order. ``texts``: grp, id, text;
+    ``passages``: how many passages each group has. Whole texts are cut into passages of ``chars``
+    characters, and a passage is taken if its hash is below the bound that lets ``k`` of its
+    group's passages through. So a task and the driver get about ``k`` passages a group, however
+    many rows or partitions there are; repeated rows are taken once."""
+    share = [(g, -(2 ** 63) + (2 ** 64 - 1) * min(k, n) // n) for g, n in sorted(passages.items()) if n]
+    if not share:
+        return []
+    bounds = texts.sparkSession.createDataFrame(share, "g string, bound long")
+    rows = texts.join(F.broadcast(bounds), F.col("grp") == F.col("g")).withColumn("n", passages_of(F.col("text"), chars)).filter("n > 0")
+
+    def drawn(th: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1),
+                            lambda i: F.struct(i.alias("i"), F.xxhash64(F.col("id"), th, i).alias("h")))
+        return F.transform(F.filter(every, lambda x: x["h"] <= F.col("bound")), lambda x: F.struct(
+            x["h"].alias("h"), F.substr(F.col("text"), (x["i"] * chars + 1).cast("int"), F.lit(chars)).alias("passage")))
+
+    picked = rows.select("grp", F.explode(let(F.xxhash64("text"), drawn)).alias("x"))
+    found = picked.groupBy("grp", "x.h").agg(F.min("x.passage").alias("passage")).collect()  # about k a group
+    return [(r["grp"], r["passage"]) for r in sorted(found, key=lambda r: (r["grp"], r["h"]))]
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` cut from its lineage by a checkpoint in the session's shared folder."""
     checkpoint_root(df.sparkSession)

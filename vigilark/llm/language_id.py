@@ -6,39 +6,48 @@ whose dictionary gives the smallest total wins. The margin between the best two,
 the second, is the score; texts with a margin below ``min_margin`` are marked ``rejected``
 (the prediction still stands in ``lang_pred``, for users that want one).
 
-Learning reads labelled rows only and is bounded by parameters: at most ``SAMPLE_DOCS``
-documents a language, by smallest hash, up to ``DICT_BYTES`` bytes in all. Predicting is one
+Learning reads labelled rows only and is bounded by parameters: whole texts are cut into
+passages of ``PASSAGE`` characters, about ``SAMPLE`` of a language's passages are drawn by
+hash, wherever they lie, and fill up to ``DICT_BYTES`` bytes. Predicting is one
 pass of Arrow batches: no shuffle, and the whole text of every row counts. A task holds one
 batch and one dictionary a language.
 
+Letters are the characters of the Unicode categories L; marks (M), such as vowel signs, stay with them.
+
 Defined results: a null text, or one without letters, gives ``und`` with score 0; with no
-training rows every text is ``und``; ties go to the language first by code point; repeated
+training rows every text is ``und``, and an empty table gives no rows; a very long text is
+compressed chunk by chunk; ties go to the language first by code point; repeated
 rows are predicted alike; only id and text are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-SAMPLE_DOCS = 200
+from vigilark.llm.common import passages_of, sample_passages
+
+#: passages drawn a language, and their characters
+SAMPLE, PASSAGE = 200, 4096
 DICT_BYTES = 96 * 1024
 CHUNK = 4096
 LEVEL = 6
 MIN_MARGIN = 0.01
 
 
-#: what is not a letter carries symbols and layout, not language: it becomes one space
-NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: what is neither letter nor mark carries symbols and layout, not language: it becomes one space
+NOT_LETTERS, LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def plain(text: str) -> bytes:
-    """The text as it is compressed: lower case, letters only, single spaces."""
+    """The text as it is compressed: lower case, letters and marks only, single spaces; nothing
+    for a text without letters."""
+    if not LETTER.search(text):
+        return b""
     return NOT_LETTERS.sub(" ", text.lower()).strip().encode("utf-8", "surrogatepass")
 
 
@@ -48,20 +57,17 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def learn(train: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id",
-          sample_docs: int = SAMPLE_DOCS, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
-    """Language -> dictionary content, from the rows of ``train`` with a text and a language.
-    The driver gets at most ``sample_docs`` texts a language, each cut to what still fits."""
-    share = max(1024, dict_bytes // 24)
-    pick = train.filter(F.col(lang_col).isNotNull() & F.length(F.col(text_col)).isNotNull() & (F.length(F.col(text_col)) > 0))
-    pick = pick.select(F.col(lang_col).alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"),
-                       F.substring(F.col(text_col), 1, share).alias("sample"))
-    order = W.partitionBy("lang").orderBy("h", "sample")
-    rows = pick.withColumn("i", F.row_number().over(order)).filter(F.col("i") <= sample_docs).collect()
+          sample: int = SAMPLE, dict_bytes: int = DICT_BYTES) -> dict[str, bytes]:
+    """Language -> dictionary content, from the rows of ``train`` with a text and a language. The
+    driver gets about ``sample`` passages a language."""
+    texts = train.select(F.col(lang_col).alias("grp"), F.col(id_col).cast("string").alias("id"),
+                         F.col(text_col).alias("text")).filter("grp is not null")
+    counts = texts.groupBy("grp").agg(F.sum(passages_of(F.col("text"), PASSAGE)).alias("n")).collect()  # a row a language
     out: dict[str, bytes] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["i"])):
-        got = out.get(r["lang"], b"")
+    for lang, passage in sample_passages(texts, {r["grp"]: r["n"] for r in counts}, sample, PASSAGE):
+        got = out.get(lang, b"")
         if len(got) < dict_bytes:
-            out[r["lang"]] = got + plain(r["sample"])[: dict_bytes - len(got)] + b" "
+            out[lang] = got + plain(passage)[: dict_bytes - len(got)] + b" "
     return out
 
 

@@ -11,11 +11,14 @@ its rows locally.
 
 Everything is DataFrame expressions. What grows with documents is one grouped count a block;
 the tree holds one row a shard and one number a source. The block that a source's target ends
-in is cut by document, in hashed order. Equal hash order of a whole tie is taken together.
+in is cut by document: in hashed order, every document that still fits is taken, and the
+smallest left out as well if that brings the sum nearer; of ``TRIES`` hashed orders the nearest
+counts.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered last; a
-source without words has target 0 and gives nothing; null ids take part like any other (they
-hash alike); repeated rows are taken or left together; other columns are not read by
+source without words has target 0 and gives nothing; null ids take part like any other (order is
+hashed from id, source and text); rows that repeat all three are taken or left together, so a
+target that ends among them may be missed by their words; a very long text is one document; other columns are not read by
 ``draws``; an empty table gives an empty mix. Reruns agree, as every choice is a hash of the
 seed and the row.
 """
@@ -36,15 +39,22 @@ SHARD_WORDS = 4_000_000
 BROADCAST_BLOCKS = 500_000
 #: partition keys a shard is dealt to
 PIECES = 32
+#: hashed orders that are tried to cut a block
+TRIES = 16
 WEIGHT_CYCLE = (1.0, 2.0, 3.0)
 
 
+def order_of(id_col: str, source_col: str, text_col: str, seed: int) -> Column:
+    """The hash that deals a document to its block."""
+    return F.xxhash64(F.col(id_col).cast("string"), F.lit(seed), F.col(source_col), F.lit(seed), F.col(text_col))
+
+
 def sizes_of(docs: DataFrame, seed: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """id, source, size in words, and the two hashes that order a source's documents."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                        F.size(words(F.col(text_col))).cast("long").alias("size"),
-                       F.xxhash64(key, F.lit(seed)).alias("h"), F.xxhash64(key, F.lit(seed + 1)).alias("h2"))
+                       order_of(id_col, source_col, text_col, seed).alias("h"))
+    return rows.withColumn("h2", F.xxhash64("h", F.lit(seed + 1)))
 
 
 def targets(sources: DataFrame, weights: DataFrame, max_repeat: float = 3.0) -> DataFrame:
@@ -143,12 +153,38 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return nodes.select(F.col("first").alias("shard"), "k")
 
 
+def fitting(entries: Column, need: Column) -> Column:
+    """The h2 of the entries (h2, words) that are taken to come near ``need`` words."""
+    none = F.lit(None).cast("struct<words:bigint,h2:bigint>")
+    begin = F.struct(need.cast("double").alias("left"), F.array().cast("array<bigint>").alias("out"), none.alias("least"))
+
+    def step(s: Column, x: Column) -> Column:
+        fits = x["words"] <= s["left"]
+        this = F.struct(x["words"].alias("words"), x["h2"].alias("h2"))
+        return F.struct(F.when(fits, s["left"] - x["words"]).otherwise(s["left"]).alias("left"),
+                        F.when(fits, F.array_append(s["out"], x["h2"])).otherwise(s["out"]).alias("out"),
+                        F.when(fits, s["least"]).otherwise(F.least(s["least"], this)).alias("least"))
+
+    def finish(s: Column) -> Column:
+        more = s["least"]["words"] - s["left"]
+        nearer = F.coalesce(more < s["left"], F.lit(False))
+        return F.struct(F.when(nearer, more).otherwise(s["left"]).alias("miss"),
+                        F.when(nearer, F.array_append(s["out"], s["least"]["h2"])).otherwise(s["out"]).alias("out"))
+
+    def attempt(t: Column) -> Column:
+        order = F.array_sort(F.transform(entries, lambda x: F.struct(
+            F.xxhash64(x["h2"], t).alias("o"), x["h2"].alias("h2"), x["words"].alias("words"))))
+        return F.aggregate(order, begin, step, finish)
+
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(TRIES - 1)), attempt))["out"]
+
+
 def draws(docs: DataFrame, weights: DataFrame | None = None, max_repeat: float = 3.0, seed: int = 7,
           id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(one row a document: doc_id, source, size, h, h2, block; the block plan; the number of
     blocks by source). The plan has a
     row a source and block: source_size, target, ``takes`` (array of pass and shard) and
-    ``cut``: the last take holds only documents with h2 <= cut (null: all of them)."""
+    ``cut``: the last take holds only the documents whose h2 it lists (null: all of them)."""
     rows = sizes_of(docs, seed, id_col, text_col, source_col)
     stats = saved(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")))
     goal = saved(targets(stats, weights if weights is not None else cycle_weights(stats), max_repeat))
@@ -175,15 +211,13 @@ def draws(docs: DataFrame, weights: DataFrame | None = None, max_repeat: float =
         "n_takes": F.col("passes") + ((F.col("rest") > before) & (F.col("words") > 0)).cast("long")}))
     ends = small(plan.filter("part").select(F.col("source").alias("s"), F.col("block").alias("b"), "need"), BROADCAST_BLOCKS)
     inside = rows.join(ends, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    run = W.partitionBy("source").orderBy("h2").rangeBetween(W.unboundedPreceding, W.currentRow)
-    # up to the document that brings the sum nearest to what is needed
-    inside = inside.withColumn("upto", F.sum("size").over(run)).withColumn(
-        "mine", F.sum("size").over(W.partitionBy("source", "h2")))
-    inside = inside.filter(F.col("upto") - F.col("mine") / 2 <= F.col("need"))
-    cuts = inside.groupBy(F.col("source").alias("c_source")).agg(F.max("h2").alias("cut"))
-    lowest = F.lit(-(2 ** 63)).cast("long")
+    # one entry a distinct document of the block, about BLOCK_ROWS of them
+    inside = inside.groupBy("source", "h2").agg(F.sum("size").alias("words"), F.first("need").alias("need"))
+    entries = inside.groupBy(F.col("source").alias("c_source")).agg(
+        F.sort_array(F.collect_list(F.struct("h2", "words"))).alias("entries"), F.first("need").alias("need"))
+    cuts = entries.select("c_source", fitting(F.col("entries"), F.col("need")).alias("cut"))
     plan = plan.join(cuts, F.col("source").eqNullSafe(F.col("c_source")), "left").withColumn(
-        "cut", F.when(F.col("part"), F.coalesce(F.col("cut"), lowest)))
+        "cut", F.when(F.col("part"), F.coalesce(F.col("cut"), F.array().cast("array<bigint>"))))
 
     quota = plan.groupBy("source").agg(F.sum("n_takes").alias("k"), F.max("target").alias("t"))
     root = quota.agg(F.sort_array(F.collect_list(F.struct(F.col("source").isNull().alias("z"), "source", "k"))).alias("q"),
@@ -218,7 +252,7 @@ def with_draws(rows: DataFrame, plan: DataFrame, source: str = "source", block:
         F.col("source").alias("__m_ps"), F.col("block").alias("__m_pb"), F.col("source_size").alias("__m_source_size"),
         F.col("target").alias("__m_target"), F.col("passes").alias("__m_passes"), F.col("cut").alias("__m_cut"),
         F.col("takes").alias("__m_takes"))
-    out = F.col("__m_cut").isNotNull() & (F.col(h2) > F.col("__m_cut"))
+    out = F.col("__m_cut").isNotNull() & ~F.array_contains("__m_cut", F.col(h2))
     mine = F.when(out, F.filter("__m_takes", lambda t: t["pass"] < F.col("__m_passes"))).otherwise(F.col("__m_takes"))
     on = F.col(source).eqNullSafe(F.col("__m_ps")) & (F.col(block) == F.col("__m_pb"))
     return rows.join(p, on).withColumn("__m_draws", mine)
@@ -238,9 +272,8 @@ def mixture(docs: DataFrame, seed: int = 7, id_col: str = "doc_id", text_col: st
     """The mix itself: the rows of ``docs``, each as often as it is drawn, columns unchanged. A
     shard's rows lie in ``PIECES`` partition keys and are shuffled within each."""
     _, plan, per = draws(docs, seed=seed, id_col=id_col, text_col=text_col, source_col=source_col, **opts)
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    d = docs.withColumns({"__m_source": F.col(source_col), "__m_h": F.xxhash64(key, F.lit(seed)),
-                          "__m_h2": F.xxhash64(key, F.lit(seed + 1))})
+    h = order_of(id_col, source_col, text_col, seed)
+    d = docs.withColumns({"__m_source": F.col(source_col), "__m_h": h, "__m_h2": F.xxhash64(h, F.lit(seed + 1))})
     d = d.join(per.select(F.col("s").alias("__m_s"), F.col("blocks").alias("__m_blocks")),
                F.col("__m_source").eqNullSafe(F.col("__m_s")))
     d = with_draws(d.withColumn("__m_block", F.pmod("__m_h", "__m_blocks")), plan, "__m_source", "__m_block", "__m_h2")

@@ -1,6 +1,7 @@
 """Token-ID output: documents as zstandard frames that share one trained dictionary.
 
-The dictionary is trained on a bounded sample of serialized id arrays; each document's ids are
+The dictionary is trained on a bounded sample of serialized id arrays (about ``SAMPLE`` passages
+of ``SAMPLE_CHARS`` characters, drawn by hash from whole texts); each document's ids are
 compressed separately, so a short document is read alone. Documents are range-partitioned by id
 and sorted; every task encodes its range and writes one shard:
 
@@ -14,8 +15,8 @@ with the dictionary's hash; a reader refuses frames of another dictionary.
 Files go through ``pyarrow.fs``, to the shared folder that the session names.
 
 Defined results: a null text is an empty one (the end id alone); null ids sort first; repeated
-rows are separate documents, ordered by id, then text; only id and text are read; an empty
-table gives a manifest with empty shards.
+rows are separate documents, ordered by id, then text; a very long text is one frame; only id
+and text are read; an empty table gives a manifest with empty shards.
 """
 
 from __future__ import annotations
@@ -31,15 +32,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from vigilark.llm.common import shared_dir
+from vigilark.llm.common import passages_of, sample_passages, shared_dir
 from vigilark.llm.tokens import encoder
 
 MAGIC = b"VKTOKEN1"
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: bytes of text a shard, on average
 SHARD_BYTES = 32_000_000
-#: dictionary: sampled documents (by smallest hash), their longest text, and its size
-SAMPLE_DOCS, SAMPLE_CHARS, DICT_BYTES = 400, 16_000, 64 * 1024
+#: dictionary: sampled passages, their characters, and its size
+SAMPLE, SAMPLE_CHARS, DICT_BYTES = 400, 16_000, 64 * 1024
 LEVEL = 3
 ENTRY, FOOTER = "<qQQQ?", "<QQ"
 END = struct.pack("<I", END_ID)
@@ -50,15 +51,20 @@ def _fs(uri: str):
     return fs.FileSystem.from_uri(uri.replace("s3a://", "s3://", 1))
 
 
+def measure(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
+    """(bytes, passages) of all texts."""
+    return tuple(docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)),
+                          F.coalesce(F.sum(passages_of(F.col(text_col), SAMPLE_CHARS)), F.lit(0))).first())
+
+
 def train_dictionary(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", tokenizer: str = TOKENIZER,
-                     added: bool = False) -> bytes:
-    """A dictionary from at most ``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters.
-    Too few samples to train on become the dictionary themselves."""
+                     added: bool = False, passages: int | None = None) -> bytes:
+    """A dictionary from about ``SAMPLE`` passages of whole texts. Too few samples to train on
+    become the dictionary themselves. ``passages``: how many there are, if known."""
     import zstandard
-    fit = docs.select(F.col(text_col).alias("t"), F.xxhash64(F.col(id_col).cast("string")).alias("h")).filter(
-        (F.length("t") > 0) & (F.length("t") <= SAMPLE_CHARS))
-    rows = fit.orderBy("h", "t").limit(SAMPLE_DOCS).collect()
-    samples = [encoder(tokenizer, False, added).encode(r["t"]) for r in rows]
+    texts = docs.select(F.lit("").alias("grp"), F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
+    n = measure(docs, text_col)[1] if passages is None else passages
+    samples = [encoder(tokenizer, False, added).encode(t) for _, t in sample_passages(texts, {"": n}, SAMPLE, SAMPLE_CHARS)]
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -71,12 +77,11 @@ def _dictionary(raw: bytes):
 
 
 def write_shards(docs: DataFrame, folder: str, dictionary: bytes, id_col: str = "doc_id", text_col: str = "text",
-                 tokenizer: str = TOKENIZER, added: bool = False) -> DataFrame:
-    """Write the shards and the manifest; returns the manifest (shard, path, n_docs, n_tokens, start)."""
+                 tokenizer: str = TOKENIZER, added: bool = False, size: int | None = None) -> DataFrame:
+    """Write the shards and the manifest (``size``: bytes of all texts, if known); returns the manifest (shard, path, n_docs, n_tokens, start)."""
     digest = hashlib.sha256(dictionary).digest()
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-total // SHARD_BYTES))
+    shards = max(1, -(-(measure(docs, text_col)[0] if size is None else size) // SHARD_BYTES))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -181,6 +186,7 @@ def token_store(docs: DataFrame, folder: str | None = None, added: bool = False)
     ``added``: the literal content of an added token in a text is that token."""
     spark = docs.sparkSession
     folder = folder or shared_dir(spark, "token-store")
-    dictionary = train_dictionary(docs, added=added)
-    write_shards(docs, folder, dictionary, added=added)
+    size, passages = measure(docs)
+    dictionary = train_dictionary(docs, added=added, passages=passages)
+    write_shards(docs, folder, dictionary, added=added, size=size)
     return read_shards(spark, folder, dictionary)
