@@ -233,10 +233,11 @@ def test_repacking_and_bounds(spark, monkeypatch):
     assert max(total.values()) <= 4096 and len(total) >= packing.lower_bound(lengths, 4096)
 
 
-def brute_losses(docs, good):
-    """Per document, the token losses of the two models written out plainly."""
+def brute_losses(docs, good, classes):
+    """Per document, the token losses of the two models written out plainly; ``classes``: word -> class."""
     runs = {i: re.findall(r"[^\x20\x09-\x0D]{1,64}", t or "") for i, t in docs}
     models = []
+    nexts = [Counter((classes[a], classes[b]) for i in ids for a, b in zip(runs[i], runs[i][1:])) for ids in (good, set(runs))]
     chars = {c for ws in runs.values() for w in ws for c in w + " " if c != "\0"}
     for ids in (good, set(runs)):
         said = Counter(w for i in ids for w in runs[i])
@@ -263,14 +264,27 @@ def brute_losses(docs, good):
         p = (1 - lm_score.MEMORY) * math.exp(out) + lm_score.MEMORY * said[w] / max(total, 1)
         return math.log(p)
 
-    return {i: [log(models[1], w) - log(models[0], w) for w in ws] for i, ws in runs.items()}
+    def gain(n, a, b):
+        first, then = (sum(v for k, v in n.items() if k[j] == c) for j, c in enumerate((a, b)))
+        share, after = then / max(sum(n.values()), 1), n[a, b] / max(first, 1)
+        return math.log((lm_score.PAIR * after + (1 - lm_score.PAIR) * share) / share) if first and then else 0.0
+
+    def loss(w, before):
+        alone = log(models[1], w) - log(models[0], w)
+        return alone + (gain(nexts[1], classes[before], classes[w]) - gain(nexts[0], classes[before], classes[w]) if before else 0)
+
+    return {i: [loss(w, b) for w, b in zip(ws, [None, *ws])] for i, ws in runs.items()}
 
 
 def test_lm_score_brute(spark):
     texts = [(i, t) for i, t, _, _ in TEXTS if i not in (None, 16, 11, 17)] + [(20, "x" * 130 + " tail")]
     df = spark.createDataFrame(texts, "doc_id long, text string").repartition(2)
     good = spark.createDataFrame([(1, 1, 0), (4, 1, None), (12, 1, 1), (14, 0, 0)], "doc_id long, quality int, toxic int")
-    want = brute_losses(texts, {1, 4})
+    counts = lm_score.count_words(lm_score.marked(df, good))
+    of = lm_score.classes_of(counts, counts.agg({"nb": "sum"}).first()[0])
+    classes = {r["word"]: int(of[r["b"]]) for r in counts.withColumn("b", lm_score.bucket(counts["word"])).collect()}
+    assert {w for w, c in classes.items() if c < lm_score.OWN} and max(classes.values()) < lm_score.CLASSES
+    want = brute_losses(texts, {1, 4}, classes)
     for r in lm_score.lm_score(df, good, hot_rows=40).collect():
         assert r["n_tokens_scored"] == len(want[r["doc_id"]])
         if want[r["doc_id"]]:
@@ -279,6 +293,15 @@ def test_lm_score_brute(spark):
             assert r["score"] is None
 
 
+def test_lm_score_sees_order(spark):
+    said = ["the cat sat on the mat and the dog ran to the cat", "a dog ran and a cat sat on a mat"]
+    mixed = [" ".join(sorted(t.split())) for t in said]
+    df = spark.createDataFrame(list(enumerate(said + mixed, 1)), "doc_id long, text string")
+    good = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["score"] for r in lm_score.lm_score(df, good).collect()}
+    assert got[1] < got[3] and got[2] < got[4]
+
+
 def test_lm_score(docs, labels, empty):
     key = lambda r: (r["doc_id"] is None, r["doc_id"] or 0)
     a, b, c = (sorted(lm_score.lm_score(docs, labels, **o).collect(), key=key) for o in ({}, {"hot_rows": 0}, {"spell_rows": 0}))

@@ -3,11 +3,20 @@
 Two models, of the target (documents labelled good) and of the background (every document),
 share one vocabulary of words and characters, and their order and weights, so they are matched
 and their per-token losses can be subtracted. A token is a run of at most 64 characters that are
-not white space (a longer word is several tokens, so none is cut). A token's probability mixes
+not white space (a longer word is several tokens, so none is cut). The models are class bigrams:
+a token's probability is that of its class after the class of the token before, times that of the
+token in its class. A token that makes at least 1 / ``OWN`` of all tokens is a class of its own,
+the others share ``SHARED`` classes by hash, the same for both models; the class bigram is mixed
+with the class's own share. Within a class, a token's probability mixes
 how often the model's documents hold it with how a character trigram model spells it; the
 trigrams are counted over the tokens of the same documents. A document's score is the mean of
 loss under the target minus loss under the background: the lower, the more like the target.
 
+So a loss is that of the token alone, less the log of how much likelier its class is after the
+class before it; the first token of a document has no such term. Pairs of classes are counted in
+the task that reads the texts, and the table of pairs has (OWN + SHARED) squared cells whatever
+the corpus, so it is summed by one small shuffle and broadcast, and texts are never shuffled for it.
+
 Counts cover all documents. The word table has a row a distinct token, so it grows with the
 corpus; trigrams and spellings are computed once a distinct token. To score, the words seen at
 least total / ``hot_rows`` times (``hot_rows`` at most, whatever the corpus) are broadcast and
@@ -40,6 +49,13 @@ WEIGHTS = (0.6, 0.3, 0.1)
 MEMORY = 0.8
 HOT_ROWS = 1_000_000
 SPELL_ROWS = 2_000_000
+#: classes of the class bigram: at most OWN frequent tokens, and SHARED classes for the others
+OWN, SHARED = 512, 512
+CLASSES = OWN + SHARED
+#: tokens are looked up by one of so many hashes
+BUCKETS = 1 << 20
+#: the weight of the class bigram beside the class alone
+PAIR = 0.5
 BROADCAST_IDS = 1_000_000
 NANO = 1_000_000_000
 BITS, MASK1, MASK2 = 21, (1 << 21) - 1, (1 << 42) - 1
@@ -59,11 +75,17 @@ def spelled(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return keys[inside], owner[2:][inside]
 
 
-def count_words(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """word, nt (occurrences in good documents), nb (in all documents), written to the shared folder."""
+def marked(docs: DataFrame, good_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """good (1 for the target's documents, else 0) and text of every document."""
     marks = small(saved(good_ids.select(F.col(id_col).alias("__g")).filter("__g is not null").distinct()), BROADCAST_IDS)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(marks, F.col("id") == F.col("__g"), "left")
-    rows = rows.select(F.col("__g").isNotNull().cast("long").alias("good"), F.explode(tokens(F.col("text"))).alias("word"))
+    return rows.select(F.col("__g").isNotNull().cast("long").alias("good"), "text")
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """word, nt (occurrences in good documents), nb (in all documents) of ``marked`` documents,
+    written to the shared folder."""
+    rows = docs.select("good", F.explode(tokens(F.col("text"))).alias("word"))
     return materialize(rows.groupBy("word").agg(F.sum("good").alias("nt"), F.count("*").alias("nb")), "lm-words")
 
 
@@ -163,9 +185,82 @@ def word_losses(counts: DataFrame, total: tuple[int, int], spell_rows: int = SPE
     return materialize(known.select("word", "nb", delta.alias("delta")), "lm-losses")
 
 
-def score(docs: DataFrame, losses: DataFrame, total: int, id_col: str = "doc_id", text_col: str = "text",
-          hot_rows: int = HOT_ROWS) -> DataFrame:
-    """doc_id, n_tokens_scored and score for every row of ``docs``; ``total`` is the sum of nb."""
+def bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def classes_of(counts: DataFrame, total: int) -> np.ndarray:
+    """The class of each bucket of tokens: below OWN for the buckets with at least 1 / OWN of the
+    ``total`` tokens (so at most OWN of them), else one of the shared classes."""
+    own = counts.groupBy(bucket(F.col("word")).alias("b")).agg(F.sum("nb").alias("n")).filter(F.col("n") * OWN >= max(total, 1))
+    found = sorted(r["b"] for r in own.collect())  # at most OWN
+    out = (OWN + np.arange(BUCKETS) % SHARED).astype(np.int32)
+    out[found] = np.arange(len(found))
+    return out
+
+
+def pairs_of(buckets: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(class pair as one number, row) of every two neighbouring tokens of the rows' ``buckets``."""
+    flat = classes[buckets.flatten().to_numpy()]
+    row = np.repeat(np.arange(len(buckets)), buckets.value_lengths().to_numpy())
+    same = row[1:] == row[:-1]
+    return (flat[:-1] * CLASSES + flat[1:])[same], row[1:][same]
+
+
+def count_pairs(docs: DataFrame, classes: np.ndarray) -> np.ndarray:
+    """How often each class follows each in good documents and in all ``marked`` documents, as two
+    square matrices. A task sums its rows into them and sends the cells that are not zero."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, CLASSES * CLASSES), np.int64)
+        for batch in batches:
+            pairs, row = pairs_of(batch.column("buckets"), shared.value)
+            good = batch.column("good").to_numpy()[row] > 0
+            for out, of in zip(sums, (pairs[good], pairs)):
+                out += np.bincount(of, minlength=len(out))
+        at = np.flatnonzero(sums[1])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(x[at]) for x in sums)], names=["pair", "nt", "nb"])
+
+    rows = docs.select("good", F.transform(tokens(F.col("text")), bucket).alias("buckets"))
+    found = rows.mapInArrow(count, "pair long, nt long, nb long").groupBy("pair").agg(F.sum("nt").alias("nt"), F.sum("nb").alias("nb"))
+    cells = found.toArrow()  # at most CLASSES squared rows
+    out = np.zeros((2, CLASSES * CLASSES), np.int64)
+    out[:, cells["pair"].to_numpy()] = [cells["nt"].to_numpy(), cells["nb"].to_numpy()]
+    return out.reshape(2, CLASSES, CLASSES)
+
+
+def pair_losses(counts: np.ndarray) -> np.ndarray:
+    """What a pair of classes adds to loss under the target minus loss under the background, in
+    nanonats: a class that a model never saw, before or after, adds nothing to that model's loss."""
+    def gain(n: np.ndarray) -> np.ndarray:
+        alone = np.outer(n.sum(axis=1), n.sum(axis=0).astype(float))
+        times = np.divide(n * float(n.sum()), alone, out=np.ones(n.shape), where=alone > 0)
+        return np.log((1 - PAIR) + PAIR * times)
+
+    return np.rint((gain(counts[1]) - gain(counts[0])) * NANO).astype(np.int64)
+
+
+def score_pairs(rows: DataFrame, classes: np.ndarray, losses: np.ndarray) -> DataFrame:
+    """``rows`` (doc_id, th, text) as doc_id, th and delta, the sum of the losses of their pairs."""
+    shared = rows.sparkSession.sparkContext.broadcast((classes, losses.ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table, loss = shared.value
+            pairs, row = pairs_of(batch.column("buckets"), table)
+            delta = np.zeros(batch.num_rows, np.int64)
+            np.add.at(delta, row, loss[pairs])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(delta)], names=["doc_id", "th", "delta"])
+
+    return rows.select("doc_id", "th", F.transform(tokens(F.col("text")), bucket).alias("buckets")).mapInArrow(
+        run, "doc_id long, th long, delta long")
+
+
+def score(docs: DataFrame, losses: DataFrame, total: int, classes: np.ndarray, pairs: np.ndarray, id_col: str = "doc_id",
+          text_col: str = "text", hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id, n_tokens_scored and score for every row of ``docs``; ``total`` is the sum of nb, ``pairs``
+    the losses of pairs of ``classes``."""
     least = total // hot_rows + 1 if hot_rows else total + 1
     hot = losses.filter(F.col("nb") >= least).select("word", "delta")
     rare = losses.filter(F.col("nb") < least).select("word", "delta")
@@ -173,7 +268,7 @@ def score(docs: DataFrame, losses: DataFrame, total: int, id_col: str = "doc_id"
     said = rows.select("doc_id", "th", F.explode(tokens(F.col("text"))).alias("word")).join(F.broadcast(hot), "word", "left")
     far = said.filter("delta is null").select("doc_id", "th", "word").join(rare, "word")
     parts = said.filter("delta is not null").unionByName(far).select("doc_id", "th", F.lit(0).alias("copies"), F.lit(1).alias("n"), "delta")
-    marks = rows.select("doc_id", "th", F.lit(1).alias("copies"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("delta"))
+    marks = score_pairs(rows, classes, pairs).select("doc_id", "th", F.lit(1).alias("copies"), F.lit(0).alias("n"), "delta")
     sums = parts.unionByName(marks).groupBy(F.col("doc_id").alias("i"), F.col("th").alias("h")).agg(
         F.sum("copies").alias("copies"), F.sum("n").alias("n"), F.sum("delta").alias("delta"))
     same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("th") == F.col("h"))
@@ -184,7 +279,10 @@ def score(docs: DataFrame, losses: DataFrame, total: int, id_col: str = "doc_id"
 
 def lm_score(docs: DataFrame, labels: DataFrame, hot_rows: int = HOT_ROWS, spell_rows: int = SPELL_ROWS) -> DataFrame:
     """Scores of all documents, with the documents labelled good and not toxic as the target."""
-    counts = count_words(docs, labels.filter("quality = 1 and coalesce(toxic, 0) = 0"))
+    rows = marked(docs, labels.filter("quality = 1 and coalesce(toxic, 0) = 0"))
+    counts = count_words(rows)
     sums = counts.agg(F.sum("nt"), F.sum("nb")).first()
     total = (sums[0] or 0, sums[1] or 0)
-    return score(docs, word_losses(counts, total, spell_rows), total[1], hot_rows=hot_rows)
+    classes = classes_of(counts, total[1])
+    pairs = pair_losses(count_pairs(rows, classes))
+    return score(docs, word_losses(counts, total, spell_rows), total[1], classes, pairs, hot_rows=hot_rows)
