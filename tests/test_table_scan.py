@@ -100,6 +100,33 @@ def test_shuffle_form_joins_by_exchange_and_splits_hot_keys(spark):
     assert pairs(got) == pairs(SC.scan(ev, rules))
 
 
+def test_join_tasks_follow_the_events(spark, monkeypatch):
+    monkeypatch.setattr(TS, "TASK_ROWS", 500, raising=False)
+    ev = spark.range(20_000).select(F.col("id").alias("event_id"), F.lit("x").alias("d"))
+    got = TS.scan_table(ev, [{"name": "r", "conditions": {"d": "x"}}], broadcast_limit=0, hot_rows=100)
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 20_000 and max(sizes) < 2000
+
+
+def test_frequent_values_of_no_anchor_are_not_shuffled(spark):
+    # "a" and "b" hold most events, but no rule asks for "a", and the other rule is anchored elsewhere
+    rows = [(i, "a" if i % 2 else "b" if i % 8 else f"v{i}", f"u{i % 50}") for i in range(2000)] + [(2000, None, "u7")]
+    ev = spark.createDataFrame(rows, "event_id long, kind string, user string")
+    rules = [{"name": "one", "conditions": {"kind": "v8"}}, {"name": "two", "conditions": {"kind": "b", "user": "u2"}}]
+    table = TS.RuleTable(ev, rules)
+    candidates = table.anchors()
+    for limit in (0, TS.BROADCAST_BYTES):
+        counts = TS._key_counts(ev, table, candidates, limit, 100)
+        anchors = TS._choose(candidates, counts)
+        keys = TS._with_values(ev, table, full=True).select("*", F.explode(TS._keys(TS._kinds(anchors))).alias("a_key"))
+        dealt, hot, tasks = TS._dealt(keys, F.xxhash64("event_id"), anchors, counts, limit, 100)
+        held = {r["a_key"].split("|", 2)[2] for r in dealt.select("a_key").distinct().collect()}
+        assert {"v8", "u2"} <= held and not held & {"a", "b"} and tasks == 1
+        assert (held == {"v8", "u2"}) == (limit > 0)
+        got = TS.scan_table(ev, rules, broadcast_limit=limit, hot_rows=100)
+        assert pairs(got) == pairs(SC.scan(ev, rules)) and got.count() > 10
+
+
 def test_patterns_are_literals(spark):
     ev = security_events(spark, SF_SMALL, udm=False)
     rules = [{"name": "rx", "conditions": {"event.outcome": "failure", "source.ip": {"regex": r"\.1\d?$"}, "message": {"regex": "SCAN"}}}]

@@ -17,7 +17,9 @@ Anchor rows hold a key and a rule number; what a rule says (names, reasons, cond
 once by rule, not copied to each of its ``in`` members. Both tables are broadcast while their bytes
 are under ``broadcast_limit``. Beyond it the join shuffles: a key that more than ``hot_rows`` events
 hold is spread over as many tasks as it needs, its rule rows repeated for each, and an event's task
-follows from a hash of all its columns, so a retry lands it in the same place.
+follows from a hash of all its columns, so a retry lands it in the same place. Frequent keys that
+no anchor has are dropped before (all such keys, if the anchors' keys can be broadcast), and the
+join has a task for about every ``TASK_ROWS`` keys, so a task does not grow with the events.
 
 To the driver go the names of the fields that rules use, the patterns, and the rules without an
 equality or ``in`` condition (these have to be tested on every event, and are compiled).
@@ -45,6 +47,8 @@ from vigilark.session import materialize
 BROADCAST_BYTES = 64 << 20
 #: events of one anchor value that one task joins
 HOT_ROWS = 1_000_000
+#: keys of events that one task of the shuffle join takes, on average
+TASK_ROWS = 250_000
 
 COND = ("struct<no:int,field:string,kind:string,op:string,value:string,num:double,members:array<string>,"
         "nums:array<double>,bound:double>")
@@ -314,14 +318,17 @@ def _small(df: DataFrame, size: Column, limit: int) -> bool:
     return (df.agg(F.sum(size)).first()[0] or 0) <= limit
 
 
-def _key_counts(events: DataFrame, table: RuleTable, candidates: DataFrame, limit: int) -> DataFrame:
-    """(a_key, n): how many events hold each value that rules name."""
+def _key_counts(events: DataFrame, table: RuleTable, candidates: DataFrame, limit: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(a_key, n): how many events hold each value that rules name. If these can't be broadcast,
+    also each other value of more than ``hot_rows`` events, and under a null key the rest's total."""
     keys = (_with_values(events, table, full=False)
             .select(F.explode(_keys(_kinds(candidates))).alias("a_key")))
     named = candidates.select("a_key").distinct()
     if _small(named, F.octet_length("a_key") + 16, limit):
         return keys.join(F.broadcast(named), "a_key", "left_semi").groupBy("a_key").agg(F.count(F.lit(1)).alias("n"))
-    return keys.groupBy("a_key").agg(F.count(F.lit(1)).alias("n")).join(named, "a_key", "left_semi")
+    every = keys.groupBy("a_key").agg(F.count(F.lit(1)).alias("n")).join(named.withColumn("_named", F.lit(True)), "a_key", "left")
+    kept = F.when(F.col("_named") | (F.col("n") > hot_rows), F.col("a_key"))
+    return every.groupBy(kept.alias("a_key")).agg(F.sum("n").alias("n"))
 
 
 def _choose(candidates: DataFrame, counts: DataFrame | None) -> DataFrame:
@@ -363,6 +370,29 @@ def _row_hash(schema: T.StructType) -> Column:
     return F.xxhash64(*cols) if cols else F.lit(0).cast("bigint")
 
 
+def _dealt(ev: DataFrame, row: Column, anchors: DataFrame, counts: DataFrame, limit: int,
+           hot_rows: int) -> tuple[DataFrame, DataFrame, int]:
+    """``ev`` with ``_salt`` and without the keys that no anchor needs, (a_key, _tasks) of the keys
+    of more than ``hot_rows`` events, and how many tasks the join needs. ``row``: a hash of a row."""
+    used = anchors.select("a_key").distinct()
+    few = _small(used, F.octet_length("a_key") + 16, limit)
+    tasks = F.when(F.col("_used"), F.ceil(F.col("n") / hot_rows)).otherwise(0).cast("int")
+    # at most one hot key for every hot_rows keys of events
+    hot = materialize(counts.filter((F.col("n") > hot_rows) & F.col("a_key").isNotNull())
+                      .join(used.withColumn("_used", F.lit(True)), "a_key", "left")
+                      .select("a_key", "n", tasks.alias("_tasks")), "hot-keys")
+    held = counts.join(F.broadcast(used), "a_key", "left_semi") if few else counts.join(
+        F.broadcast(hot.filter("_tasks = 0")), "a_key", "left_anti")
+    rows = held.agg(F.sum("n")).first()[0] or 0
+    if few:
+        ev = ev.join(F.broadcast(used), "a_key", "left_semi")
+    hot = hot.drop("n")
+    ev = (ev.withColumn("_row", row).join(F.broadcast(hot), "a_key", "left")
+          .withColumn("_tasks", F.coalesce("_tasks", F.lit(1))).filter("_tasks > 0")
+          .withColumn("_salt", F.pmod("_row", F.col("_tasks")).cast("int")).drop("_row", "_tasks"))
+    return ev, hot, -(-rows // TASK_ROWS)
+
+
 def scan_table(events: DataFrame, rules: Any, *, spark: SparkSession | None = None,
                broadcast_limit: int = BROADCAST_BYTES, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Same result as ``scan`` (one row per event x matching rule), planned as a join."""
@@ -380,7 +410,7 @@ def scan_table(events: DataFrame, rules: Any, *, spark: SparkSession | None = No
             candidates, counts = materialize(table.anchors(), "rule-anchors"), None
             fits = fits and _small(candidates, F.octet_length("a_key") + 16, broadcast_limit)
             if not events.isStreaming:      # a stream can't be counted before it is read
-                counts = materialize(_key_counts(events, table, candidates, broadcast_limit), "anchor-counts")
+                counts = materialize(_key_counts(events, table, candidates, broadcast_limit, hot_rows), "anchor-counts")
             anchors = materialize(_choose(candidates, counts), "anchors")
             kinds = _kinds(anchors)
         ev = (_with_values(events, table, full=True)
@@ -388,13 +418,11 @@ def scan_table(events: DataFrame, rules: Any, *, spark: SparkSession | None = No
         if fits:
             joined = ev.join(F.broadcast(anchors), "a_key").join(F.broadcast(said), "rule_id")
         else:
-            tasks = F.ceil(F.col("n") / hot_rows).cast("int")
-            # at most one hot key for every hot_rows keys of events
-            hot = counts.filter(F.col("n") > hot_rows).select("a_key", tasks.alias("_tasks"))
-            ev = (ev.withColumn("_row", _row_hash(events.schema)).join(F.broadcast(hot), "a_key", "left")
-                  .withColumn("_salt", F.pmod("_row", F.coalesce("_tasks", F.lit(1))).cast("int")).drop("_row", "_tasks"))
+            ev, hot, tasks = _dealt(ev, _row_hash(events.schema), anchors, counts, broadcast_limit, hot_rows)
             fat = anchors.join(hot, "a_key", "left").join(said, "rule_id")
             fat = fat.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_tasks", F.lit(1)) - 1))).drop("_tasks")
+            if tasks > int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+                ev, fat = ev.repartition(tasks, "a_key", "_salt"), fat.repartition(tasks, "a_key", "_salt")
             joined = ev.join(fat.hint("merge"), ["a_key", "_salt"])
         hit = joined.filter(F.forall("rest", _holds))
         parts.append(hit.select(*cols, *[F.col(f) for f in MATCH_FIELDS]))
