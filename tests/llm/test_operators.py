@@ -174,6 +174,36 @@ def test_splitting_tree_is_exact(spark):
     assert max(map(sum, leaves)) - min(map(sum, leaves)) <= 3
 
 
+def brute_draw(g, b, n, u):
+    """The smallest k within 12 deviations of the mean whose cumulated probability reaches u."""
+    if n <= 0 or b <= 0 or g <= 0:
+        return n if n > 0 and b <= 0 else 0
+    mean = n * g / (g + b)
+    reach = math.ceil(12 * math.sqrt(mean * b / (g + b) + 1)) + 1
+    low, high = max(0, n - b, math.floor(mean) - reach), min(n, g, math.floor(mean) + reach)
+    total = 0
+    for k in range(low, high):
+        total += math.comb(g, k) * math.comb(b, n - k)
+        if total / math.comb(g + b, n) >= u:
+            return k
+    return high
+
+
+def test_a_draw_is_right_and_a_small_expression(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for top in (3, 12, 60, 200):
+        for _ in range(25):
+            g, b = map(int, rng.integers(0, top, 2))
+            rows.append((g, b, int(rng.integers(0, g + b + 1)), float(rng.uniform(0.001, 0.999))))
+    cols = [F.col(c) for c in "gbnu"]
+    d = spark.createDataFrame(rows, "g long, b long, n long, u double")
+    got = d.select(*cols, mixture._hypergeometric(*cols).alias("k")).collect()
+    assert [r["k"] for r in got] == [brute_draw(*r[:4]) for r in got]
+    # the driver analyses and copies it for every plan; with each use written out it has 31,000 characters
+    assert len(str(mixture._hypergeometric(*cols))) < 5000
+
+
 def test_token_store_round_trip(docs, empty, tmp_path):
     import public_tokenizers as P
     from tokenizers import Tokenizer

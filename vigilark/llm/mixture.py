@@ -84,39 +84,59 @@ def cycle_weights(sources: DataFrame) -> DataFrame:
 
 
 def _log_factorial(n: Column) -> Column:
-    """Stirling's series, with its argument moved up where it is small."""
-    x = n + F.lit(8.0)
-    series = (x + 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x)
+    """Stirling's series, with its argument moved up where it is small. ``n``: a bound value, as it
+    is named many times."""
     down = sum((F.log(n + float(i)) for i in range(2, 9)), F.log(n + 1.0))
-    return series - down
+    return let(n + F.lit(8.0), lambda x: (
+        (x + 0.5) * F.log(x) - x + 0.9189385332046727 + 1 / (12 * x) - 1 / (360 * x * x * x))) - down
 
 
 def _hypergeometric(good: Column, bad: Column, draws: Column, u: Column) -> Column:
     """How many of ``draws`` from ``good`` + ``bad`` are good, by inversion of uniform ``u``: the
-    smallest k within 12 deviations of the mean whose cumulated probability reaches u."""
-    g, b, n = (c.cast("double") for c in (good, bad, draws))
-    low, high = F.greatest(F.lit(0.0), n - b), F.least(n, g)
-    mean = n * g / (g + b)
-    reach = F.ceil(12 * F.sqrt(mean * (b / (g + b)) + 1)) + 1
-    low_k, high_k = F.greatest(low, F.floor(mean) - reach).cast("long"), F.least(high, F.floor(mean) + reach).cast("long")
-    choose = lambda a, k: _log_factorial(a) - _log_factorial(k) - _log_factorial(a - k)
-
-    def drawn(first: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("sum"), F.exp(first).alias("p"), low_k.alias("k"), F.lit(False).alias("done"))
-
-        def step(s: Column, k: Column) -> Column:
+    smallest k within 12 deviations of the mean whose cumulated probability reaches u. Every value
+    that is named more than once is bound by ``let``: written out, a draw is an expression of
+    thousands of nodes, which the driver analyses and copies anew for each plan."""
+
+    def bounds(a: Column) -> Column:
+        g, b, n = a["g"], a["b"], a["n"]
+
+        def around(mean: Column) -> Column:
+            low, high = F.greatest(F.lit(0.0), n - b), F.least(n, g)
+            return let(F.ceil(12 * F.sqrt(mean * (b / (g + b)) + 1)) + 1, lambda reach: F.struct(
+                F.greatest(low, F.floor(mean) - reach).cast("long").alias("low"),
+                F.least(high, F.floor(mean) + reach).cast("long").alias("high")))
+
+        return let(n * g / (g + b), around)
+
+    def first(a: Column, lk: Column) -> Column:
+        g, b, n = a["g"], a["b"], a["n"]
+        picks = [(g, lk), (b, n - lk), (g + b, n)]
+        facts = F.transform(F.array(*(x for of, k in picks for x in (of, k, of - k))), _log_factorial)
+        choose = lambda f, i: f[3 * i] - f[3 * i + 1] - f[3 * i + 2]
+        return let(facts, lambda f: F.exp(choose(f, 0) + choose(f, 1) - choose(f, 2)))
+
+    def drawn(a: Column, k: Column) -> Column:
+        g, b, n = a["g"], a["b"], a["n"]
+        start = F.struct(F.lit(0.0).alias("sum"), first(a, k["low"].cast("double")).alias("p"), k["low"].alias("k"),
+                         F.lit(False).alias("done"))
+
+        def step(s: Column, at: Column) -> Column:
             total = s["sum"] + s["p"]
-            kd = k.cast("double")
+            kd = at.cast("double")
             after = s["p"] * (g - kd) * (n - kd) / ((kd + 1.0) * (b - n + kd + 1.0))
-            done = s["done"] | (total >= u) | (k >= high_k)
+            done = s["done"] | (total >= a["u"]) | (at >= k["high"])
             return F.struct(total.alias("sum"), F.when(done, s["p"]).otherwise(after).alias("p"),
-                            F.when(s["done"], s["k"]).otherwise(k).alias("k"), done.alias("done"))
+                            F.when(s["done"], s["k"]).otherwise(at).alias("k"), done.alias("done"))
 
-        return F.aggregate(F.sequence(low_k, high_k), start, step, lambda s: s["k"])
+        return F.aggregate(F.sequence(k["low"], k["high"]), start, step, lambda s: s["k"])
 
-    lk = low_k.cast("double")
-    first = choose(g, lk) + choose(b, n - lk) - choose(g + b, n)
-    return F.when(n <= 0, F.lit(0).cast("long")).when(b <= 0, draws).when(g <= 0, F.lit(0).cast("long")).otherwise(let(first, drawn))
+    def inverted(x: Column) -> Column:
+        a = F.struct(*(x[c].cast("double").alias(c) for c in ("g", "b", "n")), x["u"].alias("u"))
+        found = let(a, lambda a: let(bounds(a), lambda k: drawn(a, k)))
+        return F.when(x["n"] <= 0, F.lit(0).cast("long")).when(x["b"] <= 0, x["n"]).when(
+            x["g"] <= 0, F.lit(0).cast("long")).otherwise(found)
+
+    return let(F.struct(good.alias("g"), bad.alias("b"), draws.alias("n"), u.alias("u")), inverted)
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
